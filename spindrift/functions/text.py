@@ -254,7 +254,7 @@ _THINKING = r"(?is)<(think|thinking|thought|reasoning)>(.*?)</\1>"
 def thinking(text: Column) -> Column:
     """thinking, answer: what stands in thinking tags, and the rest."""
     inner = F.regexp_extract_all(text, F.lit(_THINKING), 2)
-    return F.struct(F.array_join(F.transform(inner, F.trim), "\n").alias("thinking"), F.trim(F.regexp_replace(text, _THINKING, "")).alias("answer"))
+    return F.struct(F.array_join(F.transform(inner, lambda x: F.trim(x)), "\n").alias("thinking"), F.trim(F.regexp_replace(text, _THINKING, "")).alias("answer"))
 
 
 def diagram(text: Column) -> Column:
@@ -285,7 +285,7 @@ def preview(text: Column, size: int, mark: str = "...") -> Column:
 def clean_doc_comment(comment: Column) -> Column:
     """A block comment without its frame and leading stars."""
     inner = F.regexp_replace(F.regexp_replace(comment, r"^\s*/\*\*?", ""), r"\*/\s*$", "")
-    return F.trim(F.regexp_replace(inner, r"(?m)^[ \t]*\*[ \t]?", ""))
+    return F.regexp_replace(F.regexp_replace(inner, r"(?m)^[ \t]*\*[ \t]?", ""), r"^\s+|\s+$", "")
 
 
 def parse_lint(line: Column) -> Column:
