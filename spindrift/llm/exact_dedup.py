@@ -44,8 +44,9 @@ def block_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     rows = texts(docs).select("doc_id", F.encode(normalised(F.col("text")), "UTF-8").alias("bytes"))
     n = F.greatest(F.lit(1), F.ceil(F.length("bytes") / F.lit(block_bytes))).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("bytes"), i * F.lit(block_bytes) + 1, F.lit(block_bytes)))
-    # uid tells repeated rows apart.
-    cut = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.sha2("bytes", 256).alias("text_sha256"), n.alias("n_blocks"), F.posexplode(blocks).alias("at", "block"))
+    # uid tells repeated rows apart; it is given before rows are cut, as it counts rows where it is evaluated.
+    rows = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "bytes", n.alias("n_blocks"))
+    cut = rows.select("uid", "doc_id", F.sha2("bytes", 256).alias("text_sha256"), "n_blocks", F.posexplode(blocks).alias("at", "block"))
     # The key sorts blocks and finds their names again; the naming itself compares contents.
     cut = cut.withColumn("key", F.xxhash64("block"))
     places = scratch.keep("places", cut.select("uid", "doc_id", "text_sha256", "n_blocks", "at", "key"))
