@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from spindrift.plans import content, graphs, relational
+from spindrift.plans import content, graphs, relational, reports
 from spindrift.plans.registry import Query
 
-_PARTS = (relational.R, graphs.R, content.R)
+_PARTS = (relational.R, graphs.R, content.R, reports.R)
 
 
 def queries() -> dict[str, Query]:
