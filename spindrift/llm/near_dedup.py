@@ -7,13 +7,13 @@ its own, so that a sketch of a short text has the same law as that of a long one
 
 1. Documents with equal sets form a class at once; what follows sees one representative of each.
 2. The registers are cut into ``BANDS`` bands, and equal bands make candidates. At a similarity of 0.75 a pair
-   shares no band with a probability of 5e-6. In each band the documents are only paired with its smallest id, never
-   all with all.
+   shares no band with a probability of 5e-6. In each band the documents are paired with one pivot, never all with
+   all; every band draws its own pivot, so a document of a large group meets several.
 3. For a pair, equal registers, corrected for the chance that different minima look alike, estimate the similarity.
    Pairs within ``MARGIN`` (five standard errors) of the threshold and above are confirmed on the full sets.
-4. Confirmed links give components. Then each band that still holds several components is taken again: its members of
-   different components are compared in blocks of bounded size, so a pair that the smallest id did not connect is not
-   lost. Pairs within a component need no link.
+4. Confirmed links give components. Step 2 is repeated with other pivots for the bands that hold several components.
+   Then each band that still does is taken again: its members of different components are compared in blocks of
+   bounded size, so a pair that no pivot connected is not lost. Pairs within a component need no link.
 
 No band, block or class has a cap. Counts and minima are combined on the map side; components are joins. Sets are only
 built again for the documents of candidate pairs.
@@ -42,6 +42,8 @@ PERCENT = 75
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 #: Shares of registers below the threshold down to which pairs are confirmed on their sets.
 MARGIN = 0.2
+#: Turns of step 2, each with other pivots.
+STARS = 2
 #: Documents of one block in step 4.
 BLOCK = 256
 #: Word hashes that a worker remembers.
@@ -208,7 +210,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     width = 2 * REGISTERS // BANDS
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * F.lit(width) + 1, F.lit(width))))
     keys = classes.select("rep", F.explode(band).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size")).where("pivot <> last").drop("last")
+    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size")
     members = scratch.keep("members", keys.join(scratch.keep("shared", shared), "key"))
 
     def with_registers(pairs: DataFrame) -> DataFrame:
@@ -217,27 +219,34 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         alike = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
         return pairs.join(x, "a").join(y, "b").where(alike)
 
-    stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = scratch.keep("stars", _near(with_registers(stars)))
-    links = _confirmed(rows, stars, scratch, "links")
-    found = scratch.keep("found", connected_components(links))
-
     def labelled(of: DataFrame, name: str) -> DataFrame:
         """of with the component so far of its column name."""
+        if found is None:
+            return of.withColumn("component", F.col(name))
         return of.join(found.withColumnRenamed("node", name), name, "left").withColumn("component", F.coalesce("component", name))
 
-    tagged = scratch.keep("tagged", labelled(members.select("key", "rep", "size"), "rep"))
+    found = links = tried = None
+
+    def link(pairs: DataFrame, name: str) -> None:
+        """Confirm pairs that were not tried before, and renew the components."""
+        nonlocal found, links, tried
+        new = scratch.keep(name, pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if new.limit(1).count():
+            tried = new if tried is None else tried.unionByName(new)
+            more = _confirmed(rows, new, scratch, f"{name}_links")
+            links = more if links is None else links.unionByName(more)
+            found = scratch.keep(f"{name}_found", connected_components(links))
+
+    for turn in range(STARS):
+        tagged = scratch.keep(f"tagged{turn}", labelled(members, "rep").select("key", "rep", "size", "component"))
+        pivot = F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("pivot")
+        stars = tagged.groupBy("key").agg(pivot, F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "pivot")
+        stars = tagged.join(scratch.keep(f"pivots{turn}", stars), "key").where(F.col("component") != F.col("pivot.component"))
+        stars = stars.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
+        link(_near(with_registers(stars)), f"stars{turn}")
+    tagged = scratch.keep("tagged", labelled(members, "rep").select("key", "rep", "size", "component"))
     open_keys = tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    left = tagged.join(open_keys, "key")
-    again = _block_pairs(left.join(reps, "rep").select("key", "rep", "component", "n", "registers", "size"))
-    again = scratch.keep("again", again.join(stars, ["a", "b"], "left_anti"))
-    if again.limit(1).count():
-        more = _confirmed(rows, again, scratch, "more")
-        lifted = labelled(labelled(more, "a").select(F.col("component").alias("x"), "b"), "b").select(F.col("x").alias("a"), F.col("component").alias("b"))
-        joined = scratch.keep("joined", connected_components(lifted))
-        top = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-        alone = joined.join(found.select("node"), "node", "left_anti")
-        found = scratch.keep("final", top.unionByName(alone.select("node", "component")))
+    link(_block_pairs(tagged.join(open_keys, "key").join(reps, "rep").select("key", "rep", "component", "n", "registers", "size")), "blocks")
     of_class = labelled(classes.select("n", "s1", "s2", "rep"), "rep").select("n", "s1", "s2", "component")
     of_class = scratch.keep("of_class", of_class)
     out = sketches.select("doc_id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
