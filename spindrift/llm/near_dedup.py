@@ -13,7 +13,8 @@ its own, so that a sketch of a short text has the same law as that of a long one
    Pairs within ``MARGIN`` (five standard errors) of the threshold and above are confirmed on the full sets.
 4. Confirmed links give components. Step 2 is repeated with other pivots for the bands that hold several components.
    Then each band that still does is taken again: its members of different components are compared in blocks of
-   bounded size, so a pair that no pivot connected is not lost. Pairs within a component need no link.
+   bounded size, so a pair that no pivot connected is not lost; they are confirmed where they meet, and only links
+   leave a block. Pairs within a component need no link.
 
 No band, block or class has a cap. Counts and minima are combined on the map side; components are joins. Sets are only
 built again for the documents of candidate pairs.
@@ -45,7 +46,7 @@ MARGIN = 0.2
 #: Turns of step 2, each with other pivots.
 STARS = 2
 #: Documents of one block in step 4.
-BLOCK = 256
+BLOCK = 1024
 #: Word hashes that a worker remembers.
 CACHE_WORDS = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -153,47 +154,92 @@ def _near(pairs: DataFrame) -> DataFrame:
 def _confirmed(rows: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs whose full sets are similar enough, as a written table."""
     ids = scratch.keep(f"{name}_ids", pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    sets = _sets(rows, ids)
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    both = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("total"))
+    return scratch.keep(name, both.where(100 * F.col("common") >= PERCENT * (F.col("total") - F.col("common"))).select("a", "b"))
+
+
+def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, items: the full sets of some documents, built again from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, known).view(np.int64) for t in utf8(batch.column(1))], pa.list_(pa.int64()))], ["doc_id", "items"])
 
-    sets = map_batches(rows.join(hinted(ids, 16), "doc_id"), run, "doc_id long, items array<long>")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    both = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("total"))
-    return scratch.keep(name, both.where(100 * F.col("common") >= PERCENT * (F.col("total") - F.col("common"))).select("a", "b"))
+    return map_batches(rows.join(hinted(ids, 16), "doc_id"), run, "doc_id long, items array<long>")
+
+
+def _cross(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of pairs of different components, with an estimate within the margin, that share no band before
+    this one, so that each pair is met in one band only."""
+    i, j, band = (table.column(k)[0].as_py() for k in ("i", "j", "band"))
+    own, rep, component, n = (table.column(k).to_numpy() for k in ("own", "rep", "component", "n"))
+    registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for x in left.tolist():
+        y = right[component[right] != component[x]]
+        if i == j:
+            y = y[rep[y] > rep[x]]
+        y = y[100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x])]
+        if len(y):
+            equal = registers[y] == registers[x]
+            first = equal.reshape(len(y), BANDS, -1).all(2).argmax(1) == band
+            y = y[first & (estimate(equal.sum(1)) >= PERCENT / 100 - MARGIN)]
+            if len(y):
+                found.append((np.full(len(y), x), y))
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate(p) for p in zip(*found, strict=True)) if found else (empty, empty)
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components within a band, block by block: a, b with an estimate within the margin.
+def _open_links(rows: DataFrame, members: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b: links between different components within a band, enough of them to connect what is linked there.
 
-    members: key, rep, component, n, registers, and size (of the band).
+    members: key, band, rep, component, and size (of the band). Members are dealt to pairs of blocks. The registers tell
+    which members are in a pair to confirm at all; only the sets of these go to the blocks, where pairs are confirmed
+    one by one and skipped once their components are connected. No pair leaves a block unless it is a link.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    dealt = members.select("key", "rep", "component", "n", "registers", own.alias("own"), other.alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "registers")
-
-    def run(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        own, rep, component, n = (table.column(k).to_numpy() for k in ("own", "rep", "component", "n"))
-        registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    dealt = members.select("key", "band", "rep", "component", own.alias("own"), other.alias("other"))
+    dealt = dealt.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
+
+    def involved(table: pa.Table) -> pa.Table:
+        x, y = _cross(table)
+        return table.select(["key", "band", "i", "j", "own", "rep", "component"]).take(pa.array(np.unique(np.concatenate([x, y]))))
+
+    schema = "key long, band int, i int, j int, own int, rep long, component long"
+    active = scratch.keep("active", dealt.join(reps, "rep").select("key", "band", "i", "j", "own", "rep", "component", "n", "registers").groupBy("key", "i", "j").applyInArrow(involved, schema))
+    ids = scratch.keep("active_ids", active.select(F.col("rep").alias("doc_id")).distinct())
+    full = active.join(reps, "rep").join(_sets(rows, ids).withColumnRenamed("doc_id", "rep"), "rep")
+
+    def confirm(table: pa.Table) -> pa.Table:
+        x, y = _cross(table)
+        rep, component = (table.column(k).to_numpy() for k in ("rep", "component"))
+        items = [np.asarray(v, np.int64) for v in table.column("items").to_pylist()]
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
         out: list[tuple[int, int]] = []
-        for x in left.tolist():
-            y = right[component[right] != component[x]]
-            if i == j:
-                y = y[rep[y] > rep[x]]
-            y = y[100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x])]
-            if len(y):
-                y = y[estimate((registers[y] == registers[x]).sum(1)) >= PERCENT / 100 - MARGIN]
-                out += [(min(rep[x], k), max(rep[x], k)) for k in rep[y].tolist()]
-        return pa.table({"a": pa.array([int(p[0]) for p in out], pa.int64()), "b": pa.array([int(p[1]) for p in out], pa.int64())})
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            one, two = root(component[a]), root(component[b])
+            if one != two:
+                common = len(np.intersect1d(items[a], items[b], assume_unique=True))
+                if 100 * common >= PERCENT * (len(items[a]) + len(items[b]) - common):
+                    parent[max(one, two)] = min(one, two)
+                    out.append((int(min(rep[a], rep[b])), int(max(rep[a], rep[b]))))
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    linked = full.select("key", "band", "i", "j", "own", "rep", "component", "n", "registers", "items").groupBy("key", "i", "j").applyInArrow(confirm, "a long, b long")
+    return scratch.keep("open_links", linked.distinct())
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -209,7 +255,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     width = 2 * REGISTERS // BANDS
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * F.lit(width) + 1, F.lit(width))))
-    keys = classes.select("rep", F.explode(band).alias("key"))
+    keys = classes.select("rep", F.posexplode(band).alias("band", "key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size")
     members = scratch.keep("members", keys.join(scratch.keep("shared", shared), "key"))
 
@@ -238,15 +284,17 @@ def near_dedup(docs: DataFrame) -> DataFrame:
             found = scratch.keep(f"{name}_found", connected_components(links))
 
     for turn in range(STARS):
-        tagged = scratch.keep(f"tagged{turn}", labelled(members, "rep").select("key", "rep", "size", "component"))
+        tagged = scratch.keep(f"tagged{turn}", labelled(members, "rep").select("key", "band", "rep", "size", "component"))
         pivot = F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("pivot")
         stars = tagged.groupBy("key").agg(pivot, F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "pivot")
         stars = tagged.join(scratch.keep(f"pivots{turn}", stars), "key").where(F.col("component") != F.col("pivot.component"))
         stars = stars.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
         link(_near(with_registers(stars)), f"stars{turn}")
-    tagged = scratch.keep("tagged", labelled(members, "rep").select("key", "rep", "size", "component"))
+    tagged = scratch.keep("tagged", labelled(members, "rep").select("key", "band", "rep", "size", "component"))
     open_keys = tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    link(_block_pairs(tagged.join(open_keys, "key").join(reps, "rep").select("key", "rep", "component", "n", "registers", "size")), "blocks")
+    more = _open_links(rows, tagged.join(open_keys, "key"), reps, scratch)
+    if more.limit(1).count():
+        found = scratch.keep("found", connected_components(more if links is None else links.unionByName(more)))
     of_class = labelled(classes.select("n", "s1", "s2", "rep"), "rep").select("n", "s1", "s2", "component")
     of_class = scratch.keep("of_class", of_class)
     out = sketches.select("doc_id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
