@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import Scratch, back_id, drop_by_id, texts
+from spindrift.llm.common import Scratch, back_id, drop_by_id, hinted, texts
 
 #: Most documents are one block; it bounds what a row of the first shuffle holds.
 BLOCK_BYTES = 4096
@@ -86,8 +86,9 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256. The smallest id of a group stays."""
     scratch = Scratch(docs.sparkSession)
     ids = scratch.keep("identities", block_identities(docs, block_bytes))
-    groups = ids.groupBy("depth", "name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    out = ids.join(groups, ["depth", "name"])
+    groups = ids.groupBy("depth", "name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    out = ids.join(hinted(scratch.keep("groups", groups), 32), ["depth", "name"], "left")
+    out = out.withColumn("keep_id", F.coalesce("keep_id", "doc_id")).withColumn("group_size", F.coalesce("group_size", F.lit(1)))
     return out.select(back_id(), back_id("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 
