@@ -131,7 +131,27 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def drop_by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id (null included) is in ids; nothing but ids moves while they are few."""
-    ids = Scratch(docs.sparkSession).keep("dropped", ids.select(F.col("doc_id").alias("_dropped")))
-    return docs.join(hinted(ids, 16), F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row (_row), as a written table, so that every scan sees the same numbers."""
+    return Scratch(docs.sparkSession).keep("rows", docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def row_texts(rows: DataFrame) -> DataFrame:
+    """Row numbers as doc_id and text: what an operator reads to judge each row alone, whatever ids rows share."""
+    return rows.select(F.col("_row").alias("doc_id"), "text")
+
+
+def drop_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of with_rows whose number (_row) is not in dropped, columns as they were; nothing but numbers moves while
+    these are few."""
+    dropped = Scratch(rows.sparkSession).keep("dropped", dropped.select("_row"))
+    return rows.join(hinted(dropped, 16), "_row", "left_anti").drop("_row")
+
+
+def one_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of with_rows with one row of each group (groups: _row, group), that with the smallest id, a null id being
+    the largest; of equal ids the first row stays. Rows without a group stay."""
+    groups = Scratch(rows.sparkSession).keep("groups", groups.select("_row", "group"))
+    ids = rows.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    first = groups.join(ids, "_row").groupBy("group").agg(F.min(F.struct("id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
+    return drop_rows(rows, groups.join(first, "_row", "left_anti"))

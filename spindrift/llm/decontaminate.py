@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import Scratch, back_id, drop_by_id, map_batches, texts, utf8
+from spindrift.llm.common import Scratch, back_id, drop_rows, map_batches, row_texts, texts, utf8, with_rows
 
 WINDOW = 13
 #: Windows in one broadcast; at some 200 bytes each this is at most 200 MB in a worker.
@@ -173,7 +173,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
 
 
 def decontaminate_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """docs without contaminated documents, all columns as they were."""
-    bad = benchmark_hits(docs, benchmark, size).where(contaminated(share)).select(back_id())
-    return drop_by_id(docs, bad)
-
+    """docs without contaminated documents, all columns as they were; each row is judged by its own text."""
+    rows = with_rows(docs)
+    bad = benchmark_hits(row_texts(rows), benchmark, size).where(contaminated(share))
+    return drop_rows(rows, bad.select(F.col("doc_id").alias("_row")))

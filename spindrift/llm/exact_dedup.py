@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import Scratch, back_id, drop_by_id, hinted, texts
+from spindrift.llm.common import Scratch, back_id, hinted, one_of_each, row_texts, texts, with_rows
 
 #: Most documents are one block; it bounds what a row of the first shuffle holds.
 BLOCK_BYTES = 4096
@@ -93,12 +93,10 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def exact_dedup_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without the documents that equal one with a smaller id, and without repeated rows; columns as they were."""
-    dropped = exact_dedup(docs, block_bytes).where("not kept").select("doc_id").distinct()
-    out = drop_by_id(docs, dropped)
-    again = Scratch(docs.sparkSession).keep("again", docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
-    if not again.limit(1).count():
-        return out
-    same = F.col("doc_id").eqNullSafe(F.col("_again"))
-    repeated = out.join(again, same, "left_semi").withColumn("_text", normalised(F.coalesce("text", F.lit(""))))
-    return out.join(again, same, "left_anti").unionByName(repeated.dropDuplicates(["doc_id", "_text"]).drop("_text"))
+    """docs without the documents that equal one with a smaller id, and without repeated rows; columns as they were.
+
+    Rows are judged one by one: of equal texts one row stays, and an id that rows share, or lack, drops no other text.
+    """
+    rows = with_rows(docs)
+    copies = exact_dedup(row_texts(rows), block_bytes).where("group_size > 1")
+    return one_of_each(rows, copies.select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("group")))

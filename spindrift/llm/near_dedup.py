@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import Scratch, back_id, drop_by_id, hinted, map_batches, small_batches, texts, utf8
+from spindrift.llm.common import Scratch, back_id, hinted, map_batches, one_of_each, row_texts, small_batches, texts, utf8, with_rows
 from spindrift.llm.components import connected_components
 
 WORDS = 5
@@ -303,5 +303,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup_documents(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; columns as they were."""
-    return drop_by_id(docs, near_dedup(docs).where("not kept").select("doc_id").distinct())
+    """docs with one document of each component, the one with the smallest id; columns as they were.
+
+    Rows are judged one by one: an id that rows share, or lack, links and drops no other text.
+    """
+    rows = with_rows(docs)
+    return one_of_each(rows, near_dedup(row_texts(rows)).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")))

@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import numpy as np
-from conftest_llm import in_order, pairs
+from conftest_llm import in_order, pairs, prose
 from test_exact_dedup import brute as exact
 from test_near_dedup import brute as near
 
@@ -60,3 +60,23 @@ def test_odd_and_empty_inputs(spark, odd, empty):
         if name != "bpe":
             assert out.columns == odd.columns
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_null_and_shared_ids_drop_only_the_bad_row(spark):
+    """One copy, near copy or contaminated text among clean rows with its id, or without one, takes none of them along."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").orderBy("item_id").first()["text"]
+    base = prose(1, 120)
+    near = " ".join([*base.split(" ")[:-1], "changed"])
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = lambda df: in_order((r["doc_id"], r["text"]) for r in df.collect())
+    for i in (None, 7):
+        clean = [(i, prose(20 + k, 80), "en") for k in range(4)]
+        one = [(1, base, "en")]
+        for stage, bad in ((corpus_pipeline.drop_exact_copies, base), (corpus_pipeline.drop_near_copies, near), (corpus_pipeline.drop_contaminated, item)):
+            out = stage(spark, docs([*one, *clean, (i, bad, "en")]), SF)
+            assert out.columns == ["doc_id", "text", "lang"]
+            assert kept(out) == in_order(r[:2] for r in [*one, *clean]), (i, stage.__name__)
+        # Copies of each other that share an id or have none: one stays.
+        twice = docs([*clean, (i, base, "en"), (i, base, "en")])
+        assert kept(corpus_pipeline.drop_exact_copies(spark, twice, SF)) == in_order([*(r[:2] for r in clean), (i, base)])
+        assert len(kept(corpus_pipeline.drop_near_copies(spark, docs([*clean, (i, base, "en"), (i, near, "en")]), SF))) == 5
