@@ -159,22 +159,21 @@ def _parsed(rows: DataFrame, buckets: int, heavy: np.ndarray, tagged: bool) -> D
     """ENTRY and HEAVY_ENTRY rows (trigger, name, id, place of the phrase) and WHOLE rows (id, place) of copies."""
 
     def flush(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        held.sort(key=lambda x: x[0])
+        held.sort(key=lambda x: (x[0], _place(x[1], tagged)))
         found = []
         for doc, text in held:
             trigger, name, _, _ = phrases(text)
             place = np.arange(len(name), dtype=np.uint64) | np.uint64(_place(text, tagged))
             found.append((trigger, name, np.full(len(name), doc, np.int64).view(np.uint64), place))
         trigger, name, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(name, kind="stable")  # ids ascend within a name
+        order = np.argsort(name, kind="stable")  # ids, and texts of an id, ascend within a name
         start = _runs(name[order])
-        first = np.zeros(len(order), bool)
-        first[start] = True
         lead = np.repeat(doc[order[start]], np.diff(np.append(start, len(order))))
         copy = doc[order] != lead
-        # One mark of a name is enough for each document.
-        same = np.concatenate(([False], (name[order][1:] == name[order][:-1]) & (doc[order][1:] == doc[order][:-1]))) if len(order) else copy
-        sent, marked = order[first], order[copy & ~same]
+        # One mark of a name, or one entry, is enough for each document and, where rows share ids, for each of its texts.
+        tag = place[order] >> np.uint64(32)
+        same = np.concatenate(([False], (name[order][1:] == name[order][:-1]) & (doc[order][1:] == doc[order][:-1]) & (tag[1:] == tag[:-1]))) if len(order) else copy
+        sent, marked = order[~copy & ~same], order[copy & ~same]
         out = []
         is_heavy = np.isin(trigger[sent], heavy) if len(heavy) else np.zeros(len(sent), bool)
         plain, dealt = sent[~is_heavy], sent[is_heavy]

@@ -2,7 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
-from conftest_llm import in_order, pairs
+from conftest_llm import in_order, pairs, prose
 
 from spindrift.llm import repeats
 
@@ -43,6 +43,18 @@ def test_rows_with_one_id_and_different_texts(spark):
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+@pytest.mark.parametrize("i", [2, None])
+def test_each_text_of_an_id_loses_the_phrase(spark, i):
+    """Rows with one id and different texts in one task, with the first document there or in another task."""
+    passage = prose(5, 40)
+    rows = [(1, passage), (i, prose(6, 40) + " " + passage), (i, prose(7, 40) + " " + passage), (i, passage + " " + prose(8, 40))]
+    schema = "doc_id long, text string"
+    together = spark.createDataFrame(rows, schema).coalesce(1)
+    apart = spark.createDataFrame(rows[:1], schema).coalesce(1).unionByName(spark.createDataFrame(rows[1:], schema).coalesce(1))
+    assert got(together) == brute(rows)
+    assert got(apart) == brute(rows)
+
+
 def test_real(real):
     some = real.limit(80)
     assert got(some) == brute(pairs(some))
