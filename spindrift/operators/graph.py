@@ -122,6 +122,19 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def weak_components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node), for each node of an edge, whichever way edges lead."""
+    rounds = Rounds(edges.sparkSession)
+    both = rounds.keep(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    of = rounds.keep(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
+    while True:
+        flow = both.join(of.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("new"))
+        moved = rounds.keep(of.join(flow, "node").select("node", F.least("component", "new").alias("component"), (F.col("new") < F.col("component")).alias("changed")))
+        of = moved.select("node", "component")
+        if not some(moved.where("changed")):
+            return of
+
+
 def break_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
     """Edges without those within a component that do not lead to a larger node, so what is left has no cycle."""
     of = components.select("node", "component")
@@ -162,7 +175,7 @@ def dependency_first(edges: DataFrame, group: str = "graph") -> DataFrame:
     """group, node, position: depth-first order with dependencies (dst) before dependents (src), for each group.
 
     Roots, on which nothing depends, and dependencies are taken in ascending order; nodes that no root reaches follow.
-    A group is one graph (one repository) and is walked in one task.
+    A group is one graph (one repository) and is walked in one task. A self edge only adds its node.
     """
     import pandas as pd
 
@@ -171,7 +184,7 @@ def dependency_first(edges: DataFrame, group: str = "graph") -> DataFrame:
         for src, dst in zip(pdf["src"], pdf["dst"], strict=True):
             after.setdefault(src, set()).add(dst)
             after.setdefault(dst, set())
-        depended = {d for v in after.values() for d in v}
+        depended = {d for n, v in after.items() for d in v if d != n}
         seen, order = set(), []
         for root in [*sorted(n for n in after if n not in depended), *sorted(after)]:
             stack = [(root, None)]

@@ -71,9 +71,12 @@ def topological_levels(spark, d):
 
 @R.add("grf_04_dependency_first_order")
 def dependency_first_order(spark, d):
-    """Each component of the graph is one group, so groups are walked in parallel."""
-    edges = v.calls_dag(spark, d).withColumn("graph", F.pmod(F.col("src"), F.lit(16)))
-    return graph.dependency_first(edges)
+    """All calls without their cycles; each component of the graph is one group, so groups are walked in parallel."""
+    edges = v.calls(spark, d)
+    of = graph.weak_components(edges)
+    nodes = of.select(F.col("node").alias("src"), F.col("node").alias("dst"))
+    acyclic = graph.break_cycles(edges, graph.strong_components(edges)).unionByName(nodes)
+    return graph.dependency_first(acyclic.join(of.select(F.col("node").alias("src"), F.col("component").alias("graph")), "src"))
 
 
 def _reach_sql(depth: int, forward: bool) -> str:
