@@ -91,7 +91,7 @@ def head_tail(spark, d):
 
 @R.add("win_10_expand_view")
 def expand_view(spark, d):
-    return lines.expand(_as_code(_code_lines(spark, d)), "doc_id", 5, 8)
+    return lines.expand(_as_code(lines.numbered(_docs(spark, d), "doc_id", "text")), "doc_id", 5, 8)
 
 
 @R.add("txt_14_truncate_code")

@@ -31,3 +31,10 @@ def test_dependency_first_order_on_all_calls(spark):
     assert all(r["graph"] == min(around[r["node"]]) for r in rows)
     place = {r["node"]: r["position"] for r in rows}
     assert all(place[b] < place[a] for a, b in calls if a not in reach[b] or a < b)
+
+
+def test_expand_view_reads_every_document(spark, tmp_path):
+    rows = [(i, "\n".join(f"line {k} of {i}" for k in range(12))) for i in range(1, 8)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["win_10_expand_view"](spark, str(tmp_path))
+    assert {r["doc_id"] for r in out.select("doc_id").collect()} == set(range(1, 8))
