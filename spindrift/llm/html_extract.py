@@ -6,7 +6,7 @@ are smoothed over the paths in page order, fused, and held against a threshold o
 are content. The main region is the article or main element with the most content or, where there is none, the
 smallest element that holds all content blocks. What lies in it is the article, but for elements that are no part of
 one by name, role or class (menus, headers, footers, sidebars, notices, adverts, forms, comments) and for paths that
-are mostly links.
+are mostly links. A class word drops no article or main, nor what holds the article or most of the page's text.
 
 Pages are independent: there is no shuffle, and a task holds one Arrow batch of pages.
 
@@ -70,28 +70,63 @@ class Block:
 
 
 def _drops(name: str, attributes: str, stack: list[tuple[str, int, bool]]) -> bool:
-    """Whether an element is no part of an article."""
+    """Whether an element is no part of an article by its name or role."""
     if name in _DROPPED:
         return True
     if name == "header" and not any(x[0] in _REGIONS for x in stack):
         return True
     if name in ("html", "body", "main") or not attributes or "=" not in attributes:
         return False
+    return any(key.lower() == "role" and "".join(values).strip().lower() in _ROLES for key, *values in _ATTRIBUTE.findall(attributes))
+
+
+def _doubts(name: str, attributes: str) -> frozenset[str]:
+    """Words of an element's class and id that speak against it."""
+    if name in ("html", "body", *_REGIONS) or not attributes or "=" not in attributes:
+        return frozenset()
+    found: set[str] = set()
     for key, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values)
-        if key.lower() == "role":
-            if value.strip().lower() in _ROLES:
-                return True
-        elif not _CLASSES.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
-            return True
-    return False
+        if key.lower() != "role":
+            found |= _CLASSES.intersection(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(values)).lower()))
+    return frozenset(found)
+
+
+def _kept(found: list[Block], names: dict[int, str], doubts: dict[int, frozenset[str]]) -> list[Block]:
+    """The blocks outside dropped elements. Class words drop an element unless it holds the article, or those with its
+    words hold most of the article's text, links left out. The article is the article or main with the most text, within
+    a doubted element only if it has as much text as all that is not doubted; without one it is the page."""
+    found = [b for b in found if not b.dropped]
+    if not doubts:
+        return found
+    own = [max(0, len(b.text) - b.linked) for b in found]
+    clear = sum(n for b, n in zip(found, own, strict=True) if doubts.keys().isdisjoint(b.chain))
+    regions: dict[int, int] = {}
+    above: dict[int, list[int]] = {}
+    for b, n in zip(found, own, strict=True):
+        for i, number in enumerate(b.chain):
+            if names[number] in _REGIONS:
+                regions[number] = regions.get(number, 0) + n
+                above[number] = b.chain[:i]
+    article = max((k for k, n in regions.items() if n >= clear or doubts.keys().isdisjoint(above[k])), key=lambda k: (regions[k], -k), default=None)
+    total, of_words = 0, {}
+    for b, n in zip(found, own, strict=True):
+        if article is None or article in b.chain:
+            total += n
+            for words in {doubts[number] for number in b.chain if number in doubts}:
+                of_words[words] = of_words.get(words, 0) + n
+    holders = set(above.get(article, ()))
+    most = {words for words, n in of_words.items() if 2 * n > total}
+    inside = {number for b in found if article is None or article in b.chain for number in b.chain}
+    dropped = {number for number, words in doubts.items() if number not in holders and not (number in inside and words in most)}
+    return [b for b in found if dropped.isdisjoint(b.chain)]
 
 
-def blocks(html: str) -> tuple[list[Block], dict[int, str]]:
-    """The blocks of a page in order, and the names of its elements by number."""
+def blocks(html: str) -> tuple[list[Block], dict[int, str], dict[int, frozenset[str]]]:
+    """The blocks of a page in order, and by number the names of its elements and the words that speak against them."""
     out: list[Block] = []
     stack: list[tuple[str, int, bool]] = []
     names: dict[int, str] = {}
+    doubts: dict[int, frozenset[str]] = {}
     pieces: list[str] = []
     linked = in_link = 0
 
@@ -158,11 +193,13 @@ def blocks(html: str) -> tuple[list[Block], dict[int, str]]:
                     break
         number = len(names)
         names[number] = name
+        if words := _doubts(name, attributes):
+            doubts[number] = words
         stack.append((name, number, (bool(stack) and stack[-1][2]) or _drops(name, attributes, stack)))
     if at < len(html):
         add(html[at:])
     flush()
-    return out, names
+    return out, names, doubts
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -199,8 +236,8 @@ def main_text(html: str | None) -> str:
     """The blocks of the article, joined by two newlines."""
     if not html:
         return ""
-    found, names = blocks(html)
-    found = [b for b in found if not b.dropped]
+    found, names, doubts = blocks(html)
+    found = _kept(found, names, doubts)
     content = content_paths(found)
     if not content:
         content = {b.path: 1.0 for b in found if b.linked < LINKS * len(b.text)}
