@@ -1,14 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks: the text between two block-level tags. Each block has a tag path, the block-level elements
-from the root to it. Text length and punctuation are summed for each tag path and divided by its blocks; both ratios
-are smoothed over the paths in page order, fused, and held against a threshold of the page's own spread. Paths above it
-are content. The main region is the article or main element with the most content or, where there is none, the
-smallest element that holds all content blocks. What lies in it is the article, but for elements that are no part of
-one by name, role or class (menus, headers, footers, sidebars, notices, adverts, forms, comments) and for paths that
-are mostly links. A class word drops no article or main, nor what holds the article or most of the page's text.
+(with their classes) from the root to it. Text outside links and punctuation are summed for each tag path, divided by
+its blocks and fused. A path is content if its ratio, smoothed with those of its neighbours in the same container,
+reaches a share of the page's own level; what is below stays out, whether or not an element's name tells what it is.
 
-Pages are independent: there is no shuffle, and a task holds one Arrow batch of pages.
+Element names and roles that are no part of an article (menus, headers, footers, sidebars, adverts, forms, scripts) are
+left out beforehand, and so are elements whose class or id says so; a class word drops no article or main, nor what holds
+the article or most of the page's text. An article or main element is a prior: the one with the most scored text bounds
+the blocks, unless the rest of the page outweighs it ``REGION`` times.
+
+Pages are independent: there is no shuffle, and a task holds one Arrow batch of pages. A page costs time and memory in
+proportion to its length, also if it is a hundred thousand elements deep.
 
 Defined cases: null or empty html has an empty text; a page cut off in a tag, comment or script ends there; a page
 without content has an empty text; repeated rows are each extracted; an empty table gives an empty result; other
@@ -19,7 +22,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -50,83 +54,115 @@ _CLASSES = frozenset(
 )
 _REGIONS = frozenset(("article", "main"))
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li".split())
-_SIBLINGS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
+#: By element: those that its start closes, and those within which it does not.
+_SIBLINGS = {
+    "li": (("li",), frozenset(("ul", "ol", "menu"))),
+    "dt": (("dt", "dd"), frozenset(("dl",))),
+    "dd": (("dt", "dd"), frozenset(("dl",))),
+    "tr": (("tr",), frozenset(("table",))),
+    "td": (("td", "th"), frozenset(("tr", "table"))),
+    "th": (("td", "th"), frozenset(("tr", "table"))),
+    "option": (("option",), frozenset(("select",))),
+}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose text is text, and those that only group such.
+_TEXTUAL = _HEADINGS | frozenset("p li dt dd td th blockquote pre caption figcaption address".split())
+_GROUPS = frozenset("ul ol dl li table tbody thead tfoot tr td blockquote figure hgroup".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？]")
 #: Share of linked text from which a path is a list of links.
 LINKS = 0.6
-#: Spreads below the mean of the fused ratios at which the threshold lies.
-SPREADS = 0.5
+#: Share of the page's level (the ratio of its median character) from which a path is content.
+SHARE = 0.15
+#: So many times an article's scored text must be outweighed by the rest of the page to bound nothing.
+REGION = 4
+
+
+class Page:
+    """A page's elements, numbered as they open (so a parent's number is smaller), and its blocks in order.
+
+    An element knows its parent and its tag path; a block knows the element that holds it. Nothing is copied down the
+    tree, so a page costs time and memory in proportion to its length, however deep it is.
+    """
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.parents: list[int] = []
+        self.paths: list[int] = []
+        self.dropped: list[bool] = []
+        self.doubts: dict[int, frozenset[str]] = {}
+        self.steps: dict[tuple[int, str], int] = {}
+        self.above: list[int] = []
+        self.leaves: list[str] = []
+        self.blocks: list[Block] = []
+
+    def open(self, name: str, attributes: str, parent: int, in_region: bool) -> int:
+        words, classes, role = _attributes(attributes)
+        number = len(self.names)
+        self.names.append(name)
+        self.parents.append(parent)
+        key = (self.paths[parent] if parent >= 0 else -1, f"{name}.{classes}" if classes else name)
+        path = self.steps.get(key)
+        if path is None:
+            path = self.steps[key] = len(self.above)
+            self.above.append(key[0])
+            self.leaves.append(name)
+        self.paths.append(path)
+        out = name in _DROPPED or (name == "header" and not in_region) or (role in _ROLES and name not in ("html", "body", "main"))
+        self.dropped.append(out or (parent >= 0 and self.dropped[parent]))
+        if words and name not in ("html", "body", *_REGIONS):
+            self.doubts[number] = words
+        return number
+
+    def below(self, own: dict[int, float]) -> list[float]:
+        """For each element the sum over it and all below it of values given by element."""
+        total = [0.0] * len(self.names)
+        for number, value in own.items():
+            total[number] += value
+        for number in range(len(total) - 1, 0, -1):
+            if self.parents[number] >= 0:
+                total[self.parents[number]] += total[number]
+        return total
+
+    def marked(self, which: Iterable[int]) -> list[bool]:
+        """For each element whether it is one of which or lies in one."""
+        out = [False] * len(self.names)
+        for number in which:
+            out[number] = True
+        for number, parent in enumerate(self.parents):
+            if parent >= 0 and out[parent]:
+                out[number] = True
+        return out
 
 
 class Block:
-    __slots__ = ("text", "path", "chain", "linked", "dropped", "heading")
-
-    def __init__(self, text: str, stack: list[tuple[str, int, bool]], linked: int):
-        self.text, self.linked = text, linked
-        self.path = "/".join(x[0] for x in stack)
-        self.chain = [x[1] for x in stack]
-        self.heading = bool(stack) and stack[-1][0] == "h1"
-        self.dropped = bool(stack) and stack[-1][2]
-
-
-def _drops(name: str, attributes: str, stack: list[tuple[str, int, bool]]) -> bool:
-    """Whether an element is no part of an article by its name or role."""
-    if name in _DROPPED:
-        return True
-    if name == "header" and not any(x[0] in _REGIONS for x in stack):
-        return True
-    if name in ("html", "body", "main") or not attributes or "=" not in attributes:
-        return False
-    return any(key.lower() == "role" and "".join(values).strip().lower() in _ROLES for key, *values in _ATTRIBUTE.findall(attributes))
-
-
-def _doubts(name: str, attributes: str) -> frozenset[str]:
-    """Words of an element's class and id that speak against it."""
-    if name in ("html", "body", *_REGIONS) or not attributes or "=" not in attributes:
-        return frozenset()
-    found: set[str] = set()
+    __slots__ = ("text", "at", "linked")
+
+    def __init__(self, text: str, at: int, linked: int):
+        self.text, self.at, self.linked = text, at, min(linked, len(text))
+
+
+def _attributes(attributes: str) -> tuple[frozenset[str], str, str]:
+    """Words of class and id that speak against an element, its classes as a step of a path has them, and its role."""
+    if not attributes or "=" not in attributes:
+        return frozenset(), "", ""
+    words: set[str] = set()
+    classes = role = ""
     for key, *values in _ATTRIBUTE.findall(attributes):
-        if key.lower() != "role":
-            found |= _CLASSES.intersection(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(values)).lower()))
-    return frozenset(found)
+        value, key = "".join(values), key.lower()
+        if key == "role":
+            role = value.strip().lower()
+            continue
+        words |= _CLASSES.intersection(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
+        if key == "class":
+            classes = " ".join(sorted(re.sub(r"\d+", "", value).split()))
+    return frozenset(words), classes, role
 
 
-def _kept(found: list[Block], names: dict[int, str], doubts: dict[int, frozenset[str]]) -> list[Block]:
-    """The blocks outside dropped elements. Class words drop an element unless it holds the article, or those with its
-    words hold most of the article's text, links left out. The article is the article or main with the most text, within
-    a doubted element only if it has as much text as all that is not doubted; without one it is the page."""
-    found = [b for b in found if not b.dropped]
-    if not doubts:
-        return found
-    own = [max(0, len(b.text) - b.linked) for b in found]
-    clear = sum(n for b, n in zip(found, own, strict=True) if doubts.keys().isdisjoint(b.chain))
-    regions: dict[int, int] = {}
-    above: dict[int, list[int]] = {}
-    for b, n in zip(found, own, strict=True):
-        for i, number in enumerate(b.chain):
-            if names[number] in _REGIONS:
-                regions[number] = regions.get(number, 0) + n
-                above[number] = b.chain[:i]
-    article = max((k for k, n in regions.items() if n >= clear or doubts.keys().isdisjoint(above[k])), key=lambda k: (regions[k], -k), default=None)
-    total, of_words = 0, {}
-    for b, n in zip(found, own, strict=True):
-        if article is None or article in b.chain:
-            total += n
-            for words in {doubts[number] for number in b.chain if number in doubts}:
-                of_words[words] = of_words.get(words, 0) + n
-    holders = set(above.get(article, ()))
-    most = {words for words, n in of_words.items() if 2 * n > total}
-    inside = {number for b in found if article is None or article in b.chain for number in b.chain}
-    dropped = {number for number, words in doubts.items() if number not in holders and not (number in inside and words in most)}
-    return [b for b in found if dropped.isdisjoint(b.chain)]
-
-
-def blocks(html: str) -> tuple[list[Block], dict[int, str], dict[int, frozenset[str]]]:
-    """The blocks of a page in order, and by number the names of its elements and the words that speak against them."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []
-    names: dict[int, str] = {}
-    doubts: dict[int, frozenset[str]] = {}
+def parse(html: str) -> Page:
+    """The elements and blocks of a page."""
+    page = Page()
+    stack: list[int] = []
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = in_link = 0
 
@@ -134,7 +170,7 @@ def blocks(html: str) -> tuple[list[Block], dict[int, str], dict[int, frozenset[
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(Block(text, stack, linked))
+            page.blocks.append(Block(text, stack[-1] if stack else page.open("body", "", -1, False), linked))
         pieces.clear()
         linked = 0
 
@@ -148,8 +184,20 @@ def blocks(html: str) -> tuple[list[Block], dict[int, str], dict[int, frozenset[
     def pop(to: int) -> None:
         nonlocal in_link
         in_link = 0
+        opened.subtract(page.names[x] for x in stack[to:])
         del stack[to:]
 
+    def close(own: tuple[str, ...], stop: frozenset[str]) -> None:
+        """Close the innermost open element of own, unless one of stop comes first."""
+        if any(opened[x] for x in own):
+            for i in range(len(stack) - 1, -1, -1):
+                name = page.names[stack[i]]
+                if name in own:
+                    pop(i)
+                    break
+                if name in stop:
+                    break
+
     at = 0
     for m in _TOKEN.finditer(html):
         if m.start() > at:
@@ -169,100 +217,152 @@ def blocks(html: str) -> tuple[list[Block], dict[int, str], dict[int, frozenset[
             continue
         flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
+            close((name,), frozenset())
             continue
         if name in _VOID:
             continue
         if name in _CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    pop(i)
-                    break
-                if stack[i][0] not in ("span",) and stack[i][0] in _CLOSES_P:
-                    break
+            close(("p",), _CLOSES_P)
         if name in _SIBLINGS:
-            own, stop = _SIBLINGS[name]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in stop:
-                    break
-                if stack[i][0] in own.split():
-                    pop(i)
-                    break
-        number = len(names)
-        names[number] = name
-        if words := _doubts(name, attributes):
-            doubts[number] = words
-        stack.append((name, number, (bool(stack) and stack[-1][2]) or _drops(name, attributes, stack)))
+            close(*_SIBLINGS[name])
+        stack.append(page.open(name, attributes, stack[-1] if stack else -1, any(opened[x] for x in _REGIONS)))
+        opened[name] += 1
     if at < len(html):
         add(html[at:])
     flush()
-    return out, names, doubts
-
+    return page
 
-def _smoothed(values: list[float]) -> list[float]:
-    """Each value with half of its neighbours', in page order."""
-    out = []
-    for i, v in enumerate(values):
-        around = [x for x in (values[i - 1] if i else None, values[i + 1] if i + 1 < len(values) else None) if x is not None]
-        out.append((v + sum(around) / 2) / (1 + len(around) / 2))
-    return out
 
-
-def content_paths(found: list[Block]) -> dict[str, float]:
-    """Fused ratio of each tag path that is content."""
-    sums: dict[str, list[float]] = {}
+def _undoubted(page: Page, found: list[Block]) -> list[Block]:
+    """The blocks outside elements that class words speak against. Such words count against an element unless it holds the
+    article, or those with its words hold most of the article's text, links left out. The article is the article or main
+    with the most text, within a doubted element only if it has as much text as all that is not doubted; without one it
+    is the page."""
+    if not page.doubts:
+        return found
+    in_doubt = page.marked(page.doubts)
+    own: dict[int, float] = {}
     for b in found:
-        s = sums.setdefault(b.path, [0, 0, 0, 0])
+        own[b.at] = own.get(b.at, 0) + len(b.text) - b.linked
+    mass = page.below(own)
+    clear = sum(n for at, n in own.items() if not in_doubt[at])
+    regions = [k for k, name in enumerate(page.names) if name in _REGIONS and mass[k] and (mass[k] >= clear or not in_doubt[k])]
+    article = max(regions, key=lambda k: (mass[k], -k), default=None)
+    inside = page.marked([article]) if article is not None else [True] * len(page.names)
+    total = mass[article] if article is not None else sum(own.values())
+    # The text of those with the same words, each text once: of nested ones the outermost counts.
+    same: dict[frozenset[str], list[int]] = {}
+    for number, words in page.doubts.items():
+        if inside[number]:
+            same.setdefault(words, []).append(number)
+    most = set()
+    for words, numbers in same.items():
+        if sum(mass[k] for k in numbers) * 2 > total:
+            within = page.marked(numbers)
+            if 2 * sum(n for at, n in own.items() if within[at]) > total:
+                most.add(words)
+    holders = set()
+    while article is not None and article >= 0:
+        holders.add(article)
+        article = page.parents[article]
+    gone = page.marked(k for k, words in page.doubts.items() if k not in holders and not (inside[k] and words in most))
+    return [b for b in found if not gone[b.at]]
+
+
+def path_scores(page: Page, found: list[Block]) -> tuple[dict[int, float], set[int]]:
+    """Fused ratio of each tag path, and the paths that are lists of links.
+
+    The ratios of a path are its text outside links and its punctuation, each for one block of the path.
+    """
+    sums: dict[int, list[int]] = {}
+    for b in found:
+        s = sums.setdefault(page.paths[b.at], [0, 0, 0, 0])
         s[0] += 1
         s[1] += len(b.text)
         s[2] += len(_PUNCTUATION.findall(b.text))
         s[3] += b.linked
-    text = _smoothed([s[1] / s[0] for s in sums.values()])
-    punctuation = _smoothed([s[2] / s[0] for s in sums.values()])
-    own = [s[1] / s[0] * (1 - min(1.0, s[3] / s[1])) for s in sums.values()]
-    fused = [math.sqrt(t * o) * (1 + math.log1p(p)) for t, o, p in zip(text, own, punctuation, strict=True)]
-    if not fused:
-        return {}
-    mean = sum(fused) / len(fused)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    threshold = max(0.0, mean - SPREADS * spread)
-    return {path: x for (path, s), x in zip(sums.items(), fused, strict=True) if x >= threshold and s[3] < LINKS * s[1]}
-
-
-def main_text(html: str | None) -> str:
+    scores = {p: (size - linked) / n * (1 + math.log1p(marks / n)) for p, (n, size, marks, linked) in sums.items()}
+    return scores, {p for p, s in sums.items() if s[3] >= LINKS * s[1]}
+
+
+def _container(page: Page, at: int) -> int:
+    """The element that an element's text belongs to: the one above it, above the whole list or table for their parts."""
+    parent = page.parents[at]
+    while parent >= 0 and page.names[parent] in _GROUPS:
+        parent = page.parents[parent]
+    return parent
+
+
+def content_blocks(page: Page, found: list[Block], share: float = SHARE) -> list[Block]:
+    """The blocks whose tag path is content.
+
+    A path is strong if its own fused ratio reaches the threshold, a share of the ratio of the blocks' median character.
+    Ratios are then smoothed: a path of headings, paragraphs, list items or the like takes half of the best ratio among the
+    paths in the same container, so a heading or a short paragraph is judged with the text it stands in. What passes only
+    so must also stand in a container that has a strong block of its own in this very place of the page (a title, first
+    of the headings, somewhere below its container).
+    """
+    scores, links = path_scores(page, found)
+    usable = [b for b in found if page.paths[b.at] not in links]
+    if not usable:
+        return []
+    by_size = sorted((scores[page.paths[b.at]], len(b.text)) for b in usable)
+    half, middle = sum(n for _, n in by_size) / 2, 0.0
+    for value, n in by_size:
+        half -= n
+        middle = value
+        if half <= 0:
+            break
+    threshold = share * middle
+    strong = [b for b in usable if scores[page.paths[b.at]] >= threshold]
+    held: dict[int, float] = {}
+    best: dict[int, float] = {}
+    for b in strong:
+        box = _container(page, b.at)
+        held[max(box, 0)] = 1.0
+        path = page.paths[box] if box >= 0 else -1
+        best[path] = max(best.get(path, 0.0), scores[page.paths[b.at]])
+    below = page.below(held)
+    at_best = max(best.values())
+    keep: list[Block] = []
+    for b in usable:
+        own, leaf = scores[page.paths[b.at]], page.names[b.at]
+        if own >= threshold:
+            keep.append(b)
+            continue
+        if leaf not in _TEXTUAL:
+            continue
+        box = _container(page, b.at)
+        near, here = best.get(page.paths[box] if box >= 0 else -1, 0.0), max(box, 0) in held
+        if leaf in _HEADINGS and not here:
+            # A heading may stand above the boxes that hold its text.
+            while leaf == "h1" and box >= 0 and not below[box]:
+                box = page.parents[box]
+            if box >= 0 and below[box] and (leaf == "h1" or page.names[box] not in ("html", "body")):
+                near, here = at_best, True
+        if here and (own + near) / 2 >= threshold:
+            keep.append(b)
+    return keep
+
+
+def main_text(html: str | None, share: float = SHARE) -> str:
     """The blocks of the article, joined by two newlines."""
     if not html:
         return ""
-    found, names, doubts = blocks(html)
-    found = _kept(found, names, doubts)
-    content = content_paths(found)
-    if not content:
-        content = {b.path: 1.0 for b in found if b.linked < LINKS * len(b.text)}
+    page = parse(html)
+    found = _undoubted(page, [b for b in page.blocks if not page.dropped[b.at]])
+    scores, links = path_scores(page, found)
     mass: dict[int, float] = {}
     for b in found:
-        if b.path in content:
-            for number in b.chain:
-                if names[number] in _REGIONS:
-                    mass[number] = mass.get(number, 0.0) + len(b.text)
-                    break  # the outermost one
-    if mass:
-        region = max(mass, key=lambda k: (mass[k], -k))
-        inside = [b for b in found if region in b.chain]
-    else:
-        chains = [b.chain for b in found if b.path in content or b.heading]
-        common = 0
-        while chains and all(len(c) > common + 1 and c[common] == chains[0][common] for c in chains):
-            common += 1
-        inside = [b for b in found if common == 0 or (len(b.chain) > common and b.chain[common - 1] == chains[0][common - 1])] if chains else []
-    texts: dict[str, list[int]] = {}
-    for b in inside:
-        s = texts.setdefault(b.path, [0, 0])
-        s[0] += len(b.text)
-        s[1] += b.linked
-    return "\n\n".join(b.text for b in inside if texts[b.path][1] < LINKS * texts[b.path][0])
+        if page.paths[b.at] not in links:
+            mass[b.at] = mass.get(b.at, 0.0) + len(b.text) * scores[page.paths[b.at]]
+    total, outer = page.below(mass), page.marked(k for k, name in enumerate(page.names) if name in _REGIONS)
+    regions = [k for k, name in enumerate(page.names) if name in _REGIONS and total[k] and not (page.parents[k] >= 0 and outer[page.parents[k]])]
+    region = max(regions, key=lambda k: (total[k], -k), default=None)
+    if region is not None and REGION * total[region] >= sum(mass.values()) - total[region]:
+        inside = page.marked([region])
+        found = [b for b in found if inside[b.at]]
+    return "\n\n".join(b.text for b in content_blocks(page, found, share))
 
 
 def extract(pages: DataFrame) -> DataFrame:
