@@ -120,7 +120,9 @@ def _op8_sql() -> str:
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in rules]
     rule = " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits)
     verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits)
-    hit = lambda terms: " + ".join(f"regexp_matches(t, '(^|[^a-z0-9]){x}([^a-z0-9]|$)')::INT" for x in terms)
+    hit = lambda of: " + ".join(f"{w} * regexp_matches(t, '(^|[^a-z0-9]){x}([^a-z0-9]|$)')::INT" for x, w in of)
+    strict = [(x, 1) for x, w in url_filter.VOCABULARY.items() if w >= url_filter.REJECT]
+    soft = [(x, 1) for x, w in url_filter.VOCABULARY.items() if w < url_filter.REJECT]
     az = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     return f"""
 WITH r AS (
@@ -128,11 +130,11 @@ WITH r AS (
 ), p AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {az}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r
 ), n AS (
-  SELECT *, {hit(url_filter.STRICT)} AS n_strict, {hit(url_filter.SOFT)} AS n_soft
+  SELECT *, {hit(strict)} AS n_strict, {hit(soft)} AS n_soft, {hit(url_filter.VOCABULARY.items())} AS weight
   FROM (SELECT *, translate(host || path, {az}) AS t FROM p)
 )
 SELECT page_id, host, path, CASE {rule} END AS rule,
-       CASE {verdict} WHEN n_strict > 0 OR n_soft >= {url_filter.SOFT_HITS} THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft
+       CASE {verdict} WHEN weight >= {url_filter.REJECT} THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft, weight
 FROM n
 """
 

@@ -1,16 +1,19 @@
 """Secret scan: fixed patterns, and a battery of randomness tests for what they miss.
 
 The patterns (assignment of a credential, access key id, hex string) give the base spans. Every other run of
-``MIN_RUN`` or more characters of an encoding's alphabet is a candidate. Its encoding is inferred from its characters,
-and three tests hold it against uniform random symbols of that encoding: chi-squared uniformity of the alphabet, runs
+``MIN_RUN`` or more characters of an encoding's alphabet is a candidate, also after an equals sign; a run that mixes the
+signs of base64 and base64url is cut at them. Its encoding is inferred from its characters, and three tests hold it against uniform random symbols of that encoding: chi-squared uniformity of the alphabet, runs
 above and below the middle, and lag-1 serial correlation. Their p-values are combined (Fisher). A random string has
 uniform p-values, while words, paths and identifiers pile up near zero.
 
 The false-discovery control is aware of length, as the tests have little power on short strings: within each stratum of
 encoding and length class, the p-values of the whole corpus give the share of random strings (Storey: twice the
 candidates above 1/2, which others hardly reach), and with it for each cut the estimated share of non-random
-strings among those above. A stratum's cut is the lowest with a share of at most ``FDR``; a stratum without one adds
-no span. The histogram of all candidates has a fixed number of cells, and it is all that the driver sees.
+strings among those above. A stratum's cut is the lowest with a share of at most ``FDR``. A stratum with fewer than
+``LEAST`` candidates above 1/2 says too little of itself: it is judged together with the nearest lengths of its encoding
+until they have as many, and where the whole encoding has not, by a fixed cut (``PRIOR``, for short and long strings), so
+a lone strong candidate is decided as well. The histogram of all candidates has a fixed number of cells, and it is all
+that the driver sees.
 
 Texts are read once; what is kept of them is spans. Defined cases: null text is empty and has no spans; repeated rows
 are each scanned (and count each in the histogram); an empty table gives an empty result; other columns are ignored.
@@ -37,9 +40,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 #: Shortest candidate, and share of non-random strings among the spans that the battery adds.
 MIN_RUN, FDR = 20, 0.05
-#: Cells of a stratum's histogram, and the smallest stratum that is judged.
+#: Cells of a stratum's histogram, and candidates above 1/2 of a stratum that is judged by itself.
 CELLS, LEAST = 100, 5
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}")
+#: The cut where an encoding has too few: that of strings shorter than ``LONG`` characters, and that of others.
+PRIOR, LONG = (0.5, 0.05), 64
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+_PIECE = re.compile(r"[A-Za-z0-9]{20,}={0,2}")
 #: Symbols of each encoding in order of value (fixed values).
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = {
@@ -118,8 +124,11 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     """(start, end, encoding, length class, p) of runs that no base span touches."""
     out = []
     for m in _RUN.finditer(text):
-        if (encoding := infer_encoding(m[0])) and not any(a < m.end() and m.start() < b for a, _, b in taken):
-            out.append((m.start(), m.end(), encoding, length_class(m.end() - m.start()), randomness(m[0], encoding)))
+        mixed = infer_encoding(m[0]) is None and not set(m[0]).isdisjoint("+/") and not set(m[0]).isdisjoint("_-")
+        for start, end in [x.span() for x in _PIECE.finditer(text, *m.span())] if mixed else [m.span()]:
+            run = text[start:end]
+            if (encoding := infer_encoding(run)) and not any(a < end and start < b for a, _, b in taken):
+                out.append((start, end, encoding, length_class(end - start), randomness(run, encoding)))
     return out
 
 
@@ -156,17 +165,32 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 def cut(cells: list[int], fdr: float = FDR) -> float | None:
     """The lowest p from which on at most fdr of a stratum's candidates are estimated not to be random."""
-    n, half = len(cells), sum(cells[len(cells) // 2 :])
-    random = 2 * half
-    if half < LEAST:
-        return None
+    n, random = len(cells), 2 * sum(cells[len(cells) // 2 :])
     for i in range(n // 2 + 1):
         above = sum(cells[i:])
-        if max(0.0, above - random * (1 - i / n)) <= fdr * above:
+        if above and max(0.0, above - random * (1 - i / n)) <= fdr * above:
             return i / n
     return None
 
 
+def cuts(strata: dict[tuple[str, int], list[int]], fdr: float = FDR) -> dict[tuple[str, int], float]:
+    """The cut of each stratum (encoding, length class). Sparse ones are judged with the nearest lengths of their encoding,
+    and by the fixed cut where that has too few candidates of any length."""
+    half = lambda cells: sum(cells[len(cells) // 2 :])
+    out: dict[tuple[str, int], float] = {}
+    for encoding, size in strata:
+        near = sorted((k for k in strata if k[0] == encoding), key=lambda k: (abs(k[1] - size), k[1]))
+        pooled = [0] * len(strata[encoding, size])
+        for k in near:
+            pooled = [a + b for a, b in zip(pooled, strata[k], strict=True)]
+            if half(pooled) >= LEAST:
+                break
+        found = cut(pooled, fdr) if half(pooled) >= LEAST else PRIOR[size >= length_class(LONG)]
+        if found is not None:
+            out[encoding, size] = found
+    return out
+
+
 def scan_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random, one row for each row of docs."""
     found = Scratch(docs.sparkSession).keep("spans", _scan(docs))
@@ -175,11 +199,11 @@ def scan_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     strata: dict[tuple[str, int], list[int]] = {}
     for row in counts.collect():
         strata.setdefault((row["encoding"], row["length_class"]), [0] * CELLS)[row["cell"]] = row["count"]
-    cuts = {k: c for k, cells in strata.items() if (c := cut(cells, fdr)) is not None}
+    least_of = cuts(strata, fdr)
 
     def passes(c):
         ok = F.lit(False)
-        for (encoding, size), least in sorted(cuts.items()):
+        for (encoding, size), least in sorted(least_of.items()):
             ok = ok | ((c["encoding"] == encoding) & (c["length_class"] == size) & (c["p"] >= least))
         return ok
 

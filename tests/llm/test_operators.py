@@ -125,6 +125,53 @@ def test_cut_controls_false_discoveries():
     assert secrets.cut([1000] * 10 + [10] * 90) == pytest.approx(0.1)
 
 
+def test_sparse_strata_are_judged_too():
+    alone = lambda cell: [int(i == cell) for i in range(100)]
+    cuts = secrets.cuts({("base62", 10): alone(80), ("base62", 12): alone(90), ("hex", 9): [10] * 100, ("hex", 10): alone(70), ("hex", 30): alone(2)})
+    assert cuts["base62", 10] == 0.5 and cuts["base62", 12] == 0.05  # no encoding of its own: the fixed cuts
+    assert cuts["hex", 9] == 0.0 and cuts["hex", 10] == 0.0 and cuts["hex", 30] <= 0.01  # with the lengths beside them
+
+
+@pytest.mark.parametrize("around", ["AWS_KEY={}", "see {} there", 'x="{}"', "https://x.fr/?sig={}&a=b", "key:{}"])
+def test_a_lone_random_string_is_found(spark, around):
+    rng = np.random.default_rng(5)
+    keys = ("".join(rng.choice(list(secrets.ENCODINGS["base62"]), 44)) for _ in range(100))
+    key = next(k for k in keys if secrets.randomness(k, "base62") >= secrets.PRIOR[0])
+    text = around.format(key)
+    row = secrets.scan_secrets(spark.createDataFrame([(1, text), (2, "nothing here")], "doc_id long, text string")).where("doc_id = 1").first()
+    assert row["spans"] == f"random:{text.index(key)}:{text.index(key) + len(key)}"
+
+
+def test_mixed_signs_are_cut_and_base_spans_stay(spark):
+    a, b = "aZ3kQ9vL2mT8xB5nR1cW7yD4", "Jq7Xw2Lr9Tz4Bn6Vm1Kc8Hd3"
+    assert [x[:3] for x in secrets.candidates(f"{a}/b_{b}", [])] == [(0, 24, "base62"), (27, 51, "base62")]
+    assert secrets.candidates(f"token={a}", secrets.base_spans(f"token={a}")) == []
+
+
+@pytest.mark.parametrize("encoding", sorted(secrets.ENCODINGS))
+@pytest.mark.parametrize(("length", "least"), [(24, 0.6), (48, 0.8), (128, 0.8)])
+def test_recall_on_planted_strings(encoding, length, least):
+    """Share of uniform random strings that the cuts let pass, among ten times as many names with digits."""
+    rng = np.random.default_rng(length)
+    symbols = list(secrets.ENCODINGS[encoding])
+    planted = ["".join(rng.choice(symbols, length)) for _ in range(200)]
+    words = ["Release", "Notes", "Project", "module", "version", "Handler", "config", "the", "Server", "Test"]
+    names = [("".join(rng.choice(words, 40)) + "2024")[-length:] for _ in range(2000)]
+    strata, of = {}, []
+    for k, run in enumerate(planted + names):
+        if found := secrets.infer_encoding(run):
+            p = secrets.randomness(run, found)
+            cell = min(secrets.CELLS - 1, int(p * secrets.CELLS))
+            strata.setdefault((found, secrets.length_class(length)), [0] * secrets.CELLS)[cell] += 1
+            of.append((k, (found, secrets.length_class(length)), p))
+    cuts = secrets.cuts(strata)
+    passed = [k for k, stratum, p in of if p >= cuts.get(stratum, 2)]
+    # Of the strings that the encoding's symbols let tell from words (they hold a digit and a letter).
+    told = sum(secrets.infer_encoding(x) is not None for x in planted)
+    assert sum(k < 200 for k in passed) >= least * told
+    assert sum(k >= 200 for k in passed) <= 0.15 * len(passed)
+
+
 # HTML
 
 ARTICLE = "<h1>Title here</h1><p>First <b>part</b>, one&nbsp;two &amp; three.<br>Next&#33;</p><p>Second.</p><ul><li>item a</li><li>item b</li></ul>"
@@ -206,7 +253,7 @@ def test_url_rules_and_terms(spark):
     cases = [
         ("https://a.example.com/en/12", "com/en/", "block"), ("https://example.com/en/7x?q", "example.com/en/7", "allow"), ("http://x.net/de/", "net/de/", "allow"),
         ("http://b.Example.NET/de/8", "example.net/de/8", "block"), ("http://org/es/#", "org/es/", "block"), ("http://notcom.x/en/", None, "allow"), ("http://xexample.com/fr", None, "allow"),
-        ("http://x.fr/porn/1", None, "block"), ("http://x.fr/pornography", None, "allow"), ("http://free.fr/casino-poker", None, "block"), ("http://free.fr/casino/casino", None, "allow"),
+        ("http://x.fr/porn/1", None, "block"), ("http://x.fr/pornography", None, "allow"), ("http://x.fr/casino-poker", None, "block"), ("http://x.fr/casino/casino", None, "allow"), ("http://cheap-pills.fr/", None, "block"), ("http://free.fr/download", None, "allow"), ("http://free.fr/cheap/download", None, "block"),
         ("http://x.net/de/porn", "net/de/", "allow"), ("no scheme", None, "allow"), (None, None, "allow"), ("", None, "allow"), ("a://b://c/d", None, "allow"),
     ]
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_filter(pages_of(spark, [(i, u, "") for i, (u, _, _) in enumerate(cases)])).collect()}
@@ -216,6 +263,30 @@ def test_url_rules_and_terms(spark):
     assert url_filter.url_filter(pages_of(spark, [])).count() == 0
 
 
+def test_url_vocabulary_from_a_file(spark, tmp_path):
+    (tmp_path / "terms.txt").write_text("# terms\nBanane\napfel 3\n\nbirne 3 # soft\napfel 2\n", encoding="utf-8")
+    vocabulary = url_filter.load_vocabulary(str(tmp_path / "terms.txt"))
+    assert vocabulary == {"banane": 6, "apfel": 3, "birne": 3}
+    urls = ["http://x.fr/banane", "http://x.fr/apfel", "http://x.fr/apfel/Birne", "http://x.fr/porn"]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(pages_of(spark, [(i, u, "") for i, u in enumerate(urls)]), vocabulary=vocabulary).collect()}
+    assert [got[i] for i in range(4)] == ["block", "allow", "block", "allow"]
+    assert {r["verdict"] for r in url_filter.url_filter(pages_of(spark, [(1, "http://x.fr/porn", "")]), vocabulary={}).collect()} == {"allow"}
+
+
+def test_url_vocabulary_decides_on_the_test_pages(spark):
+    """Verdicts of the vocabulary alone, in a table without rules that fit, against a regular expression for each term."""
+    urls = sorted({r["url"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").collect()})
+    got = {r["page_id"]: (r["verdict"], r["weight"]) for r in url_filter.url_filter(pages_of(spark, list(zip(range(len(urls)), urls, [""] * len(urls), strict=True))), rules=()).collect()}
+    patterns = [(re.compile(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])"), w) for t, w in url_filter.VOCABULARY.items()]
+    want = []
+    for u in urls:
+        rest = re.split(r"[?#]", u.split("://", 1)[1])[0].lower()
+        want.append(sum(w for p, w in patterns if p.search(rest)))
+    assert [got[i][1] for i in range(len(urls))] == want
+    assert [got[i][0] for i in range(len(urls))] == ["block" if w >= url_filter.REJECT else "allow" for w in want]
+    assert 0 < sum(v == "block" for v, _ in got.values()) < len(urls) / 10
+
+
 # Decontamination
 
 
