@@ -3,25 +3,32 @@
 Every byte goes that a ``MIN_BYTES``-byte string covers which also starts in a document with a smaller id.
 
 Parsing. A rolling hash of ``TRIGGER`` bytes runs over each text; the trigger of a 50-byte string is the place of its
-least hash (the leftmost of equals). Consecutive strings with one trigger form a phrase: the text from the first
-string's start to the last one's end. Triggers depend on nothing but the string, so equal strings have equal triggers,
-wherever they stand, and lie in phrases with the same trigger content. Phrases overlap by 49 bytes and none is a prefix
-of its neighbour's continuation, which lets order within phrases stand for order within the corpus. Names (64-bit hashes)
-of phrases make the parse; the distinct phrases are the dictionary.
-
-1. Parse: of each name only the document with the smallest id matters. Each task keeps the first one of its own and
-   marks the others at once, so a passage in a third of the documents costs one entry a task and not one a document.
-   Entries meet by trigger content: a phrase whose name occurs in a smaller document is repeated as a whole, and a
-   trigger with several phrases is open.
-2. Dictionary: only phrases at open triggers (some hundredths) are spelled out, each distinct one once, for its first
-   document. The suffixes of these phrases that hold 50 bytes are sorted; equal neighbours in that order are
-   strings that phrases with different surroundings share, and those not in their smallest document are repeated.
+least hash (the leftmost of equals). Triggers depend on nothing but the string, so equal strings have equal triggers at
+the same offset, wherever they stand, and texts are cut at the same places. Consecutive strings with one trigger form a
+phrase with what follows it: the dictionary holds what ends with the trigger, the parse what starts with it, and a string
+is a suffix of the one (down to the trigger's end) with a prefix of the other. As no suffix that ends with its trigger is
+a proper prefix of another, the order of all strings is that of their dictionary suffixes and, among equal ones, of the
+parse behind them.
+
+1. Names: a phrase is named by two 64-bit hashes (of its trigger and of its contents, 128 bits in all). Of each name only
+   the document with the smallest id matters. Each task keeps the first one of its own and marks the others at once, so a
+   passage in a third of the documents costs one entry a task and not one a document. Entries meet by trigger: a phrase
+   whose name occurs in a smaller document is repeated as a whole, and a trigger with several phrases is open.
+2. Suffix arrays: only phrases at open triggers (some hundredths) are spelled out, each distinct one once, for its first
+   document. Their dictionary sides are sorted from the trigger backwards, their parse sides from the trigger on, by
+   bytes. In the first order the phrases that share a suffix are neighbours, in the second those that share a
+   continuation, so a run in each names a string; sorting these pairs of runs puts equal strings side by side, and those
+   not in their smallest document are repeated. Nothing is compared by hash here.
 3. Both kinds of marks go back to their documents, where the covered bytes are removed.
 
 In highly repetitive text most phrases are copies and end in step 1 with a few bytes each. Marks and phrases travel
-packed in arrays; the number of buckets follows from the size of the texts, so a task's memory does not grow with it.
-Triggers with very many different phrases are found beforehand on a sample of documents, and their entries are dealt
-by phrase and spelled out string by string; the sample only decides how rows are dealt and never what is found.
+packed in arrays; the number of buckets follows from the size of the texts and each bucket is a partition of its own, so
+a task's memory does not grow with it. Triggers with very many different phrases are found beforehand on a sample of
+documents, and their entries are dealt by phrase and spelled out string by string; the sample only decides how rows are
+dealt and never what is found.
+
+Names are the only place where hashes decide: at 100 TB of text (7e12 phrases) two different phrases share the 128 bits of
+a name with a probability of about 1e-13.
 
 Defined cases: null text is empty; shorter texts lose nothing; a null id counts as the largest; rows with one id never
 remove from each other, whether or not their texts are equal; an empty table gives an empty result; other columns are
@@ -47,6 +54,8 @@ MIN_BYTES, TRIGGER = 50, 20
 PHRASE_BUCKET, DOC_BUCKET, FLUSH, CHUNK = 6 << 20, 12 << 20, 8 << 20, 1 << 20
 #: Share of documents (one in so many) in the sample for heavy triggers, phrases from which one is heavy, and their bound.
 SAMPLE, HEAVY, MOST_HEAVY = 256, 256, 100_000
+#: Phrases whose sides are packed at a time.
+PACK = 1 << 15
 _P = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFF)
 #: Kinds of packed rows.
@@ -88,15 +97,15 @@ def rolling(raw: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
-def phrases(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each phrase: hash of the trigger, name, and starts of its first and its last string."""
+def phrases(text: bytes) -> tuple[np.ndarray, ...]:
+    """Of each phrase: hash of the trigger, name, starts of its first and its last string, and place of the trigger."""
     parts = [_phrases(np.frombuffer(text, np.uint8, min(CHUNK + MIN_BYTES - 1, len(text) - at), at), at) for at in range(0, len(text) - MIN_BYTES + 1, CHUNK)]
     if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return *[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 3
     return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _phrases(raw: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _phrases(raw: np.ndarray, offset: int) -> tuple[np.ndarray, ...]:
     triggers, strings = rolling(raw, (TRIGGER, MIN_BYTES))
     triggers = _mix(triggers)
     least = (triggers & ~_LOW) | np.arange(len(triggers), dtype=np.uint64)
@@ -112,7 +121,7 @@ def _phrases(raw: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray, np.n
     at = at[first]
     # The first and the last string overlap and so spell the phrase; the name also holds where the trigger is in it.
     name = _mix(strings[first] * np.uint64(3) + _mix(strings[last]) + (at - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (last - first).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    return triggers[at], name, first + offset, last + offset
+    return triggers[at], name, first + offset, last + offset, at + offset
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -162,17 +171,18 @@ def _parsed(rows: DataFrame, buckets: int, heavy: np.ndarray, tagged: bool) -> D
         held.sort(key=lambda x: (x[0], _place(x[1], tagged)))
         found = []
         for doc, text in held:
-            trigger, name, _, _ = phrases(text)
+            trigger, name, *_ = phrases(text)
             place = np.arange(len(name), dtype=np.uint64) | np.uint64(_place(text, tagged))
             found.append((trigger, name, np.full(len(name), doc, np.int64).view(np.uint64), place))
         trigger, name, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(name, kind="stable")  # ids, and texts of an id, ascend within a name
-        start = _runs(name[order])
+        # Names that two triggers share are kept apart; such a run may be split, which costs an entry more.
+        start = np.union1d(_runs(name[order]), _runs(trigger[order]))
         lead = np.repeat(doc[order[start]], np.diff(np.append(start, len(order))))
         copy = doc[order] != lead
         # One mark of a name, or one entry, is enough for each document and, where rows share ids, for each of its texts.
         tag = place[order] >> np.uint64(32)
-        same = np.concatenate(([False], (name[order][1:] == name[order][:-1]) & (doc[order][1:] == doc[order][:-1]) & (tag[1:] == tag[:-1]))) if len(order) else copy
+        same = np.concatenate(([False], (name[order][1:] == name[order][:-1]) & (trigger[order][1:] == trigger[order][:-1]) & (doc[order][1:] == doc[order][:-1]) & (tag[1:] == tag[:-1]))) if len(order) else copy
         sent, marked = order[~copy & ~same], order[copy & ~same]
         out = []
         is_heavy = np.isin(trigger[sent], heavy) if len(heavy) else np.zeros(len(sent), bool)
@@ -208,7 +218,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterato
 
 
 def _dealt(df: DataFrame, n: int, *order: str) -> DataFrame:
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket", *order)
+    """Each of n buckets in a partition of its own."""
+    return df.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", *order)
 
 
 def _resolved(entries: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
@@ -291,64 +302,101 @@ def _with_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[i
 
 
 def _spelled(rows: DataFrame, marks: DataFrame, buckets: int, doc_buckets: int, heavy: np.ndarray, tagged: bool) -> DataFrame:
-    """Phrases at open triggers: rows (bucket, kind = number of phrases, packed ids, places and lengths, then contents)."""
+    """Phrases at open triggers: rows (bucket, kind = number of phrases, packed ids, places, lengths and offsets of the
+    trigger, then contents)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, of, docs in _with_marks(batches):
-            keys, ids, places, contents = [], [], [], []
+            keys, ids, places, contents, offsets = [], [], [], [], []
             for doc, text in docs:
                 tag = _place(text, tagged)
                 opened = of[OPEN].of(doc, tag)
                 if not len(opened):
                     continue
-                trigger, _, first, last = phrases(text)
+                trigger, _, first, last, at = phrases(text)
                 is_heavy = np.isin(trigger[opened], heavy) if len(heavy) else np.zeros(len(opened), bool)
-                for k, t, a, b, alone in zip(opened.tolist(), trigger[opened].tolist(), first[opened].tolist(), last[opened].tolist(), is_heavy.tolist(), strict=True):
+                for t, a, b, c, alone in zip(trigger[opened].tolist(), first[opened].tolist(), last[opened].tolist(), at[opened].tolist(), is_heavy.tolist(), strict=True):
                     for x, y in ((p, p) for p in range(a, b + 1)) if alone else ((a, b),):
                         content = text[x : y + MIN_BYTES]
                         keys.append(zlib.crc32(content) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF if alone else t)
                         ids.append(doc)
                         places.append(x | tag)
                         contents.append(content)
-                    del k
+                        offsets.append(c - x)
             if not keys:
                 continue
             bucket = (_mix(np.array(keys, np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            ids, places = np.array(ids, np.int64).view(np.uint64), np.array(places, np.uint64)
+            ids, places, offsets = np.array(ids, np.int64).view(np.uint64), np.array(places, np.uint64), np.array(offsets, np.uint64)
             order = np.argsort(bucket, kind="stable")
             edges = [*_runs(bucket[order]).tolist(), len(order)]
             out = []
             for a, b in zip(edges, edges[1:], strict=False):
                 own = order[a:b]
                 some = [contents[i] for i in own.tolist()]
-                out.append((int(bucket[own[0]]), len(own), pack(ids[own], places[own], np.fromiter(map(len, some), np.uint64, len(some))) + b"".join(some)))
+                out.append((int(bucket[own[0]]), len(own), pack(ids[own], places[own], np.fromiter(map(len, some), np.uint64, len(some)), offsets[own]) + b"".join(some)))
             yield _batch(out)
 
     return _at_documents(rows, marks, doc_buckets).mapInArrow(run, PACKED)
 
 
-def shared_strings(ids: np.ndarray, places: np.ndarray, lengths: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Id and place of each 50-byte suffix start that a phrase of a smaller id also holds.
+def _suffix_order(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of strings of up to width bytes, given as rows of big-endian numbers (zero-padded), and for each place in it
+    the number of bytes that its string shares with the one before."""
+    order = np.lexsort([words[:, k] for k in range(words.shape[1] - 1, -1, -1)])
+    octets = words[order].astype(">u8").view(np.uint8).reshape(len(order), -1)[:, :width]
+    differs = octets[1:] != octets[:-1]
+    common = np.where(differs.any(1), differs.argmax(1), width) if len(order) > 1 else np.zeros(0, np.int64)
+    return order, np.concatenate(([0], common)) if len(order) else common
+
+
+def _run_starts(common: np.ndarray, least: int) -> np.ndarray:
+    """For each place of an order the first one of its run of strings that share least bytes."""
+    return np.maximum.accumulate(np.where(common < least, np.arange(len(common)), 0))
+
+
+def shared_strings(ids: np.ndarray, places: np.ndarray, lengths: np.ndarray, offsets: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Id and place of each string start of the phrases whose string a phrase of a smaller id also holds.
 
-    The suffixes of all phrases are sorted by their first 50 bytes; equal ones are neighbours in that order.
+    lengths and offsets (of the trigger) are of the phrases, which stand one after another in text. A string with k bytes
+    before its trigger is the dictionary suffix of these and the trigger, and the first ``MIN_BYTES`` - k bytes of the
+    parse. Its name is the pair of runs of phrases that share the one and the other.
     """
-    lengths = lengths.astype(np.int64)
-    n = lengths - MIN_BYTES + 1
-    owner = np.repeat(np.arange(len(n)), n)
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start = np.repeat(np.cumsum(lengths) - lengths, n) + within
-    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), MIN_BYTES)
-    # Eight bytes at a time as big-endian numbers, the last ones first.
-    padded = np.zeros((len(start), 56), np.uint8)
-    padded[:, :MIN_BYTES] = windows[start]
-    words = padded.view(">u8").astype(np.uint64)
-    doc = ids.view(np.int64)[owner]
-    order = np.lexsort((doc, *(words[:, k] for k in range(words.shape[1] - 1, -1, -1))))
-    ordered = words[order]
-    run = np.flatnonzero(np.concatenate(([True], (ordered[1:] != ordered[:-1]).any(1))))
-    lead = np.repeat(doc[order[run]], np.diff(np.append(run, len(order))))
-    hit = order[doc[order] != lead]
-    return ids[owner[hit]], places[owner[hit]] + within[hit].astype(np.uint64)
+    lengths, offsets = lengths.astype(np.int64), offsets.astype(np.int64)
+    doc = ids.view(np.int64)
+    n, side = len(lengths), MIN_BYTES - TRIGGER
+    raw = np.frombuffer(text + bytes(MIN_BYTES), np.uint8)
+    start = np.cumsum(lengths) - lengths
+    trigger = start + offsets
+
+    def packed(steps: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The bytes at some steps from each trigger as big-endian numbers, zero outside of [low, high)."""
+        octets = np.zeros((n, -(-len(steps) // 8) * 8), np.uint8)
+        for k in range(0, n, PACK):
+            part = slice(k, k + PACK)
+            inside = (steps >= low[part, None]) & (steps < high[part, None])
+            octets[part, : len(steps)] = np.where(inside, raw[np.where(inside, trigger[part, None] + steps, 0)], 0)
+        return octets.view(">u8").astype(np.uint64)
+
+    backwards = np.concatenate((np.arange(TRIGGER - 1, -1, -1), np.arange(-1, -side - 1, -1)))
+    parse, parse_common = _suffix_order(packed(np.arange(MIN_BYTES), np.zeros(n, np.int64), lengths - offsets), MIN_BYTES)
+    dictionary, dictionary_common = _suffix_order(packed(backwards, -offsets, np.full(n, TRIGGER)), MIN_BYTES)
+    in_parse, in_dictionary = np.empty(n, np.int64), np.empty(n, np.int64)
+    in_parse[parse], in_dictionary[dictionary] = np.arange(n), np.arange(n)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for k in range(side + 1):
+        # Phrases with a string that has k bytes before the trigger.
+        own = np.flatnonzero((k <= offsets) & (offsets - k + MIN_BYTES <= lengths))
+        if len(own) < 2:
+            continue
+        name = _run_starts(dictionary_common, TRIGGER + k)[in_dictionary[own]] * n + _run_starts(parse_common, MIN_BYTES - k)[in_parse[own]]
+        order = np.lexsort((doc[own], name))
+        run = _runs(name[order])
+        lead = np.repeat(doc[own][order[run]], np.diff(np.append(run, len(order))))
+        hit = own[order[doc[own][order] != lead]]
+        found.append((ids[hit], places[hit] + (offsets[hit] - k).astype(np.uint64)))
+    if not found:
+        return ids[:0], places[:0]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _sorted_dictionary(spelled: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
@@ -358,10 +406,10 @@ def _sorted_dictionary(spelled: DataFrame, buckets: int, doc_buckets: int) -> Da
         for _, rows in _by_bucket(batches):
             parts, contents = [], []
             for r in rows:
-                head = 24 * r["kind"]
+                head = 32 * r["kind"]
                 parts.append(r["blob"][:head])
                 contents.append(r["blob"][head:])
-            ids, places = shared_strings(*unpack(parts, 3), b"".join(contents))
+            ids, places = shared_strings(*unpack(parts, 4), b"".join(contents))
             if len(ids):
                 yield _batch(_spread(_doc_buckets(ids, doc_buckets), STRINGS, ids, places))
 
@@ -372,7 +420,7 @@ def _removed(text: bytes, whole: np.ndarray, strings: np.ndarray) -> np.ndarray:
     """Edges of the removed runs: starts and ends in turn."""
     step = np.zeros(len(text) + 1, np.int64)
     if len(whole):
-        _, name, first, last = phrases(text)
+        _, name, first, last, _ = phrases(text)
         mark = np.isin(name, name[whole])
         np.add.at(step, first[mark], 1)
         np.add.at(step, last[mark] + MIN_BYTES, -1)
@@ -391,7 +439,7 @@ def _heavy(rows: DataFrame, sample: int = SAMPLE, heavy: int = HEAVY) -> np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                trigger, name, _, _ = phrases(text)
+                trigger, name, *_ = phrases(text)
                 yield pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64)), pa.array(name.view(np.int64))], ["trigger", "name"])
 
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(sample)) == 0).select("doc_id", F.encode("text", "UTF-8").alias("text"))

@@ -82,6 +82,50 @@ def test_chunked_parse_is_the_same(monkeypatch):
     assert np.array_equal(covered(whole), covered(cut)) and set(whole[0]) == set(cut[0])
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_suffix_orders_name_strings(seed):
+    """Pairs of runs in the two orders against the strings themselves, with zero bytes, copies and one-sided phrases."""
+    rng = np.random.default_rng(seed)
+    side = repeats.MIN_BYTES - repeats.TRIGGER
+    triggers = [bytes(rng.integers(0, 2, repeats.TRIGGER, np.uint8)) for _ in range(3)]
+    sides = [bytes(rng.integers(0, 2, side, np.uint8)) for _ in range(2)]
+    ids, lengths, offsets, contents = [], [], [], []
+    for _ in range(60):
+        before, after = int(rng.integers(0, side + 1)), int(rng.integers(0, side + 1))
+        if before + after < side:
+            after = side - before
+        left = sides[rng.integers(2)][side - before :]
+        content = left + triggers[rng.integers(3)] + sides[rng.integers(2)][:after]
+        ids.append(int(rng.integers(0, 8)))
+        lengths.append(len(content))
+        offsets.append(before)
+        contents.append(content)
+    places = np.arange(60, dtype=np.uint64) * np.uint64(1000)
+    got_ids, got_places = repeats.shared_strings(np.array(ids, np.uint64), places, np.array(lengths, np.uint64), np.array(offsets, np.uint64), b"".join(contents))
+    first: dict[tuple[int, bytes], int] = {}
+    strings = [(i, int(p) + x, (s - x, c[x : x + 50])) for i, p, s, c in zip(ids, places, offsets, contents, strict=True) for x in range(max(0, s - side), min(s, len(c) - 50) + 1)]
+    for i, _, key in strings:
+        first[key] = min(first.get(key, i), i)
+    want = sorted((i, p) for i, p, key in strings if first[key] < i)
+    assert sorted(zip(got_ids.tolist(), got_places.tolist(), strict=True)) == want and want
+
+
+def test_names_that_collide_within_a_trigger_hash(spark, odd, monkeypatch):
+    """Names of 16 bits collide all over; the trigger's hash keeps phrases of different triggers apart."""
+    real_phrases = repeats._phrases
+
+    def short(raw, offset):
+        trigger, name, *rest = real_phrases(raw, offset)
+        return trigger, name & np.uint64(0xFFFF), *rest
+
+    texts = [prose(k, 60) for k in range(40)]
+    flat = [real_phrases(np.frombuffer(t.encode(), np.uint8), 0) for t in texts]
+    assert len({int(n) & 0xFFFF for p in flat for n in p[1]}) < sum(len(p[1]) for p in flat)
+    monkeypatch.setattr(repeats, "_phrases", short)
+    rows = list(enumerate(texts))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)) == brute(rows)
+
+
 def test_pack():
     a, b = np.arange(5, dtype=np.uint64) << np.uint64(40), np.arange(5, dtype=np.uint64)
     x, y = repeats.unpack([repeats.pack(a, b), repeats.pack(b, a)], 2)
