@@ -12,12 +12,15 @@ its own, so that a sketch of a short text has the same law as that of a long one
 3. For a pair, equal registers, corrected for the chance that different minima look alike, estimate the similarity.
    Pairs within ``MARGIN`` (five standard errors) of the threshold and above are confirmed on the full sets.
 4. Confirmed links give components. Step 2 is repeated with other pivots for the bands that hold several components.
-   Then each band that still does is taken again: its members of different components are compared in blocks of
-   bounded size, so a pair that no pivot connected is not lost; they are confirmed where they meet, and only links
-   leave a block. Pairs within a component need no link.
+   Then each band that still does is taken again. Of its members only those stay that can have a link at all: shingles
+   that no other member has anywhere are in no intersection, so a document with more than a quarter of such is linked with
+   none, and this is repeated while it drops members (documents that share half of their text, say, end here, by counts
+   of shingles and without a pair). What stays is compared in blocks of bounded size: the members outside a band's largest
+   component with each other and with that component, never the latter with itself; pairs are confirmed where they meet,
+   and only links leave a block. Pairs within a component need no link.
 
 No band, block or class has a cap. Counts and minima are combined on the map side; components are joins. Sets are only
-built again for the documents of candidate pairs.
+built again for the documents of candidate pairs and of bands that stay open.
 
 Defined cases: null text and text without words is an empty set, linked with nothing; fewer than five words are one
 shingle; a null id counts as the largest; repeated rows share an id and so a component; an empty table gives an empty
@@ -47,6 +50,8 @@ MARGIN = 0.2
 STARS = 2
 #: Documents of one block in step 4.
 BLOCK = 1024
+#: Members are filtered again while a turn leaves less than this share of them.
+TURN = 0.9
 #: Word hashes that a worker remembers.
 CACHE_WORDS = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -176,7 +181,7 @@ def _cross(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Places of the rows of pairs of different components, with an estimate within the margin, that share no band before
     this one, so that each pair is met in one band only."""
     i, j, band = (table.column(k)[0].as_py() for k in ("i", "j", "band"))
-    own, rep, component, n = (table.column(k).to_numpy() for k in ("own", "rep", "component", "n"))
+    own, rep, component, n, shared = (table.column(k).to_numpy() for k in ("own", "rep", "component", "n", "shared"))
     registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -184,7 +189,8 @@ def _cross(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         y = right[component[right] != component[x]]
         if i == j:
             y = y[rep[y] > rep[x]]
-        y = y[100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x])]
+        most = np.minimum(shared[y], shared[x])  # an intersection holds no more
+        y = y[100 * most >= PERCENT * (n[y] + n[x] - most)]
         if len(y):
             equal = registers[y] == registers[x]
             first = equal.reshape(len(y), BANDS, -1).all(2).argmax(1) == band
@@ -195,27 +201,72 @@ def _cross(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(p) for p in zip(*found, strict=True)) if found else (empty, empty)
 
 
+def _still_open(members: DataFrame) -> DataFrame:
+    """The members (key, band, rep, component) of the keys with several components."""
+    keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    return members.join(keys, "key")
+
+
+def _linkable(rows: DataFrame, members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The members of open bands that can be linked with others, with the number of shingles that others have too
+    (shared), and the sets of all members.
+
+    Shingles are counted, map side first, and never listed: for each shingle only the least and the greatest member.
+    """
+    members = scratch.keep("open", _still_open(members))
+    ids = scratch.keep("open_ids", members.select(F.col("rep").alias("doc_id")).distinct())
+    sets = scratch.keep("open_sets", _sets(rows, ids).withColumnRenamed("doc_id", "rep"))
+    left, turn = ids.count(), 0
+    while left:
+        turn += 1
+        items = sets if turn == 1 else sets.join(members.select("rep").distinct(), "rep", "left_semi")
+        items = items.select("rep", F.explode("items").alias("item"))
+        single = items.groupBy("item").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last").groupBy("rep").agg(F.count(F.lit(1)).alias("single"))
+        # An id of several texts is left as it is.
+        n = sets.groupBy("rep").agg(F.max(F.size("items")).cast("long").alias("n"), F.count(F.lit(1)).alias("texts"))
+        able = n.join(single, "rep", "left").select("rep", "n", (F.col("n") - F.when(F.col("texts") == 1, F.coalesce("single", F.lit(0))).otherwise(F.lit(0))).alias("shared"))
+        able = scratch.keep(f"able{turn}", able.where(100 * F.col("shared") >= PERCENT * F.col("n")).select("rep", "shared"))
+        members = scratch.keep(f"open{turn}", _still_open(members.select("key", "band", "rep", "component").join(able, "rep")))
+        before, left = left, members.select("rep").distinct().count()
+        if left > TURN * before:
+            break
+    return members, sets
+
+
+def _dealt(split: DataFrame) -> DataFrame:
+    """Members to pairs of blocks (i, j), own being theirs: blocks outside the largest component to all, of it to the others."""
+    is_largest = F.col("component") == F.col("largest.component")
+    few = F.ceil((F.col("size") - F.col("largest.size")) / BLOCK).cast("int")
+    many = F.ceil(F.col("largest.size") / BLOCK).cast("int")
+    own = F.when(is_largest, few + F.pmod(F.xxhash64("rep"), many)).otherwise(F.pmod(F.xxhash64("rep"), few)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(is_largest, few - 1).otherwise(few + many - 1)))
+    dealt = split.select("key", "band", "rep", "component", "shared", own.alias("own"), other.alias("other"))
+    return dealt.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "shared")
+
+
 def _open_links(rows: DataFrame, members: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b: links between different components within a band, enough of them to connect what is linked there.
 
-    members: key, band, rep, component, and size (of the band). Members are dealt to pairs of blocks. The registers tell
-    which members are in a pair to confirm at all; only the sets of these go to the blocks, where pairs are confirmed
-    one by one and skipped once their components are connected. No pair leaves a block unless it is a link.
+    members: key, band, rep and component. Those that can be linked are dealt to pairs of blocks; the members of a band's
+    largest component are only paired with the others. The registers tell which members are in a pair to confirm at all;
+    only the sets of these go to the blocks, where pairs are confirmed one by one and skipped once their components are
+    connected. No pair leaves a block unless it is a link.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    dealt = members.select("key", "band", "rep", "component", own.alias("own"), other.alias("other"))
-    dealt = dealt.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
+    members, sets = _linkable(rows, members, scratch)
+    if "shared" not in members.columns:  # no open band
+        return members.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("largest"), F.sum("size").alias("size"))
+    split = scratch.keep("split", members.join(sizes, "key"))
+    dealt = _dealt(split)
 
     def involved(table: pa.Table) -> pa.Table:
         x, y = _cross(table)
-        return table.select(["key", "band", "i", "j", "own", "rep", "component"]).take(pa.array(np.unique(np.concatenate([x, y]))))
+        return table.select(["key", "band", "i", "j", "own", "rep", "component", "shared"]).take(pa.array(np.unique(np.concatenate([x, y]))))
 
-    schema = "key long, band int, i int, j int, own int, rep long, component long"
-    active = scratch.keep("active", dealt.join(reps, "rep").select("key", "band", "i", "j", "own", "rep", "component", "n", "registers").groupBy("key", "i", "j").applyInArrow(involved, schema))
-    ids = scratch.keep("active_ids", active.select(F.col("rep").alias("doc_id")).distinct())
-    full = active.join(reps, "rep").join(_sets(rows, ids).withColumnRenamed("doc_id", "rep"), "rep")
+    schema = "key long, band int, i int, j int, own int, rep long, component long, shared long"
+    active = scratch.keep("active", dealt.join(reps, "rep").select("key", "band", "i", "j", "own", "rep", "component", "shared", "n", "registers").groupBy("key", "i", "j").applyInArrow(involved, schema))
+    full = active.join(reps, "rep").join(sets, "rep")
 
     def confirm(table: pa.Table) -> pa.Table:
         x, y = _cross(table)
@@ -238,7 +289,7 @@ def _open_links(rows: DataFrame, members: DataFrame, reps: DataFrame, scratch: S
                     out.append((int(min(rep[a], rep[b])), int(max(rep[a], rep[b]))))
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    linked = full.select("key", "band", "i", "j", "own", "rep", "component", "n", "registers", "items").groupBy("key", "i", "j").applyInArrow(confirm, "a long, b long")
+    linked = full.select("key", "band", "i", "j", "own", "rep", "component", "shared", "n", "registers", "items").groupBy("key", "i", "j").applyInArrow(confirm, "a long, b long")
     return scratch.keep("open_links", linked.distinct())
 
 
@@ -256,7 +307,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     width = 2 * REGISTERS // BANDS
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * F.lit(width) + 1, F.lit(width))))
     keys = classes.select("rep", F.posexplode(band).alias("band", "key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size")
+    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
     members = scratch.keep("members", keys.join(scratch.keep("shared", shared), "key"))
 
     def with_registers(pairs: DataFrame) -> DataFrame:
@@ -284,15 +335,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
             found = scratch.keep(f"{name}_found", connected_components(links))
 
     for turn in range(STARS):
-        tagged = scratch.keep(f"tagged{turn}", labelled(members, "rep").select("key", "band", "rep", "size", "component"))
+        tagged = scratch.keep(f"tagged{turn}", labelled(members, "rep").select("key", "band", "rep", "component"))
         pivot = F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("pivot")
         stars = tagged.groupBy("key").agg(pivot, F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "pivot")
         stars = tagged.join(scratch.keep(f"pivots{turn}", stars), "key").where(F.col("component") != F.col("pivot.component"))
         stars = stars.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
         link(_near(with_registers(stars)), f"stars{turn}")
-    tagged = scratch.keep("tagged", labelled(members, "rep").select("key", "band", "rep", "size", "component"))
-    open_keys = tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    more = _open_links(rows, tagged.join(open_keys, "key"), reps, scratch)
+    more = _open_links(rows, scratch.keep("tagged", labelled(members, "rep").select("key", "band", "rep", "component")), reps, scratch)
     if more.limit(1).count():
         found = scratch.keep("found", connected_components(more if links is None else links.unionByName(more)))
     of_class = labelled(classes.select("n", "s1", "s2", "rep"), "rep").select("n", "s1", "s2", "component")

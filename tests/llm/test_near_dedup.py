@@ -71,6 +71,53 @@ def test_blocks_find_what_pivots_miss(spark, monkeypatch):
     assert got(df) == brute(rows)
 
 
+def half_common(n, words=40, share=0.5, first=0):
+    """Documents with a share of their text in common, and the rest their own."""
+    common = prose(9, int(words * share)).split(" ")
+    return [(first + i, " ".join([*common, *(f"w{i}x{k}" for k in range(words - len(common)))])) for i in range(n)]
+
+
+def test_documents_with_half_their_text_in_common_are_not_paired(spark):
+    """They share bands, but each has too many shingles of its own: none is dealt to a block."""
+    from spindrift.llm.common import Scratch, texts
+
+    rows = half_common(3000)
+    df = texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    members = spark.createDataFrame([(b, b, i, i) for i, _ in rows for b in range(2)], "key long, band int, rep long, component long")
+    left, sets = nd._linkable(df, members, Scratch(spark))
+    assert left.count() == 0 and sets.count() == 3000
+    out = nd.near_dedup(df)
+    assert out.where("kept").count() == 3000
+
+
+def test_among_many_of_one_passage_the_links_are_found(spark, monkeypatch):
+    """Near copies within a crowd that shares half of its text and so its bands, with blocks only."""
+    monkeypatch.setattr(nd, "STARS", 0)
+    monkeypatch.setattr(nd, "BLOCK", 16)
+    rows = half_common(120)
+    rows += [(1000 + i, t + f" more{i}") for i, t in rows[::10]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(df) == brute(rows)
+
+
+def test_a_large_component_is_not_paired_with_itself(spark, monkeypatch):
+    """A band of one large component and a few others: rows dealt grow with the members."""
+    from spindrift.llm.common import Scratch, texts
+
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    text = prose(3, 40)
+    rows = [(i, f"{text} v{i % 400}") for i in range(400)] + [(1000, f"other {text}")]
+    df = texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    sketches = {r["doc_id"]: r for r in nd._sketches(df).collect()}
+    reps = spark.createDataFrame([(i, r["n"], r["registers"]) for i, r in sketches.items()], "rep long, n long, registers binary")
+    members = spark.createDataFrame([(1, 0, i, 0 if i < 1000 else i) for i, _ in rows], "key long, band int, rep long, component long")
+    scratch = Scratch(spark)
+    nd._open_links(df, members, reps, scratch)
+    split = spark.read.parquet(scratch.paths["split"])
+    assert split.count() == 401
+    assert nd._dealt(split).count() <= 400 + 101
+
+
 @pytest.mark.parametrize("n", [1, 3, 40, 2000])
 def test_estimate_is_close(n):
     rng = np.random.default_rng(n)
