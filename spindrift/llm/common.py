@@ -45,13 +45,13 @@ def back_id(name: str = "doc_id") -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own."""
+    """A folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master, whose driver and
+    executors are one process, takes one of its own; a cluster is refused, as no folder of one machine would do."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            root = os.path.join(tempfile.gettempdir(), f"spindrift-{os.getuid()}")
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_spindrift"
+        if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = os.path.join(tempfile.gettempdir(), f"spindrift-{os.getuid()}")
     return f"{root.rstrip('/')}/spindrift-{spark.sparkContext.applicationId}"
 
 
@@ -131,27 +131,37 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """docs with a number of its own for each row (_row), as a written table, so that every scan sees the same numbers."""
-    return Scratch(docs.sparkSession).keep("rows", docs.withColumn("_row", F.monotonically_increasing_id()))
+def row_name(docs: DataFrame) -> str:
+    """A column name that docs does not have, in whatever case."""
+    taken, name = {c.lower() for c in docs.columns}, "_row"
+    while name in taken:
+        name += "_"
+    return name
 
 
-def row_texts(rows: DataFrame) -> DataFrame:
+def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of its own for each row, as a written table, so that every scan sees the same numbers; and the
+    name of this column, which docs had none of."""
+    name = row_name(docs)
+    return Scratch(docs.sparkSession).keep("rows", docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def row_texts(rows: DataFrame, name: str) -> DataFrame:
     """Row numbers as doc_id and text: what an operator reads to judge each row alone, whatever ids rows share."""
-    return rows.select(F.col("_row").alias("doc_id"), "text")
+    return rows.select(F.col(name).alias("doc_id"), "text")
 
 
-def drop_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of with_rows whose number (_row) is not in dropped, columns as they were; nothing but numbers moves while
-    these are few."""
-    dropped = Scratch(rows.sparkSession).keep("dropped", dropped.select("_row"))
-    return rows.join(hinted(dropped, 16), "_row", "left_anti").drop("_row")
+def drop_rows(rows: DataFrame, name: str, dropped: DataFrame) -> DataFrame:
+    """The rows of with_rows whose number is not in dropped (column row), columns as they were; nothing but numbers moves
+    while these are few."""
+    dropped = Scratch(rows.sparkSession).keep("dropped", dropped.select(F.col("row").alias(name)))
+    return rows.join(hinted(dropped, 16), name, "left_anti").drop(name)
 
 
-def one_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of with_rows with one row of each group (groups: _row, group), that with the smallest id, a null id being
+def one_of_each(rows: DataFrame, name: str, groups: DataFrame) -> DataFrame:
+    """The rows of with_rows with one row of each group (groups: row, group), that with the smallest id, a null id being
     the largest; of equal ids the first row stays. Rows without a group stay."""
-    groups = Scratch(rows.sparkSession).keep("groups", groups.select("_row", "group"))
-    ids = rows.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
-    first = groups.join(ids, "_row").groupBy("group").agg(F.min(F.struct("id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
-    return drop_rows(rows, groups.join(first, "_row", "left_anti"))
+    groups = Scratch(rows.sparkSession).keep("groups", groups.select("row", "group"))
+    ids = rows.select(F.col(name).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    first = groups.join(ids, "row").groupBy("group").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    return drop_rows(rows, name, groups.join(first, "row", "left_anti"))

@@ -9,8 +9,9 @@ hash of each window of codes is looked up in the sorted hashes of the test windo
 comparing codes, so no hash collision counts. Documents are scanned once and are not shuffled.
 
 The benchmark is broadcast in slices of at most ``SLICE_WINDOWS`` windows. A benchmark within one slice needs one
-scan; a larger one is scanned slice by slice, and the hit positions of a document are merged, so no side of unproven
-size is ever broadcast.
+scan; a larger one is scanned slice by slice, each built and broadcast after the hits of the one before are written and
+its broadcast is gone, so neither the driver nor a worker ever holds more than one. The rows are numbered in a written
+table beforehand, and the hit positions of a row are merged by its number.
 
 Defined cases: null text has no words and hits nothing, and a null or wordless item has no window; repeated items with
 one id count once; repeated documents are each judged; an empty benchmark hits nothing; an empty table gives an empty
@@ -20,10 +21,11 @@ result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,8 +89,8 @@ def hits(codes: np.ndarray, windows: Windows) -> tuple[np.ndarray, set[str]]:
     return np.cumsum(hit[:-1]) > 0, items
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, bytes]], size: int) -> DataFrame:
-    windows = docs.sparkSession.sparkContext.broadcast(Windows(items, size))
+def _scan(docs: DataFrame, windows: Broadcast, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The hits of the windows in docs (text last, behind some columns that stay)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = windows.value
@@ -96,18 +98,18 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes]], size: int) -> DataFra
         shortest = min(known.lengths, default=1)
         for batch in batches:
             rows = []
-            for text in utf8(batch.column(1)):
+            for text in utf8(batch.column(len(columns))):
                 found = words(text)
                 codes = np.fromiter(map(code, found, repeat(0)), np.uint64, len(found))
                 mask, of = hits(codes, known) if len(found) >= shortest else (np.zeros(len(found), bool), set())
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).view(np.int8))) if of else ()
                 rows.append((len(found), int(mask.sum()), sorted(of), [int(x) for x in edge]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
-                ["doc_id", "n_words", "n_hit", "items", "edges"],
+                [*batch.columns[: len(columns)], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
+                [*columns, "n_words", "n_hit", "items", "edges"],
             )
 
-    return map_batches(docs, scan, "doc_id long, n_words long, n_hit long, items array<string>, edges array<long>")
+    return map_batches(docs.select(*columns, "text"), scan, ", ".join(f"{c} long" for c in columns) + ", n_words long, n_hit long, items array<string>, edges array<long>")
 
 
 def _slices(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -127,18 +129,22 @@ def _slices(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slice_windows: int = SLICE_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted), edges (starts and ends of hit runs of words, in turn), one row a document."""
-    rows = texts(docs)
-    parts = [_scan(rows, items, size) for items in _slices(benchmark, slice_windows)]
-    if len(parts) == 1:
-        return parts[0]
-    scratch = Scratch(docs.sparkSession)
-    # A row's place in its slice's scan is the same in every scan of the same input; repeated ids need their own key.
+    rows, spark = texts(docs), docs.sparkSession
+    slices = _slices(benchmark, slice_windows)
+    first, second = next(slices), next(slices, None)
+    shared = lambda items: spark.sparkContext.broadcast(Windows(items, size))
+    if second is None:
+        return _scan(rows, shared(first))
+    scratch = Scratch(spark)
+    numbered = scratch.keep("numbered", rows.withColumn("uid", F.monotonically_increasing_id()))
     merged = None
-    for part in parts:
-        part = part.withColumn("uid", F.monotonically_increasing_id())
-        part = part if merged is None else part.where("n_hit > 0")
+    for k, items in enumerate(chain([first, second], slices)):
+        windows = shared(items)
+        part = _scan(numbered, windows, ("uid", "doc_id"))
+        part = scratch.keep(f"slice{k}", part if merged is None else part.where("n_hit > 0"))
+        windows.destroy()
         merged = part if merged is None else merged.unionByName(part)
-    grouped = scratch.keep("hits", merged).groupBy("uid", "doc_id", "n_words").agg(
+    grouped = merged.groupBy("uid", "doc_id", "n_words").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.collect_list("edges").alias("runs"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +180,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
 
 def decontaminate_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = SHARE) -> DataFrame:
     """docs without contaminated documents, all columns as they were; each row is judged by its own text."""
-    rows = with_rows(docs)
-    bad = benchmark_hits(row_texts(rows), benchmark, size).where(contaminated(share))
-    return drop_rows(rows, bad.select(F.col("doc_id").alias("_row")))
+    rows, name = with_rows(docs)
+    bad = benchmark_hits(row_texts(rows, name), benchmark, size).where(contaminated(share))
+    return drop_rows(rows, name, bad.select(F.col("doc_id").alias("row")))

@@ -97,6 +97,6 @@ def exact_dedup_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Da
 
     Rows are judged one by one: of equal texts one row stays, and an id that rows share, or lack, drops no other text.
     """
-    rows = with_rows(docs)
-    copies = exact_dedup(row_texts(rows), block_bytes).where("group_size > 1")
-    return one_of_each(rows, copies.select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("group")))
+    rows, name = with_rows(docs)
+    copies = exact_dedup(row_texts(rows, name), block_bytes).where("group_size > 1")
+    return one_of_each(rows, name, copies.select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group")))

@@ -12,10 +12,10 @@ its own, so that a sketch of a short text has the same law as that of a long one
 3. For a pair, equal registers, corrected for the chance that different minima look alike, estimate the similarity.
    Pairs within ``MARGIN`` (five standard errors) of the threshold and above are confirmed on the full sets.
 4. Confirmed links give components. Step 2 is repeated with other pivots for the bands that hold several components.
-   Then each band that still does is taken again. Of its members only those stay that can have a link at all: shingles
-   that no other member has anywhere are in no intersection, so a document with more than a quarter of such is linked with
-   none, and this is repeated while it drops members (documents that share half of their text, say, end here, by counts
-   of shingles and without a pair). What stays is compared in blocks of bounded size: the members outside a band's largest
+   Then each band that still does is taken again. Of its members only those stay that can have a link to another
+   component at all: shingles that occur in one component only are in no such intersection, so a document with more than a
+   quarter of them has none, and this is repeated while it drops members (documents that share half of their text, say, or
+   copies of each other that share a band with others by chance, end here, by counts of shingles and without a pair). What stays is compared in blocks of bounded size: the members outside a band's largest
    component with each other and with that component, never the latter with itself; pairs are confirmed where they meet,
    and only links leave a block. Pairs within a component need no link.
 
@@ -208,10 +208,10 @@ def _still_open(members: DataFrame) -> DataFrame:
 
 
 def _linkable(rows: DataFrame, members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The members of open bands that can be linked with others, with the number of shingles that others have too
-    (shared), and the sets of all members.
+    """The members of open bands that can be linked with other components, with the number of shingles that occur in
+    several components (shared), and the sets of all members.
 
-    Shingles are counted, map side first, and never listed: for each shingle only the least and the greatest member.
+    Shingles are counted, map side first, and never listed: of each only the least and the greatest component.
     """
     members = scratch.keep("open", _still_open(members))
     ids = scratch.keep("open_ids", members.select(F.col("rep").alias("doc_id")).distinct())
@@ -219,13 +219,13 @@ def _linkable(rows: DataFrame, members: DataFrame, scratch: Scratch) -> tuple[Da
     left, turn = ids.count(), 0
     while left:
         turn += 1
-        items = sets if turn == 1 else sets.join(members.select("rep").distinct(), "rep", "left_semi")
-        items = items.select("rep", F.explode("items").alias("item"))
-        single = items.groupBy("item").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last").groupBy("rep").agg(F.count(F.lit(1)).alias("single"))
-        # An id of several texts is left as it is.
-        n = sets.groupBy("rep").agg(F.max(F.size("items")).cast("long").alias("n"), F.count(F.lit(1)).alias("texts"))
-        able = n.join(single, "rep", "left").select("rep", "n", (F.col("n") - F.when(F.col("texts") == 1, F.coalesce("single", F.lit(0))).otherwise(F.lit(0))).alias("shared"))
-        able = scratch.keep(f"able{turn}", able.where(100 * F.col("shared") >= PERCENT * F.col("n")).select("rep", "shared"))
+        own = sets.join(members.select("rep", "component").distinct(), "rep")
+        items = own.select("rep", "component", F.explode("items").alias("item"))
+        across = items.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("item")
+        across = scratch.keep(f"across{turn}", across)
+        shared = items.join(hinted(across, 16), "item").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
+        sizes = own.groupBy("rep").agg(F.min(F.size("items")).alias("n"))  # the least, where an id has several texts
+        able = scratch.keep(f"able{turn}", sizes.join(shared, "rep").where(100 * F.col("shared") >= PERCENT * F.col("n")).select("rep", "shared"))
         members = scratch.keep(f"open{turn}", _still_open(members.select("key", "band", "rep", "component").join(able, "rep")))
         before, left = left, members.select("rep").distinct().count()
         if left > TURN * before:
@@ -356,5 +356,5 @@ def near_dedup_documents(docs: DataFrame) -> DataFrame:
 
     Rows are judged one by one: an id that rows share, or lack, links and drops no other text.
     """
-    rows = with_rows(docs)
-    return one_of_each(rows, near_dedup(row_texts(rows)).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")))
+    rows, name = with_rows(docs)
+    return one_of_each(rows, name, near_dedup(row_texts(rows, name)).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")))

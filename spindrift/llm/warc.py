@@ -46,7 +46,13 @@ INDEX = "file string, offset long, length long, page_id long, url string, digest
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+#: Names that Hadoop has for stores that pyarrow calls otherwise.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    scheme, mark, rest = path.partition("://")
+    path = f"{_SCHEMES.get(scheme, scheme)}{mark}{rest}"
     return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
 
 
