@@ -202,9 +202,10 @@ def _cross(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _still_open(members: DataFrame) -> DataFrame:
-    """The members (key, band, rep, component) of the keys with several components."""
+    """The members (key, band, rep, component) of the keys with several components. Members only move where these keys are
+    too many to broadcast."""
     keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    return members.join(keys, "key")
+    return members.join(hinted(Scratch(members.sparkSession).keep("open_keys", keys), 16), "key")
 
 
 def _linkable(rows: DataFrame, members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -233,6 +234,12 @@ def _linkable(rows: DataFrame, members: DataFrame, scratch: Scratch) -> tuple[Da
     return members, sets
 
 
+def _of_reps(ids: DataFrame, name: str, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """rep, n, registers of some representatives; the others do not move while these are few enough to broadcast."""
+    some = hinted(scratch.keep(f"{name}_ids", ids.select("rep").distinct()), 16)
+    return scratch.keep(name, classes.select("rep", "n", "registers").join(some, "rep"))
+
+
 def _dealt(split: DataFrame) -> DataFrame:
     """Members to pairs of blocks (i, j), own being theirs: blocks outside the largest component to all, of it to the others."""
     is_largest = F.col("component") == F.col("largest.component")
@@ -244,7 +251,7 @@ def _dealt(split: DataFrame) -> DataFrame:
     return dealt.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "shared")
 
 
-def _open_links(rows: DataFrame, members: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+def _open_links(rows: DataFrame, members: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b: links between different components within a band, enough of them to connect what is linked there.
 
     members: key, band, rep and component. Those that can be linked are dealt to pairs of blocks; the members of a band's
@@ -255,9 +262,10 @@ def _open_links(rows: DataFrame, members: DataFrame, reps: DataFrame, scratch: S
     members, sets = _linkable(rows, members, scratch)
     if "shared" not in members.columns:  # no open band
         return members.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    reps = _of_reps(members, "open_reps", classes, scratch)
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
     sizes = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("largest"), F.sum("size").alias("size"))
-    split = scratch.keep("split", members.join(sizes, "key"))
+    split = scratch.keep("split", members.join(hinted(scratch.keep("sizes", sizes), 40), "key"))
     dealt = _dealt(split)
 
     def involved(table: pa.Table) -> pa.Table:
@@ -300,17 +308,18 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     rows = texts(docs)
     sketches = scratch.keep("sketches", _sketches(rows))
     least = F.min(F.struct("doc_id", "registers")).alias("least")
-    classes = sketches.where("n > 0").groupBy("n", "s1", "s2").agg(least).select("n", "s1", "s2", F.col("least.doc_id").alias("rep"), F.col("least.registers").alias("registers"))
-    classes = scratch.keep("classes", classes)
-    reps = classes.select("rep", "n", "registers")
+    classes = sketches.where("n > 0").groupBy("n", "s1", "s2").agg(least, F.count(F.lit(1)).alias("copies"))
+    classes = scratch.keep("classes", classes.select("n", "s1", "s2", "copies", F.col("least.doc_id").alias("rep"), F.col("least.registers").alias("registers")))
 
     width = 2 * REGISTERS // BANDS
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * F.lit(width) + 1, F.lit(width))))
     keys = classes.select("rep", F.posexplode(band).alias("band", "key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
-    members = scratch.keep("members", keys.join(scratch.keep("shared", shared), "key"))
+    members = scratch.keep("members", keys.join(hinted(scratch.keep("shared", shared), 16), "key"))
 
-    def with_registers(pairs: DataFrame) -> DataFrame:
+    def with_registers(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.keep(f"{name}_pairs", pairs)
+        reps = _of_reps(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))), f"{name}_reps", classes, scratch)
         x = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
         y = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
         alike = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
@@ -320,7 +329,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         """of with the component so far of its column name."""
         if found is None:
             return of.withColumn("component", F.col(name))
-        return of.join(found.withColumnRenamed("node", name), name, "left").withColumn("component", F.coalesce("component", name))
+        return of.join(hinted(found, 24).withColumnRenamed("node", name), name, "left").withColumn("component", F.coalesce("component", name))
 
     found = links = tried = None
 
@@ -338,15 +347,16 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         tagged = scratch.keep(f"tagged{turn}", labelled(members, "rep").select("key", "band", "rep", "component"))
         pivot = F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("pivot")
         stars = tagged.groupBy("key").agg(pivot, F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "pivot")
-        stars = tagged.join(scratch.keep(f"pivots{turn}", stars), "key").where(F.col("component") != F.col("pivot.component"))
+        stars = tagged.join(hinted(scratch.keep(f"pivots{turn}", stars), 40), "key").where(F.col("component") != F.col("pivot.component"))
         stars = stars.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
-        link(_near(with_registers(stars)), f"stars{turn}")
-    more = _open_links(rows, scratch.keep("tagged", labelled(members, "rep").select("key", "band", "rep", "component")), reps, scratch)
+        link(_near(with_registers(stars, f"stars{turn}")), f"stars{turn}")
+    more = _open_links(rows, scratch.keep("tagged", labelled(members, "rep").select("key", "band", "rep", "component")), classes, scratch)
     if more.limit(1).count():
         found = scratch.keep("found", connected_components(more if links is None else links.unionByName(more)))
-    of_class = labelled(classes.select("n", "s1", "s2", "rep"), "rep").select("n", "s1", "s2", "component")
+    # A document that is alone in its class and linked with none is its own component; only others are looked up.
+    of_class = labelled(classes.select("n", "s1", "s2", "copies", "rep"), "rep").where("copies > 1 OR component <> rep").select("n", "s1", "s2", "component")
     of_class = scratch.keep("of_class", of_class)
-    out = sketches.select("doc_id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
+    out = sketches.select("doc_id", "n", "s1", "s2").join(hinted(of_class, 40), ["n", "s1", "s2"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).select(back_id(), "n_shingles", back_id("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
