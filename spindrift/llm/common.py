@@ -17,7 +17,9 @@ NO_ID = (1 << 63) - 1
 #: Rows in one Arrow batch; with texts of up to megabytes this bounds a Python worker's memory.
 BATCH_ROWS = 512
 #: The sides that may be broadcast; every broadcast is preceded by a count, and a join takes over beyond it.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
+#: What a row costs in a broadcast hash table beside its fields.
+ROW_OVERHEAD = 80
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,8 +108,8 @@ class Scratch:
 
 
 def bounded_rows(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether df, whose rows take row_bytes each, stays under limit. df should be a written table."""
-    most = limit // row_bytes
+    """Whether df, whose rows hold row_bytes each, stays under limit as a hash table. df should be a written table."""
+    most = limit // (row_bytes + ROW_OVERHEAD)
     return df.limit(most + 1).count() <= most
 
 
