@@ -12,15 +12,16 @@ its own, so that a sketch of a short text has the same law as that of a long one
 3. For a pair, equal registers, corrected for the chance that different minima look alike, estimate the similarity.
    Pairs within ``MARGIN`` (five standard errors) of the threshold and above are confirmed on the full sets.
 4. Confirmed links give components. Step 2 is repeated with other pivots for the bands that hold several components.
-   Then each band that still does is taken again. Of its members only those stay that can have a link to another
-   component at all: shingles that occur in one component only are in no such intersection, so a document with more than a
-   quarter of them has none, and this is repeated while it drops members (documents that share half of their text, say, or
-   copies of each other that share a band with others by chance, end here, by counts of shingles and without a pair). What stays is compared in blocks of bounded size: the members outside a band's largest
-   component with each other and with that component, never the latter with itself; pairs are confirmed where they meet,
-   and only links leave a block. Pairs within a component need no link.
+   Then each band that still does is taken again: the members outside its largest component are compared with each other
+   and with that component, never the latter with itself, in blocks of bounded size; pairs are confirmed where they meet,
+   and only links leave a block. Pairs within a component need no link. Where more than ``WIDE`` members are outside, the
+   work would grow with their square, so first only those members stay that can have a link to another component at all:
+   shingles that occur in one component only are in no such intersection, so a document with more than a quarter of them
+   has none, and this is repeated while it drops members. A crowd of documents that share half of their text, say, ends
+   here, by counts of shingles and without a pair.
 
 No band, block or class has a cap. Counts and minima are combined on the map side; components are joins. Sets are only
-built again for the documents of candidate pairs and of bands that stay open.
+built again for the documents of candidate pairs and of wide bands.
 
 Defined cases: null text and text without words is an empty set, linked with nothing; fewer than five words are one
 shingle; a null id counts as the largest; repeated rows share an id and so a component; an empty table gives an empty
@@ -49,7 +50,9 @@ MARGIN = 0.2
 #: Turns of step 2, each with other pivots.
 STARS = 2
 #: Documents of one block in step 4.
-BLOCK = 1024
+BLOCK = 512
+#: Members of a band outside its largest component up to which they are paired without a count of their shingles.
+WIDE = 128
 #: Members are filtered again while a turn leaves less than this share of them.
 TURN = 0.9
 #: Word hashes that a worker remembers.
@@ -182,6 +185,7 @@ def _cross(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     this one, so that each pair is met in one band only."""
     i, j, band = (table.column(k)[0].as_py() for k in ("i", "j", "band"))
     own, rep, component, n, shared = (table.column(k).to_numpy() for k in ("own", "rep", "component", "n", "shared"))
+    shared = np.minimum(n, shared)
     registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -201,42 +205,43 @@ def _cross(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(p) for p in zip(*found, strict=True)) if found else (empty, empty)
 
 
-def _still_open(members: DataFrame) -> DataFrame:
-    """The members (key, band, rep, component) of the keys with several components. Members only move where these keys are
-    too many to broadcast."""
-    keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    return members.join(hinted(Scratch(members.sparkSession).keep("open_keys", keys), 16), "key")
-
-
-def _linkable(rows: DataFrame, members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The members of open bands that can be linked with other components, with the number of shingles that occur in
-    several components (shared), and the sets of all members.
+def _linkable(rows: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """The members (key, band, rep, component) of some bands that can be linked with other components, with the number of
+    shingles that occur in several components (shared).
 
     Shingles are counted, map side first, and never listed: of each only the least and the greatest component.
     """
-    members = scratch.keep("open", _still_open(members))
-    ids = scratch.keep("open_ids", members.select(F.col("rep").alias("doc_id")).distinct())
-    sets = scratch.keep("open_sets", _sets(rows, ids).withColumnRenamed("doc_id", "rep"))
-    left, turn = ids.count(), 0
+    ids = scratch.keep("wide_ids", members.select(F.col("rep").alias("doc_id")).distinct())
+    sets = scratch.keep("wide_sets", _sets(rows, ids).withColumnRenamed("doc_id", "rep"))
+    members, left, turn = members.withColumn("shared", F.lit(0).cast("long")), ids.count(), 0
     while left:
         turn += 1
         own = sets.join(members.select("rep", "component").distinct(), "rep")
         items = own.select("rep", "component", F.explode("items").alias("item"))
         across = items.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("item")
         across = scratch.keep(f"across{turn}", across)
-        shared = items.join(hinted(across, 16), "item").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
+        shared = items.join(across, "item").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
         sizes = own.groupBy("rep").agg(F.min(F.size("items")).alias("n"))  # the least, where an id has several texts
         able = scratch.keep(f"able{turn}", sizes.join(shared, "rep").where(100 * F.col("shared") >= PERCENT * F.col("n")).select("rep", "shared"))
-        members = scratch.keep(f"open{turn}", _still_open(members.select("key", "band", "rep", "component").join(able, "rep")))
-        before, left = left, members.select("rep").distinct().count()
+        members = scratch.keep(f"wide{turn}", members.drop("shared").join(able, "rep"))
+        before, left = left, able.count()
         if left > TURN * before:
             break
-    return members, sets
+    return members
+
+
+def _sized(members: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """Members with the size of their band and its largest component, as a written table, of the bands that hold several
+    components."""
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("largest"), F.sum("size").alias("size"))
+    sizes = scratch.keep(f"{name}_sizes", sizes.where("size > largest.size"))
+    return scratch.keep(name, members.join(sizes, "key"))
 
 
 def _of_reps(ids: DataFrame, name: str, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """rep, n, registers of some representatives; the others do not move while these are few enough to broadcast."""
-    some = hinted(scratch.keep(f"{name}_ids", ids.select("rep").distinct()), 16)
+    """rep, n, registers of some representatives, as a written table."""
+    some = scratch.keep(f"{name}_ids", ids.select("rep").distinct())
     return scratch.keep(name, classes.select("rep", "n", "registers").join(some, "rep"))
 
 
@@ -259,13 +264,12 @@ def _open_links(rows: DataFrame, members: DataFrame, classes: DataFrame, scratch
     only the sets of these go to the blocks, where pairs are confirmed one by one and skipped once their components are
     connected. No pair leaves a block unless it is a link.
     """
-    members, sets = _linkable(rows, members, scratch)
-    if "shared" not in members.columns:  # no open band
-        return members.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    reps = _of_reps(members, "open_reps", classes, scratch)
-    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    sizes = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("largest"), F.sum("size").alias("size"))
-    split = scratch.keep("split", members.join(hinted(scratch.keep("sizes", sizes), 40), "key"))
+    split = _sized(members.withColumn("shared", F.lit(1 << 62)), "split", scratch)
+    outside = F.col("size") - F.col("largest.size")
+    wide = split.where(outside > WIDE).select("key", "band", "rep", "component")
+    if wide.limit(1).count():
+        split = split.where(outside <= WIDE).unionByName(_sized(_linkable(rows, wide, scratch), "wide_split", scratch))
+    reps = _of_reps(split, "open_reps", classes, scratch)
     dealt = _dealt(split)
 
     def involved(table: pa.Table) -> pa.Table:
@@ -274,7 +278,8 @@ def _open_links(rows: DataFrame, members: DataFrame, classes: DataFrame, scratch
 
     schema = "key long, band int, i int, j int, own int, rep long, component long, shared long"
     active = scratch.keep("active", dealt.join(reps, "rep").select("key", "band", "i", "j", "own", "rep", "component", "shared", "n", "registers").groupBy("key", "i", "j").applyInArrow(involved, schema))
-    full = active.join(reps, "rep").join(sets, "rep")
+    ids = scratch.keep("active_ids", active.select(F.col("rep").alias("doc_id")).distinct())
+    full = active.join(reps, "rep").join(_sets(rows, ids).withColumnRenamed("doc_id", "rep"), "rep")
 
     def confirm(table: pa.Table) -> pa.Table:
         x, y = _cross(table)
@@ -315,7 +320,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * F.lit(width) + 1, F.lit(width))))
     keys = classes.select("rep", F.posexplode(band).alias("band", "key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
-    members = scratch.keep("members", keys.join(hinted(scratch.keep("shared", shared), 16), "key"))
+    members = scratch.keep("members", keys.join(scratch.keep("shared", shared), "key"))
 
     def with_registers(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.keep(f"{name}_pairs", pairs)
@@ -329,7 +334,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         """of with the component so far of its column name."""
         if found is None:
             return of.withColumn("component", F.col(name))
-        return of.join(hinted(found, 24).withColumnRenamed("node", name), name, "left").withColumn("component", F.coalesce("component", name))
+        return of.join(found.withColumnRenamed("node", name), name, "left").withColumn("component", F.coalesce("component", name))
 
     found = links = tried = None
 
@@ -347,7 +352,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         tagged = scratch.keep(f"tagged{turn}", labelled(members, "rep").select("key", "band", "rep", "component"))
         pivot = F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("pivot")
         stars = tagged.groupBy("key").agg(pivot, F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "pivot")
-        stars = tagged.join(hinted(scratch.keep(f"pivots{turn}", stars), 40), "key").where(F.col("component") != F.col("pivot.component"))
+        stars = tagged.join(scratch.keep(f"pivots{turn}", stars), "key").where(F.col("component") != F.col("pivot.component"))
         stars = stars.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
         link(_near(with_registers(stars, f"stars{turn}")), f"stars{turn}")
     more = _open_links(rows, scratch.keep("tagged", labelled(members, "rep").select("key", "band", "rep", "component")), classes, scratch)
@@ -356,7 +361,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     # A document that is alone in its class and linked with none is its own component; only others are looked up.
     of_class = labelled(classes.select("n", "s1", "s2", "copies", "rep"), "rep").where("copies > 1 OR component <> rep").select("n", "s1", "s2", "component")
     of_class = scratch.keep("of_class", of_class)
-    out = sketches.select("doc_id", "n", "s1", "s2").join(hinted(of_class, 40), ["n", "s1", "s2"], "left")
+    out = sketches.select("doc_id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).select(back_id(), "n_shingles", back_id("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
