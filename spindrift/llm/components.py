@@ -4,6 +4,9 @@ Alternating star contraction: the large star links each neighbour above a node t
 star does so with the neighbours below; stars of a component grow together in a logarithmic number of rounds. A round
 is two grouped minima (combined on the map side) joined back to the edges, so a node with very many edges is split by
 the engine's skew handling. Each round's edges are a written table, and rounds end when they repeat.
+
+Defined cases: edges in either direction, repeated ones and chains of any length count once; an edge of a node to itself
+or with a null end adds no node; no edges give no rows; other columns are ignored.
 """
 
 from __future__ import annotations

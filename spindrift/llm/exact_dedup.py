@@ -2,7 +2,8 @@
 
 A text is cut into blocks of ``block_bytes``. The distinct blocks of the whole corpus are sorted and numbered, which
 gives each block an integer name; equal names mean equal bytes, as the names come from comparing contents and not from
-a hash. Then the names of adjacent blocks are paired, the distinct pairs are numbered again, and so on, until each
+a hash. The order is by partition, hash and content: a total one, the same for the same corpus and number of partitions,
+and it saves the second move of all text that an order by content alone would take, as the distinct blocks are there. Then the names of adjacent blocks are paired, the distinct pairs are numbered again, and so on, until each
 document has one name: its identity. A document of n blocks needs ceil(log2 n) rounds, and a round only holds the
 documents that still have more than one name.
 

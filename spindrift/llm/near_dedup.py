@@ -30,7 +30,8 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -180,6 +181,31 @@ def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return map_batches(rows.join(hinted(ids, 16), "doc_id"), run, "doc_id long, items array<long>")
 
 
+def _by_blocks(members: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """fn over the rows of each pair of blocks (key, i, j), which come to it one after another from sorted partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = [batch.column(k).to_numpy() for k in ("key", "i", "j")]
+            changes = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            for a, b in pairwise([0, *changes.tolist(), batch.num_rows]):
+                if a == b:
+                    continue
+                now = tuple(k[a] for k in keys)
+                if held and now != last:
+                    yield from fn(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = now
+        if held:
+            yield from fn(pa.Table.from_batches(held)).to_batches()
+
+    small_batches(members.sparkSession)
+    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
 def _cross(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Places of the rows of pairs of different components, with an estimate within the margin, that share no band before
     this one, so that each pair is met in one band only."""
@@ -246,12 +272,14 @@ def _of_reps(ids: DataFrame, name: str, classes: DataFrame, scratch: Scratch) ->
 
 
 def _dealt(split: DataFrame) -> DataFrame:
-    """Members to pairs of blocks (i, j), own being theirs: blocks outside the largest component to all, of it to the others."""
+    """Members to pairs of blocks (i, j), own being theirs: blocks outside the largest component to all, of it to the others.
+    A band that fits into one block is one."""
     is_largest = F.col("component") == F.col("largest.component")
     few = F.ceil((F.col("size") - F.col("largest.size")) / BLOCK).cast("int")
     many = F.ceil(F.col("largest.size") / BLOCK).cast("int")
-    own = F.when(is_largest, few + F.pmod(F.xxhash64("rep"), many)).otherwise(F.pmod(F.xxhash64("rep"), few)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.when(is_largest, few - 1).otherwise(few + many - 1)))
+    one = F.col("size") <= BLOCK
+    own = F.when(one, 0).when(is_largest, few + F.pmod(F.xxhash64("rep"), many)).otherwise(F.pmod(F.xxhash64("rep"), few)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(one, 0).when(is_largest, few - 1).otherwise(few + many - 1)))
     dealt = split.select("key", "band", "rep", "component", "shared", own.alias("own"), other.alias("other"))
     return dealt.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "shared")
 
@@ -277,7 +305,7 @@ def _open_links(rows: DataFrame, members: DataFrame, classes: DataFrame, scratch
         return table.select(["key", "band", "i", "j", "own", "rep", "component", "shared"]).take(pa.array(np.unique(np.concatenate([x, y]))))
 
     schema = "key long, band int, i int, j int, own int, rep long, component long, shared long"
-    active = scratch.keep("active", dealt.join(reps, "rep").select("key", "band", "i", "j", "own", "rep", "component", "shared", "n", "registers").groupBy("key", "i", "j").applyInArrow(involved, schema))
+    active = scratch.keep("active", _by_blocks(dealt.join(reps, "rep").select("key", "band", "i", "j", "own", "rep", "component", "shared", "n", "registers"), involved, schema))
     ids = scratch.keep("active_ids", active.select(F.col("rep").alias("doc_id")).distinct())
     full = active.join(reps, "rep").join(_sets(rows, ids).withColumnRenamed("doc_id", "rep"), "rep")
 
@@ -302,7 +330,7 @@ def _open_links(rows: DataFrame, members: DataFrame, classes: DataFrame, scratch
                     out.append((int(min(rep[a], rep[b])), int(max(rep[a], rep[b]))))
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    linked = full.select("key", "band", "i", "j", "own", "rep", "component", "shared", "n", "registers", "items").groupBy("key", "i", "j").applyInArrow(confirm, "a long, b long")
+    linked = _by_blocks(full.select("key", "band", "i", "j", "own", "rep", "component", "shared", "n", "registers", "items"), confirm, "a long, b long")
     return scratch.keep("open_links", linked.distinct())
 
 

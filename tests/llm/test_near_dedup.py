@@ -138,3 +138,13 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (4, 4), (30, 20), (20, 10), (30, 40)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5, 10: 10, 20: 10, 30: 10, 40: 10}
+
+
+def test_components_of_no_and_odd_edges(spark):
+    schema = "a long, b long, node string"
+    assert connected_components(spark.createDataFrame([], schema)).count() == 0
+    edges = [(1, 1, "x"), (None, 2, "x"), (3, None, "x"), (5, 4, "x"), (4, 5, "x"), (5, 4, "y")]
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, schema)).collect()}
+    assert found == {4: 4, 5: 4}
+    chain = [(i, i + 1, "") for i in range(100)]
+    assert {r["component"] for r in connected_components(spark.createDataFrame(chain, schema)).collect()} == {0}
