@@ -9,9 +9,13 @@ product of their factors, which a linear model lacks. The pair sum costs one pas
 less the sum of squares.
 
 The machine is fitted on at most ``TRAIN_ROWS`` labelled documents, those with the smallest hash of their id among the
-labelled rows that are not held out (crc32 of the id as text, mod 4, is 2). Features are the ``FEATURES`` terms with
-the largest chi-squared between presence and label there, of ``LEAST_CHI`` at least. Both bounds are parameters; everything that follows is
-applied to every document. Labels, language, source and id are never inputs of a score.
+labelled rows that are not held out (crc32 of the id as text, mod 4, is 2); of several texts of an id the least counts.
+Features are of two kinds: the terms with the largest chi-squared between presence and label there, of ``LEAST_CHI`` at
+least, and, whatever they say alone, terms that say something in pairs: of the ``PAIR_TERMS`` most frequent terms that
+are in at most ``MOST_SHARE`` of the documents all pairs are counted in the sample, and those whose presence together
+tells more than both alone add up to (``PAIR_CHI``) bring both of their terms in, so that the factors can learn an
+interaction whose parts are neutral. All bounds are parameters; everything that follows is applied to every
+document. Labels, language, source and id are never inputs of a score.
 
 Defined cases: null text is empty and gets the bias as score; without a labelled row each score is 0; several labels
 of a document count as toxic if one says so, null labels are left out; repeated rows are each scored; an empty table
@@ -34,8 +38,13 @@ from spindrift.llm.decontaminate import words
 
 #: Bounds of the training sample, of the features, and the number of factors.
 TRAIN_ROWS, FEATURES, FACTORS = 20_000, 4096, 8
+#: Tasks that count pairs; each sends its counts once.
+PAIR_TASKS = 4
 #: Documents in which a feature occurs at least, and its least chi-squared.
 LEAST_DOCS, LEAST_CHI = 5, 20.0
+#: Frequent terms whose pairs are counted, the largest share of documents that hold one, and a pair's least chi-squared,
+#: which is larger as there are half a million pairs and as some dozens of copies of one text tell no more than that text.
+PAIR_TERMS, MOST_SHARE, PAIR_CHI = 1024, 0.5, 250.0
 #: Bytes of the word beginnings that are terms too; those of the alphabet of words never hold the mark ``*``.
 PREFIXES = (4, 5, 6, 7)
 EPOCHS, RATE, DECAY, FACTOR_DECAY, BATCH = 40, 0.03, 1e-6, 1e-4, 256
@@ -108,6 +117,46 @@ def fit(rows: list[list[int]], labels: list[int], n_features: int, factors: int
     return float(w0[0]), w, v
 
 
+def pair_chi(both: np.ndarray, both_toxic: np.ndarray, single: np.ndarray, single_toxic: np.ndarray, n: int, pos: int) -> np.ndarray:
+    """For all pairs of terms the chi-squared of toxic documents with both, against the share that both terms give when
+    each adds what it says alone (in log odds, as a linear model would); 0 where a pair is too rare, or not above it."""
+    odds = lambda k, of: np.log((k + 0.5) / (of - k + 0.5))
+    alone = odds(single_toxic, single)
+    expected = 1 / (1 + np.exp(-np.clip(alone[:, None] + alone[None, :] - odds(np.float64(pos), np.float64(n)), -30, 30)))
+    excess = both_toxic - both * expected
+    out = np.where((both >= LEAST_DOCS) & (excess > 0), excess**2 / np.maximum(both * expected * (1 - expected), 1.0), 0.0)
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def _telling_pairs(rows: DataFrame, terms: list[int]) -> list[int]:
+    """The terms of the pairs that tell the label together. The presence of the terms in the bounded sample is one bit
+    matrix; each task counts the pairs of its documents, and the counts of all are added up."""
+    if not terms:
+        return []
+    known, size = np.array(terms, np.int64), len(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, size, size), np.float32)
+        n = np.zeros(2, np.int64)
+        for batch in batches:
+            here, toxic = np.zeros((batch.num_rows, size), np.float32), np.array(batch.column(1).to_pylist())
+            for i, found in enumerate(batch.column(2).to_pylist()):
+                here[i, np.isin(known, np.array(found, np.int64))] = 1
+            for k, part in enumerate((here, here[toxic == 1])):
+                sums[k] += part.T @ part
+                n[k] += len(part)
+        yield pa.RecordBatch.from_arrays([pa.array([int(n[0])]), pa.array([int(n[1])]), pa.array([zlib.compress(sums.astype(np.uint16 if n[0] < 1 << 16 else np.uint32).tobytes(), 1)]), pa.array([2 if n[0] < 1 << 16 else 4])], ["n", "pos", "counts", "width"])
+
+    small = rows.repartition(PAIR_TASKS)
+    total, n, pos = np.zeros((2, size, size), np.float64), 0, 0
+    for r in small.mapInArrow(count, "n long, pos long, counts binary, width long").toLocalIterator():
+        n, pos = n + r["n"], pos + r["pos"]
+        total += np.frombuffer(zlib.decompress(r["counts"]), np.uint16 if r["width"] == 2 else np.uint32).reshape(2, size, size)
+    chi = pair_chi(total[0], total[1], total[0].diagonal(), total[1].diagonal(), n, pos)
+    return known[(chi >= PAIR_CHI).any(1)].tolist()
+
+
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, features: int = FEATURES) -> Machine | None:
     """The machine fitted on the bounded sample of docs that have a label and are not held out."""
     spark = docs.sparkSession
@@ -123,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, feat
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([term_hashes(t) for t in utf8(batch.column(1))], pa.list_(pa.int64()))], ["doc_id", "toxic", "terms"])
 
-    rows = scratch.keep("terms", rows.mapInArrow(hashed, "doc_id long, toxic int, terms array<long>"))
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # no more than train_rows
+    rows = scratch.keep("terms", rows.select("doc_id", "text", "toxic").mapInArrow(hashed, "doc_id long, toxic int, terms array<long>"))
     n, pos = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n:
         return None
@@ -134,7 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, feat
     numerator = n * F.pow(a * (n - pos) - (n_t - a) * pos, 2) / F.greatest(F.lit(1.0), F.lit(float(pos * (n - pos))))
     chi = numerator / F.greatest(F.lit(1.0), n_t * (n - n_t))
     best = terms.select("term", chi.alias("chi")).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(features).collect()
-    hashes = np.array(sorted(r["term"] for r in best), np.int64)
+    common = terms.where(F.col("n") <= MOST_SHARE * n).orderBy(F.desc("n"), "term").limit(PAIR_TERMS).collect()
+    pairs = _telling_pairs(rows, sorted(r["term"] for r in common))
+    hashes = np.array(sorted({r["term"] for r in best} | set(pairs)), np.int64)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

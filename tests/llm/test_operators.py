@@ -227,6 +227,46 @@ def test_pairs_are_learned():
     assert (machine.factors[0] * machine.factors[1]).sum() > 0
 
 
+def test_scores_against_pair_by_pair(spark):
+    """The one-pass pair sum against all pairs of a text's features, one by one."""
+    rng = np.random.default_rng(2)
+    vocabulary = [f"term{i}" for i in range(30)]
+    hashes = np.unique(np.concatenate([toxicity.term_hashes(w.encode()) for w in vocabulary]))
+    machine = toxicity.Machine(hashes, -0.3, rng.normal(0, 1, len(hashes)), rng.normal(0, 0.5, (len(hashes), 8)))
+    texts = ["", "nothing known", *(" ".join(rng.choice(vocabulary, rng.integers(1, 15))).upper() for _ in range(40))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.toxicity(docs, machine).collect()}
+    for i, t in enumerate(texts):
+        present = [k for k, h in enumerate(hashes.tolist()) if h in set(toxicity.term_hashes(t.encode()).tolist())]
+        raw = machine.bias + sum(machine.weights[k] for k in present) + sum(float(machine.factors[a] @ machine.factors[b]) for x, a in enumerate(present) for b in present[x + 1 :])
+        assert got[i] == (pytest.approx(1 / (1 + np.exp(-raw))), int(1 / (1 + np.exp(-raw)) >= 0.3))
+
+
+def test_a_toxic_pair_of_neutral_terms_is_learned(spark):
+    """Two frequent words are toxic together and say nothing alone: texts with both are toxic, with one or none at the
+    rate that keeps each word's own share of toxic texts at the average."""
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for i in range(4000):
+        a, b = rng.random(2) < 0.3
+        toxic = bool(a and b) if a or b else rng.random() < 0.3
+        filler = [f"w{k}" for k in rng.integers(0, 60, 12)]
+        rows.append((i, " ".join([*filler, *["gorp"] * a, *["blin"] * b])))
+        labels.append((i, None, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    machine = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    score = lambda t: machine.score(t.encode())
+    filler = " w1 w2 w3 w4"
+    assert score("gorp blin" + filler) > 0.6 > 0.3 > max(score("gorp" + filler), score("blin" + filler))
+
+
+def test_repeated_labelled_ids_do_not_grow_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(i, "bad word" if i % 2 else "fine") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None, i % 2) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    machine = toxicity.train(docs, labels, train_rows=30)
+    assert machine is not None and all(r["score"] >= 0 for r in toxicity.toxicity(docs, machine).collect())
+
+
 def test_toxicity_held_out(spark):
     out = llm_queries()["op4_toxicity"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").toPandas()
     recall = out[out.toxic == 1].predicted.mean()
