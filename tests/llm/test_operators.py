@@ -251,7 +251,7 @@ def test_a_toxic_pair_of_neutral_terms_is_learned(spark):
         a, b = rng.random(2) < 0.3
         toxic = bool(a and b) if a or b else rng.random() < 0.3
         filler = [f"w{k}" for k in rng.integers(0, 60, 12)]
-        rows.append((i, " ".join([*filler, *["gorp"] * a, *["blin"] * b])))
+        rows.append((i, " ".join([*filler, *["gorp"] * int(a), *["blin"] * int(b)])))
         labels.append((i, None, int(toxic)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     machine = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
