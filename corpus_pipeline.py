@@ -3,6 +3,10 @@
 Each stage calls one operator on everything that its predecessor kept. All but the last return the columns of
 documents; the last returns the token counts and digests of what stays. Stages read benchmark and labels of the same
 folder.
+
+Defined cases: each stage judges rows, so a null or repeated id drops no other row; null and empty texts are equal to
+each other (one row of them stays) and are neither toxic, near copies nor contaminated; other columns come through as
+they are up to the last stage; an empty table goes through as one.
 """
 
 from __future__ import annotations
