@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.sources.parsers import lexical
+from spindrift.sources.parsers import java, lexical
 from spindrift.sources.parsers import python as python_parser
 from spindrift.sources.parsers.rows import Parsed
 
@@ -76,6 +76,42 @@ def errors(parsed: DataFrame) -> DataFrame:
     return parsed.where("record = 'error'").select("path", "language", "error")
 
 
+OUTLINE = "record string, path string, pos int, kind string, name string, line_start int, line_end int, container string, target string"
+
+
+def outlines(files: DataFrame) -> DataFrame:
+    """Rows of the small outlines of Python and Java files (path, language, content): symbols (kind, name, lines, container),
+    imports (name, line) and edges between names of one file (container, target, kind), told apart by record. A file
+    that cannot be parsed gives one row with record error."""
+    names = [x.split()[0] for x in OUTLINE.split(", ")]
+
+    def rows_of(path: str, language: str, content: str) -> Iterator[dict]:
+        try:
+            if language == "java":
+                symbols, imported = java.outline(content)
+                edges = java.symbol_edges(content)
+            else:
+                symbols, edges = python_parser.outline(content), python_parser.symbol_edges(content)
+                imported = [(module, line) for _, _, module, _, line in python_parser.parse(path, content).imports]
+        except Exception as error:  # one bad file must not end the scan
+            yield {"record": "error", "path": path, "name": f"{type(error).__name__}: {error}"[:500]}
+            return
+        for i, (kind, name, first, last, container) in enumerate(symbols):
+            yield {"record": "symbol", "path": path, "pos": i, "kind": kind, "name": name, "line_start": first, "line_end": last, "container": container}
+        for i, (name, line) in enumerate(imported):
+            yield {"record": "import", "path": path, "pos": i, "name": name, "line_start": line}
+        for i, (container, target, kind) in enumerate(edges):
+            yield {"record": "edge", "path": path, "pos": i, "kind": kind, "container": container, "target": target}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [_TYPES[x.split()[1]] for x in OUTLINE.split(", ")]
+        for batch in batches:
+            rows = [r for p, lang, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if lang in ("python", "java") for r in rows_of(p, lang, c or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types, strict=True)], names)
+
+    return files.select("path", "language", "content").mapInArrow(run, OUTLINE)
+
+
 def summary(parsed: DataFrame) -> DataFrame:
     """One row: files with symbols, symbols, relationships, languages."""
     return parsed.agg(
