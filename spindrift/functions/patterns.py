@@ -8,21 +8,33 @@ from pyspark.sql import functions as F
 
 # Names and parts of names that the heuristics look for.
 ENTRY_FILES = (
-    "main.py app.py server.py __main__.py run.py start.py manage.py wsgi.py asgi.py gunicorn.py "
-    "index.js app.js server.js main.js index.ts app.ts server.ts main.ts start.js start.ts bootstrap.js bootstrap.ts entry.js entry.ts "
-    "main.go cmd.go server.go app.go root.go start.go main.rs lib.rs server.rs app.rs start.rs bin.rs "
-    "main.c main.cpp main.cc main.cxx app.c app.cpp start.c start.cpp entry.c entry.cpp index.php app.php bootstrap.php artisan console server.php start.php"
-).split()
-ENTRY_PARTS = "main app server start run entry bootstrap init cmd cli daemon service worker launcher".split()
+    "main.py", "app.py", "server.py", "__main__.py", "run.py", "start.py", "manage.py", "wsgi.py", "asgi.py", "gunicorn.py", "index.js", "app.js",
+    "server.js", "main.js", "index.ts", "app.ts", "server.ts", "main.ts", "start.js", "start.ts", "bootstrap.js", "bootstrap.ts", "entry.js",
+    "entry.ts", "main.go", "cmd.go", "server.go", "app.go", "root.go", "start.go", "main.rs", "lib.rs", "server.rs", "app.rs", "start.rs", "bin.rs",
+    "main.c", "main.cpp", "main.cc", "main.cxx", "app.c", "app.cpp", "start.c", "start.cpp", "entry.c", "entry.cpp", "index.php", "app.php",
+    "bootstrap.php", "artisan", "console", "server.php", "start.php",
+)
+ENTRY_PARTS = (
+    "main", "app", "server", "start", "run", "entry", "bootstrap", "init", "cmd", "cli", "daemon", "service", "worker", "launcher",
+)
 ENTRY_EXTENSIONS = (".py", ".js", ".ts", ".go", ".rs", ".c", ".cpp")
-ENTRY_PATHS = "cmd/main cmd/root cmd/server src/main src/app src/server bin/main bin/app bin/server app/main app/server app/start scripts/start scripts/run".split()
+ENTRY_PATHS = (
+    "cmd/main", "cmd/root", "cmd/server", "src/main", "src/app", "src/server", "bin/main", "bin/app", "bin/server", "app/main", "app/server",
+    "app/start", "scripts/start", "scripts/run",
+)
 CONNECTED_PARTS = (
-    "router controller service handler middleware api core engine manager processor client mod module pkg package lib util utils helper helpers "
-    "express fastapi gin actix rocket db database model entity repo repository config settings constants types interfaces console text style render display format "
-    "parse parser convert transform process table tree list grid layout widget color theme visual graphic draw paint file io stream buffer cache store base common shared global main index"
-).split()
-SOURCE_DIRECTORIES = "src/ lib/ core/ pkg/ cmd/ internal/ crates/ modules/ include/ source/ components/ services/ utils/".split()
-CRITICAL_NAMES = "main index app server start init run new".split()
+    "router", "controller", "service", "handler", "middleware", "api", "core", "engine", "manager", "processor", "client", "mod", "module", "pkg",
+    "package", "lib", "util", "utils", "helper", "helpers", "express", "fastapi", "gin", "actix", "rocket", "db", "database", "model", "entity",
+    "repo", "repository", "config", "settings", "constants", "types", "interfaces", "console", "text", "style", "render", "display", "format",
+    "parse", "parser", "convert", "transform", "process", "table", "tree", "list", "grid", "layout", "widget", "color", "theme", "visual", "graphic",
+    "draw", "paint", "file", "io", "stream", "buffer", "cache", "store", "base", "common", "shared", "global", "main", "index",
+)
+SOURCE_DIRECTORIES = (
+    "src/", "lib/", "core/", "pkg/", "cmd/", "internal/", "crates/", "modules/", "include/", "source/", "components/", "services/", "utils/",
+)
+CRITICAL_NAMES = (
+    "main", "index", "app", "server", "start", "init", "run", "new",
+)
 EXPORTS = (
     "export default", "module.exports =", "exports.", "pub fn main", "pub fn new", "pub fn", "func main", "func new",
     "int main", "void main", "public static void main", 'if __name__ == "__main__"',

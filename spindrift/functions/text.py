@@ -148,88 +148,17 @@ def line_importance(line: Column) -> Column:
     return F.when(F.trim(line) == "", 1).otherwise(F.greatest(*scores))
 
 
-def importance_of(line: str) -> int:
-    """The same for a string."""
-    return max([1, *(s for s, p in LINE_PATTERNS if line.strip() and re.match(p, line, re.I))])
-
-
-def truncate_code(content: str, max_tokens: int, count: Callable[[str], int] = lambda t: len(t) // 4) -> str:
-    """Code within about max_tokens: runs of three or more lines of equal low importance become a marker, least
-    important first; if that is not enough, the head and the tail stay.
-
-    Runs keep the line numbers of the given text also after earlier replacements.
-    """
-    if count(content) <= max_tokens:
-        return content
-    lines = content.split("\n")
-    scores = [importance_of(x) for x in lines]
-    out, now = list(lines), content
-    for level in range(1, 5):
-        if count(now) <= max_tokens:
-            break
-        at = [i for i, s in enumerate(scores) if s == level]
-        runs: list[list[int]] = []
-        for i in at:
-            if runs and i == runs[-1][1] + 1:
-                runs[-1][1] = i
-            else:
-                runs.append([i, i])
-        for a, b in reversed([r for r in runs if r[1] - r[0] >= 2]):
-            head = out[a] if a < len(out) else ""
-            out[a : b + 1] = [" " * (len(head) - len(head.lstrip())) + f"# ... [{b - a + 1} lines omitted] ..."]
-        now = "\n".join(out)
-    if count(now) <= max_tokens:
-        return now
-    target, half = max_tokens - 100, len(out) // 2
-
-    def fill(some: list[str], share: float) -> list[str]:
-        kept, used = [], 0
-        for line in some:
-            n = count(line + "\n")
-            if used + n >= target * share:
-                break
-            kept.append(line)
-            used += n
-        return kept
-
-    head, tail = fill(out[:half], 0.6), fill(out[half:][::-1], 0.3)[::-1]
-    return "\n".join([*head, f"\n# ... [{len(out) - len(head) - len(tail)} lines omitted for brevity] ...\n", *tail])
-
-
-def truncate_keeping(content: str, max_tokens: int, ranges: list[tuple[int, int]], count: Callable[[str], int] = lambda t: len(t) // 4) -> str:
-    """truncate_code after reducing a text that is too long to its head, its imports and the given line ranges
-    (1-based, inclusive)."""
-    if count(content) <= max_tokens:
-        return content
-    spans = sorted((a - 1, b) for a, b in ranges if a and b)
-    if spans:
-        lines = content.split("\n")
-        out = [x for i, x in enumerate(lines[:50]) if i < 10 or re.match(r"^\s*(import|from|using|#include)", x)]
-        for a, b in spans:
-            if a > 0 and out:
-                out.append(f"\n# ... [lines {len(out) + 1} - {a} omitted] ...\n")
-            out += lines[a:b]
-        content = "\n".join(out)
-    return truncate_code(content, max_tokens, count)
-
-
-def truncated(text: Column, max_tokens: int) -> Column:
-    """truncate_code for a column."""
-
-    @F.pandas_udf("string")
-    def run(s):
-        return s.map(lambda t: truncate_code(t, max_tokens) if t is not None else None)
-
-    return run(text)
-
-
 def doc_issues(docs: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """key, issue: references that no component name (column name) contains or ends with, and missing headings."""
     refs = docs.select(key, F.explode(code_references(F.col(text))).alias("ref")).where("length(ref) > 3")
     parts = F.split("name", r"\.")
     known = names.select(F.explode(F.array("name", F.element_at(parts, -1), F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), F.lit(2)), "."))).alias("known")).distinct()
     distinct = refs.select("ref").distinct()
-    missing = distinct.join(known, F.col("known").contains(F.col("ref")), "left_anti")
+    # A name holds a reference if one of its ends starts with it; ends and references meet by their first characters.
+    ends = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("known") - 3)), lambda i: F.substring(F.col("known"), i, F.length("known")))).alias("end"))
+    ends = ends.where("length(end) > 3").select(F.substring("end", 1, 4).alias("start"), "end").distinct()
+    wanted = distinct.withColumn("head", F.substring("ref", 1, 4))
+    missing = wanted.join(ends, (F.col("head") == F.col("start")) & F.col("end").startswith(F.col("ref")), "left_anti").select("ref")
     out = refs.join(missing, "ref").select(key, F.format_string("[WARNING] Referenced '%s' not found in codebase (may be external)", "ref").alias("issue"))
     for mark, message in (("# ", "Missing main heading"), ("## ", "Missing section headings")):
         out = out.unionByName(docs.where(~F.col(text).contains(mark)).select(key, F.lit(f"[WARNING] {message}").alias("issue")))
@@ -307,6 +236,11 @@ def elided(lines: DataFrame, bodies: DataFrame, least: int = 5) -> DataFrame:
     return lines.join(long, within, "left_anti").unionByName(marks)
 
 
+def shortened(text: Column, size: int, notice: str = "\n... response truncated ...") -> Column:
+    """The first size characters with a notice behind, if there are more; all of it for a size of 0."""
+    return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit(notice))).otherwise(text) if size else text
+
+
 def replace_once(text: Column, old: str, new: str) -> Column:
     """The text with old replaced, null unless old occurs exactly once."""
     n = (F.length(text) - F.length(F.replace(text, F.lit(old), F.lit("")))) / len(old)

@@ -24,20 +24,33 @@ LEAF_LIMIT = 400
 
 
 class Rounds:
-    """Tables of a loop, written to the folder that driver and executors share."""
+    """Tables of a loop, written to the folder that driver and executors share: spark.checkpoint.dir. Where it is unset a
+    local master takes a folder of its own, and a cluster is refused, as no folder of one machine would do.
+
+    A table that is kept under a name takes the place of the one before; that one's files go when the next one is there,
+    as what was read from them may still be part of a plan that is built in between.
+    """
 
     def __init__(self, spark: SparkSession):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-            root = os.path.join(tempfile.gettempdir(), f"spindrift-{os.getuid()}") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_spindrift"
+            if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = os.path.join(tempfile.gettempdir(), f"spindrift-{os.getuid()}")
         self.spark, self.root = spark, f"{root.rstrip('/')}/rounds-{spark.sparkContext.applicationId}"
+        self.named: dict[str, list] = {}
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, name: str | None = None) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
         hpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+        store = hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        store.deleteOnExit(hpath)
         df.write.parquet(path)
+        if name:
+            held = self.named.setdefault(name, [])
+            held.append(hpath)
+            if len(held) > 2:
+                store.delete(held.pop(0), True)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,14 +91,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
     reached within the colour, and the rest is coloured anew.
     """
     rounds = Rounds(edges.sparkSession)
-    edges = rounds.keep(edges.select("src", "dst").where("src <> dst").distinct())
-    nodes = rounds.keep(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
+    every = rounds.keep(edges.select("src", "dst").distinct())
+    nodes = rounds.keep(every.select(F.col("src").alias("node")).unionByName(every.select(F.col("dst").alias("node"))).distinct())
+    edges = rounds.keep(every.where("src <> dst"))
     done: list[DataFrame] = []
     while some(edges):
         # Trim: a node without edges in or out is alone.
         while True:
             inner = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            inner = rounds.keep(inner)
+            inner = rounds.keep(inner, "inner")
             same = inner.count() == edges.count()
             edges = inner
             if same:
@@ -96,7 +110,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         colour = rounds.keep(live.withColumn("colour", F.col("node")))
         while True:
             flow = edges.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("new"))
-            moved = rounds.keep(colour.join(flow, "node", "left").select("node", F.least("colour", F.coalesce("new", "colour")).alias("colour"), (F.col("new") < F.col("colour")).alias("changed")))
+            moved = rounds.keep(colour.join(flow, "node", "left").select("node", F.least("colour", F.coalesce("new", "colour")).alias("colour"), (F.col("new") < F.col("colour")).alias("changed")), "moved")
             colour = moved.select("node", "colour")
             if not some(moved.where("changed")):
                 break
@@ -107,7 +121,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         while some(frontier):
             step = back.join(frontier.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
             frontier = rounds.keep(step.join(reached.select("node"), "node", "left_anti"))
-            reached = rounds.keep(reached.unionByName(frontier))
+            reached = rounds.keep(reached.unionByName(frontier), f"reached{len(done)}")
         done.append(reached.select("node", F.col("colour").alias("component")))
         gone = reached.select("node")
         edges = rounds.keep(edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
@@ -129,7 +143,7 @@ def weak_components(edges: DataFrame) -> DataFrame:
     of = rounds.keep(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
     while True:
         flow = both.join(of.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("new"))
-        moved = rounds.keep(of.join(flow, "node").select("node", F.least("component", "new").alias("component"), (F.col("new") < F.col("component")).alias("changed")))
+        moved = rounds.keep(of.join(flow, "node").select("node", F.least("component", "new").alias("component"), (F.col("new") < F.col("component")).alias("changed")), "moved")
         of = moved.select("node", "component")
         if not some(moved.where("changed")):
             return of
@@ -157,8 +171,8 @@ def topological_levels(edges: DataFrame) -> DataFrame:
         if not some(free):
             raise ValueError("the graph has a cycle")
         out.append(free.withColumn("level", F.lit(level)))
-        left = rounds.keep(left.join(free.withColumnRenamed("node", "src"), "src", "left_anti").select("src", "dst"))
-        waiting = rounds.keep(waiting.join(free, "node", "left_anti"))
+        left = rounds.keep(left.join(free.withColumnRenamed("node", "src"), "src", "left_anti").select("src", "dst"), "left")
+        waiting = rounds.keep(waiting.join(free, "node", "left_anti"), "waiting")
         level += 1
     done = out[0] if out else waiting.withColumn("level", F.lit(0))
     for part in out[1:]:
@@ -166,6 +180,19 @@ def topological_levels(edges: DataFrame) -> DataFrame:
     return done
 
 
+def component_levels(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """node (a component), level of the graph whose nodes are the components and which so has no cycle.
+
+    A component without edges to others has level 0.
+    """
+    rounds = Rounds(edges.sparkSession)
+    of = components.select("node", "component")
+    lifted = edges.join(of.select(F.col("node").alias("src"), F.col("component").alias("c1")), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst")
+    lifted = rounds.keep(lifted.where("c1 <> c2").select(F.col("c1").alias("src"), F.col("c2").alias("dst")).distinct())
+    levels = topological_levels(lifted)
+    return of.select(F.col("component").alias("node")).distinct().join(levels, "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"))
+
+
 def topological_order(edges: DataFrame) -> DataFrame:
     """node, level, with the order that (level, node) gives."""
     return topological_levels(edges).orderBy("level", "node")
@@ -214,6 +241,8 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int, down: bool = True) ->
     An edge counts at the depth at which it is first walked; nodes are expanded once for each root.
     """
     rounds = Rounds(edges.sparkSession)
+    if depth < 1:
+        return edges.select(F.col("src").alias("root"), "src", "dst", F.lit(0).alias("depth")).limit(0)
     step = edges.select("src", "dst") if down else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     seen = frontier = rounds.keep(roots.select("root", F.col("root").alias("node")).distinct())
     found = None

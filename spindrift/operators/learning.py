@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spindrift.functions.paths import basename
 from spindrift.functions.patterns import any_part
 from spindrift.operators.graph import degrees
-from spindrift.operators.relational import complexity, difficulty, top_k, top_k_per_key
+from spindrift.operators.relational import complexity, difficulty, numbered, top_k, top_k_per_key
 
 ENTRY_SYMBOLS, ENTRY_PATHS = ("main", "__main__", "cli", "run"), ("main", "app", "index", "cli", "run")
 
@@ -61,8 +61,7 @@ def module_path(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """file_path, complexity, symbols, rank of a module's files (column file_path), simplest first."""
     own = symbols.join(files.select("file_path").distinct(), "file_path", "left_semi")
     named = own.groupBy("file_path").agg(_names(5).alias("symbols"))
-    order = ["complexity", "file_path"]
-    return complexity(own).join(named, "file_path").withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    return numbered(complexity(own).join(named, "file_path"), ["complexity", "file_path"], "rank")
 
 
 def outline(symbols: DataFrame) -> DataFrame:

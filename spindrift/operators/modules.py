@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.paths import basename, dirname
 from spindrift.operators.graph import Rounds, some
-from spindrift.operators.relational import prefixes
+from spindrift.operators.relational import numbered, prefixes
 
 
 def path_tree(paths: DataFrame) -> DataFrame:
@@ -39,26 +41,52 @@ def suggest_modules(clusters: DataFrame, edges: DataFrame, max_modules: int = 10
     """module, path, n, density: small clusters (under 2) merged, then the two smallest again and again until at most
     max_modules are left.
 
-    The loop runs on the driver over the table of cluster sizes, one row for each directory of a repository; members
-    never leave the cluster. A merged pair is named after the common directories or else ``a_and_b``, and joins a
-    cluster that has this name already.
+    Merging the two smallest is one step after another by its nature. It runs on the table of cluster sizes, one row for
+    each directory with code of one repository, with a heap of them (n log n); members never leave the cluster. A merged
+    pair is named after the common directories or else ``a_and_b``, and joins a cluster that has this name already.
     """
     merged = Rounds(clusters.sparkSession).keep(merge_small(clusters, 2))
-    sizes = {r["cluster"]: r["n"] for r in merged.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
-    into = {name: name for name in sizes}
-    while len(sizes) > max_modules:
-        one, two = sorted(sizes, key=lambda k: (sizes[k], k))[:2]
+    start = [(r["cluster"], r["n"]) for r in merged.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()]
+    names, sizes, up = [name for name, _ in start], [n for _, n in start], [-1] * len(start)  # by number of a cluster
+    live = {name: k for k, name in enumerate(names)}
+    heap = [(n, name, live[name]) for name, n in start]
+    heapq.heapify(heap)
+
+    def smallest() -> int:
+        while True:
+            n, name, k = heapq.heappop(heap)
+            if live.get(name) == k and sizes[k] == n:  # else it was merged, or has grown, since it was put there
+                return live.pop(name)
+
+    while len(live) > max_modules:
+        one, two = smallest(), smallest()
         common = []
-        for a, b in zip(one.split("/"), two.split("/"), strict=False):
+        for a, b in zip(names[one].split("/"), names[two].split("/"), strict=False):
             if a != b:
                 break
             common.append(a)
-        name = "/".join(common) or f"{one}_and_{two}"
-        n = sizes.pop(one) + sizes.pop(two)
-        sizes[name] = sizes.get(name, 0) + n
-        into = {k: name if v in (one, two) else v for k, v in into.items()}
+        name = "/".join(common) or f"{names[one]}_and_{names[two]}"
+        if name not in live:
+            live[name] = len(names)
+            names.append(name)
+            sizes.append(0)
+            up.append(-1)
+        k = up[one] = up[two] = live[name]
+        sizes[k] += sizes[one] + sizes[two]
+        heapq.heappush(heap, (sizes[k], name, k))
+
+    def top(k: int) -> int:
+        path = []
+        while up[k] >= 0:
+            path.append(k)
+            k = up[k]
+        for x in path:
+            up[x] = k
+        return k
+
+    into = {name: names[top(k)] for k, (name, _) in enumerate(start)}
     named = merged.sparkSession.createDataFrame(list(into.items()), "cluster string, path string")
-    members = merged.join(F.broadcast(named), "cluster").select(F.col("path").alias("cluster"), "id")  # a row for each directory
+    members = merged.join(named, "cluster").select(F.col("path").alias("cluster"), "id")
     from spindrift.operators.graph import cluster_density
 
     dense = cluster_density(members, edges)
@@ -80,7 +108,7 @@ def refine(assignments: DataFrame, parents: DataFrame, file_edges: DataFrame, mi
     sizes = of.groupBy("module").agg(F.count(F.lit(1)).alias("n_files"))
     merge = up.join(sizes, "module").join(edges, "module", "left").where((F.col("n_files") <= min_files) | (F.coalesce(F.col("n_up") / F.col("n_out"), F.lit(0.0)) >= ratio))
     step = rounds.keep(merge.select("module", F.col("parent").alias("into")))
-    while True:
+    for _ in range(64):  # a chain doubles its reach with each round; parents in a circle have no end
         further = step.select(F.col("module").alias("into"), F.col("into").alias("next"))
         moved = rounds.keep(step.join(further, "into", "left").select("module", F.coalesce("next", "into").alias("into"), F.col("next").isNotNull().alias("moved")))
         step = moved.select("module", "into")
@@ -91,11 +119,9 @@ def refine(assignments: DataFrame, parents: DataFrame, file_edges: DataFrame, mi
 
 def processing_order(tree: DataFrame) -> DataFrame:
     """Rows of a path tree with the position of their post-order: children in order of name, before their parent."""
-    from pyspark.sql import Window as W
-
     # A parent's key is its children's with a larger character behind.
     key = F.when(F.col("prefix") == "", F.lit("\U0010ffff")).otherwise(F.concat("prefix", F.lit("/\U0010ffff")))
-    return tree.withColumn("position", F.row_number().over(W.orderBy(key)))
+    return numbered(tree, [key])
 
 
 def components_by_file(components: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spindrift.operators.graph import Rounds
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in a total order; equal keys keep one row (a stable dedup)."""
@@ -27,16 +29,35 @@ def budget_prefix(df: DataFrame, tokens: Column, order: list[str], budget: int,
     """Rows in ascending order while the running sum of tokens, which are not negative, stays within the budget.
 
     With keys, for each key. Without, only the first budget + 1 rows that have tokens can matter, so these are taken
-    first and the running sum never sees the whole table.
+    first and the running sum never sees the whole table; rows without tokens, of which there may be many, look up the
+    sum before them in these.
     """
     if keys:
         window = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn("running_tokens", F.sum(tokens).over(window)).where(F.col("running_tokens") <= budget)
     one = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    head = df.where(tokens > 0).orderBy(*order).limit(budget + 1).withColumn("_sum", F.sum(tokens).over(one))
-    cut = head.where(F.col("_sum") > budget).agg(F.min(F.struct(*order)).alias("_cut"))
-    within = df.crossJoin(F.broadcast(cut)).where(F.col("_cut").isNull() | (F.struct(*order) < F.col("_cut"))).drop("_cut")  # the cut is one row
-    return within.withColumn("running_tokens", F.sum(tokens).over(one))
+    head = df.where(tokens > 0).orderBy(*order).limit(budget + 1).withColumn("running_tokens", F.sum(tokens).over(one))
+    sums = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), "running_tokens")))
+    steps = head.agg(sums.alias("_steps"))  # one row
+    free = df.where(~F.coalesce(tokens > 0, F.lit(False))).crossJoin(F.broadcast(steps))
+    before = F.filter("_steps", lambda x: x["at"] < F.struct(*order))
+    running = F.coalesce(F.try_element_at(before, F.lit(-1))["running_tokens"], F.lit(0))
+    free = free.withColumn("running_tokens", running).drop("_steps")
+    return head.unionByName(free).where(F.col("running_tokens") <= budget)
+
+
+def numbered(df: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """df with its place, from 1, in a total order. No task sees all rows: they are sorted by ranges and written, and each
+    range starts behind the rows of those before it, of which only the counts are collected (one for each partition)."""
+    placed = Rounds(df.sparkSession).keep(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)
+    starts, before = [], 0
+    for r in sorted(placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        starts.append((r["part"], before))
+        before += r["n"]
+    ranges = df.sparkSession.createDataFrame(starts, "_part long, _start long")
+    out = placed.withColumn("_part", part).join(F.broadcast(ranges), "_part")  # a row for each partition
+    return out.withColumn(name, F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_start", "_place")
 
 
 def usage_summary(usage: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.text import tokens
 from spindrift.operators.modules import tree_depth
+from spindrift.operators.relational import numbered
 
 
 def issue_counts(files: DataFrame, issues: DataFrame, key: str) -> DataFrame:
@@ -67,7 +68,7 @@ def navigation(tree: DataFrame) -> DataFrame:
     """prefix, label, href, position of a two-level menu from tree rows (prefix, parent, name, depth)."""
     rows = tree.where(F.col("depth").between(1, 2))
     label = F.initcap(F.translate("name", "_-", "  "))
-    return rows.select("prefix", label.alias("label"), F.concat(F.translate("prefix", "/", "_"), F.lit(".md")).alias("href"), F.row_number().over(W.orderBy("prefix")).alias("position"))
+    return numbered(rows.select("prefix", label.alias("label"), F.concat(F.translate("prefix", "/", "_"), F.lit(".md")).alias("href")), ["prefix"])
 
 
 def stage_progress(stage_done: Column, total: Column) -> Column:
@@ -78,7 +79,7 @@ def stage_progress(stage_done: Column, total: Column) -> Column:
 def pages(modules: DataFrame, ai_docs: DataFrame, most: int = 12) -> DataFrame:
     """page, kind, position: the overview, modules but the root, and the first generated documents."""
     overview = modules.sparkSession.createDataFrame([("overview", "overview", 0)], "page string, kind string, position int")
-    listed = modules.where((F.col("name") != "root") & (F.col("prefix") != "")).select(F.col("name").alias("page"), F.lit("module").alias("kind"), F.row_number().over(W.orderBy("prefix")).alias("position"))
+    listed = numbered(modules.where((F.col("name") != "root") & (F.col("prefix") != "")).select(F.col("name").alias("page"), F.lit("module").alias("kind"), "prefix"), ["prefix", "page"]).select("page", "kind", F.col("position").cast("int").alias("position"))
     docs = ai_docs.orderBy("id").limit(most).select(F.col("id").cast("string").alias("page"), F.lit("ai").alias("kind"), F.row_number().over(W.orderBy("id")).alias("position"))
     return overview.unionByName(listed).unionByName(docs)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -79,6 +80,8 @@ def vector_join(index: DataFrame, queries: DataFrame, key: str, vector: str, k:
             held = []
     if held:
         parts.append(scan(held))
+    if not parts:
+        return index.select(F.col(key).alias("query"), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -86,20 +89,27 @@ def vector_join(index: DataFrame, queries: DataFrame, key: str, vector: str, k:
     return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def keyword_score(text: Column, query: str) -> Column:
-    """For each term of the query: its occurrences, and a half more if it starts the text or a line."""
-    low = F.lower(text)
+def keyword_score(low: Column, query: str) -> Column:
+    """For each term of the query: its occurrences, and a half more if it starts the text or a line. low is in lower case.
+
+    Occurrences come from lengths in bytes, which a string knows, and not in characters, which it has to count."""
     out = F.lit(0.0)
     for term in query.lower().split():
-        n = (F.length(low) - F.length(F.replace(low, F.lit(term), F.lit("")))) / len(term)
+        n = (F.octet_length(low) - F.octet_length(F.replace(low, F.lit(term), F.lit("")))) / len(term.encode())
         starts = low.startswith(term) | low.contains(f"\n{term}")
         out = out + F.when(low.contains(term), n + F.when(starts, 0.5).otherwise(0.0)).otherwise(0.0)
     return out
 
 
 def keyword_search(docs: DataFrame, key: str, text: str, query: str, k: int = 8) -> DataFrame:
-    """key, score, rank of the k best texts with a score."""
-    scored = docs.select(key, keyword_score(F.col(text), query).alias("score")).where("score > 0")
+    """key, score, rank of the k best texts with a score.
+
+    A text has a score if it holds a term; to ask for that and not for the score keeps the filter cheap, as a filter is
+    moved below the score and would compute it a second time."""
+    low = docs.select(key, F.lower(text).alias("_low"))
+    terms = query.lower().split()
+    some = functools.reduce(lambda a, b: a | b, [F.col("_low").contains(t) for t in terms], F.lit(False))
+    scored = low.where(some).select(key, keyword_score(F.col("_low"), query).alias("score"))
     return top_k(scored, [F.desc("score"), F.col(key)], k)
 
 

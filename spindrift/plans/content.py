@@ -11,7 +11,6 @@ from spindrift.operators.relational import top_k
 from spindrift.plans import views as v
 from spindrift.plans.registry import Registry
 from spindrift.sources import scan
-from spindrift.sources.parsers import python as python_parser
 from spindrift.sources.parsers import table as parsers
 
 R = Registry()
@@ -52,13 +51,12 @@ def lines_and_tokens(spark, d):
     return _docs(spark, d).select("doc_id", text.line_count(t).cast("long").alias("n_lines"), text.tokens(t).alias("tokens"), text.tokens(t, True).cast("long").alias("tokens_at_least_one"))
 
 
-_LINES = "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 5 = 0), n AS (SELECT doc_id, i::INT AS no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l))"
+_LINES = "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), n AS (SELECT doc_id, i::INT AS no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l))"
 _SCORE = "CASE WHEN trim(line) = '' THEN 1 ELSE greatest(1, " + ", ".join(f"CASE WHEN regexp_matches(line, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN {s} ELSE 1 END" for s, p in text.LINE_PATTERNS) + ") END"
 
 
 def _code_lines(spark, d):
-    """Every fifth document's lines; each third line reads as code."""
-    return lines.numbered(_docs(spark, d).where("doc_id % 5 = 0"), "doc_id", "text")
+    return lines.numbered(_docs(spark, d), "doc_id", "text")
 
 
 _AS_CODE = "CASE no % 6 WHEN 0 THEN 'def ' || line WHEN 1 THEN 'x = ' || line WHEN 2 THEN 'import ' || line ELSE line END"
@@ -89,25 +87,40 @@ def head_tail(spark, d):
     return lines.head_tail_split(_code_lines(spark, d), "doc_id", 200)
 
 
-@R.add("win_10_expand_view")
+_BREAK = "CASE WHEN no = 1 OR no = size OR regexp_matches(line, '^\\s*(def |class |async def |@)') THEN 3 WHEN trim(line) = '' AND trim(after) = '' THEN 2 WHEN trim(line) = '' THEN 1 ELSE 0 END"
+
+
+@R.add("win_10_expand_view", f"""{_LINES}, c AS (SELECT doc_id, no, {_AS_CODE} AS line FROM n), w AS (SELECT *, lead(line, 1, 'x') OVER (PARTITION BY doc_id ORDER BY no) AS after, max(no) OVER (PARTITION BY doc_id) AS size FROM c), s AS (SELECT *, {_BREAK} AS score FROM w),
+    a AS (SELECT doc_id, max_by(no, score * 1000 + no) AS a FROM s WHERE no <= 5 AND score > 0 GROUP BY 1), b AS (SELECT doc_id, max_by(no, score * 1000 - no) AS b FROM s WHERE no BETWEEN 8 AND 38 AND score > 0 GROUP BY 1)
+    SELECT doc_id, coalesce(a, 5) AS start, coalesce(b, least(8, size)) AS stop FROM (SELECT DISTINCT doc_id, size FROM s) LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)""")
 def expand_view(spark, d):
-    return lines.expand(_as_code(lines.numbered(_docs(spark, d), "doc_id", "text")), "doc_id", 5, 8)
+    return lines.expand(_as_code(_code_lines(spark, d)), "doc_id", 5, 8)
 
 
 @R.add("txt_14_truncate_code")
 def truncate_code(spark, d):
-    return _docs(spark, d).select("doc_id", text.truncated(F.col("text"), 200).alias("text"))
+    return lines.truncated(_docs(spark, d), "doc_id", "text", 200)
 
 
-_MARKDOWN = "'# T' || doc_id || chr(10) || '## A b' || chr(10) || '`Foo.bar` and `none` [x](a.md) [y](https://z) class Q' || doc_id % 4"
+_MARKDOWN = """t AS (SELECT doc_id, trim(translate(text[1:40], chr(10) || chr(9), '  ')) AS head, string_split(text, ' ') AS w FROM documents),
+    m AS (SELECT doc_id, head, '# ' || head || chr(10) || '## ' || head || chr(10) || '`' || w[1] || '` `None` `' || w[2] || '.' || w[3] || '` [x](' || w[4] || ') [y](https://z) class ' || w[5] AS md FROM t WHERE len(w) >= 5 AND head <> '')"""
+_REFS = r"list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(md, '`([a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)*)`', 1), lambda r: lower(r) NOT IN ('true', 'false', 'none', 'null', 'undefined', 'self', 'this')), regexp_extract_all(md, 'class\s+([a-zA-Z_][a-zA-Z0-9_]*)', 1))))"
 
 
 def _markdown(spark, d):
-    i = F.col("doc_id").cast("string")
-    return _docs(spark, d).select("doc_id", F.concat(F.lit("# T"), i, F.lit("\n## A b\n`Foo.bar` and `none` [x](a.md) [y](https://z) class Q"), (F.col("doc_id") % 4).cast("string")).alias("md"))
-
-
-@R.add("txt_10_11_17_markdown", f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(md, '`([a-zA-Z_][a-zA-Z0-9_]*(?:\\.[a-zA-Z_][a-zA-Z0-9_]*)*)`', 1), lambda r: lower(r) <> 'none'), regexp_extract_all(md, 'class\\s+([a-zA-Z_][a-zA-Z0-9_]*)', 1)))), ',') AS refs, 'a.md' AS links, 'T' || doc_id AS title, 'a-b' AS anchor FROM (SELECT doc_id, {_MARKDOWN} AS md FROM documents)")
+    """A page with a title, a heading, references and a link, all of them from the words of each document."""
+    head = F.trim(F.translate(F.substring("text", 1, 40), "\n\t", "  "))
+    rows = _docs(spark, d).select("doc_id", head.alias("head"), F.split("text", " ", -1).alias("w")).where("size(w) >= 5 AND head <> ''")
+    word = lambda i: F.element_at("w", i)
+    md = F.concat(F.lit("# "), "head", F.lit("\n## "), "head", F.lit("\n`"), word(1), F.lit("` `None` `"), word(2), F.lit("."), word(3), F.lit("` [x]("), word(4), F.lit(") [y](https://z) class "), word(5))
+    return rows.select("doc_id", md.alias("md"))
+
+
+@R.add(
+    "txt_10_11_17_markdown",
+    f"WITH {_MARKDOWN} SELECT doc_id, array_to_string({_REFS}, ',') AS refs, array_to_string(list_filter(regexp_extract_all(md, '\\[([^\\]]*)\\]\\(([^)]+)\\)', 2), lambda u: NOT starts_with(u, 'http') AND NOT starts_with(u, '#')), ',') AS links,"
+    " head AS title, regexp_replace(regexp_replace(lower(head), '[^\\w\\x{4e00}-\\x{9fff}\\- ]', '', 'g'), '\\s+', '-', 'g') AS anchor FROM m",
+)
 def markdown(spark, d):
     md = F.col("md")
     return _markdown(spark, d).select(
@@ -120,9 +133,14 @@ def page_links(spark, d):
     return v.table(spark, d, "pages").select("page_id", F.size(found).cast("long").alias("n_links"), F.array_join(F.array_sort(F.array_distinct(found)), " ").alias("links"))
 
 
-@R.add("txt_16_doc_issues")
+@R.add("txt_16_doc_issues", """WITH k AS (SELECT 'pkg.mod.part_' || p_partkey || '_x' AS known FROM part), m AS (SELECT doc_id, 'mod.part_' || doc_id * 7 AS ref FROM documents)
+    SELECT doc_id, '[WARNING] Referenced ' || chr(39) || ref || chr(39) || ' not found in codebase (may be external)' AS issue FROM m WHERE NOT EXISTS (SELECT 1 FROM k WHERE contains(known, ref))
+    UNION ALL SELECT doc_id, '[WARNING] Missing main heading' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, '[WARNING] Missing section headings' FROM documents WHERE doc_id % 3 <> 2""")
 def doc_issues(spark, d):
-    return text.doc_issues(_markdown(spark, d), "doc_id", "md", v.symbols(spark, d).select("name"))
+    k = F.col("doc_id") % 3
+    md = F.concat(F.when(k == 0, "").when(k == 1, "# T\n").otherwise("# T\n## A\n"), F.lit("`mod.part_"), (F.col("doc_id") * 7).cast("string"), F.lit("` and `abc` and `none`"))
+    names = v.symbols(spark, d).select(F.concat(F.lit("pkg.mod.part_"), F.col("id").cast("string"), F.lit("_x")).alias("name"))
+    return text.doc_issues(_docs(spark, d).select("doc_id", md.alias("md")), "doc_id", "md", names)
 
 
 @R.add("txt_22_html_escape", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;') AS escaped FROM pages")
@@ -130,9 +148,9 @@ def html_escape(spark, d):
     return v.table(spark, d, "pages").select("page_id", text.html_escape(F.col("html")).alias("escaped"))
 
 
-@R.add("txt_19_thinking", "SELECT conv_id, turn, text AS answer, 'hm' AS thinking FROM conversations WHERE turn = 1 AND trim(text) = text")
+@R.add("txt_19_thinking", "SELECT conv_id, turn, trim(text) AS answer, 'hm' AS thinking FROM conversations")
 def thinking(spark, d):
-    c = v.table(spark, d, "conversations").where("turn = 1 AND trim(text) = text")
+    c = v.table(spark, d, "conversations")
     return c.select("conv_id", "turn", text.thinking(F.concat(F.lit("<think> hm </think>"), "text")).alias("x")).select("conv_id", "turn", "x.answer", "x.thinking")
 
 
@@ -182,7 +200,8 @@ def critical_functions(spark, d):
     return p.select(F.col("p_partkey").alias("id"), patterns.is_critical(name, F.when(F.col("p_size") % 5 == 0, "EXPORT DEFAULT x")).alias("critical"))
 
 
-@R.add("pat_05_06_fallbacks")
+@R.add("pat_05_06_fallbacks", f"""{v.ctes('files')}, f AS (SELECT doc_id, path || CASE WHEN doc_id % 9 = 0 THEN '/main.py' ELSE '/x.go' END AS path FROM files)
+    SELECT path, row_number() OVER (ORDER BY doc_id) AS rank, 'entry' AS kind FROM f WHERE doc_id % 9 = 0 QUALIFY rank <= 5 UNION ALL SELECT path, row_number() OVER (ORDER BY doc_id) AS rank, 'connected' FROM f QUALIFY rank <= 10""")
 def fallbacks(spark, d):
     f = v.files(spark, d).select(F.concat("path", F.when(F.col("doc_id") % 9 == 0, "/main.py").otherwise("/x.go")).alias("path"), F.col("doc_id").alias("pos"))
     f = f.withColumn("name", basename(F.col("path")))
@@ -279,11 +298,15 @@ def endpoints(spark, d):
     return v.table(spark, d, "nation").select(n.alias("id"), misc.endpoint(base, "/chat").alias("url"), misc.is_retryable(message).alias("retry"))
 
 
-@R.add("mod_13_json_repair", "SELECT n_nationkey AS id, 'x' AS a FROM nation")
+@R.add("mod_13_json_repair", "SELECT p_partkey AS id, p_name AS a, CASE WHEN p_partkey % 5 < 4 THEN p_size END AS b FROM part")
 def json_repair(spark, d):
-    n = F.col("n_nationkey")
-    raw = F.when(n % 3 == 0, '{"a": "x"}').when(n % 3 == 1, "```json\n{'a': 'x',}\n```").otherwise('Sure: {"a": "x"} done')
-    return v.table(spark, d, "nation").select(n.alias("id"), misc.repaired_json(raw, "a string")["a"].alias("a"))
+    p, k = v.table(spark, d, "part"), F.col("p_partkey") % 5
+    size, name = F.col("p_size").cast("string"), F.col("p_name")
+    good = F.concat(F.lit('{"a": "'), name, F.lit('", "b": '), size, F.lit("}"))
+    single = F.concat(F.lit("```json\n{'a': '"), name, F.lit("', 'b': "), size, F.lit(",}\n```"))
+    raw = F.when(k == 0, good).when(k == 1, F.concat(F.lit("```\n"), good, F.lit("\n```"))).when(k == 2, single).when(k == 3, F.concat(F.lit("Sure: "), good, F.lit(" done"))).otherwise(F.concat(F.lit('{"a": "'), name, F.lit('",}')))
+    found = misc.repaired_json(raw, "a string, b int")
+    return p.select(F.col("p_partkey").alias("id"), found["a"].alias("a"), found["b"].alias("b"))
 
 
 def _sources(spark, d):
@@ -301,11 +324,6 @@ def parse_symbols(spark, d):
     return parsers.symbols(parsers.parse_files(_sources(spark, d))).select("id", "kind")
 
 
-@R.add("par_01_04_relationships")
-def parse_relationships(spark, d):
-    return parsers.relationships(parsers.parse_files(_sources(spark, d)))
-
-
 @R.add("par_14_import_maps", "SELECT 'pkg/mod' || n_nationkey || '.py' AS path, local, full_path FROM nation, (VALUES ('os', 'os'), ('Base', 'pkg.base.Base')) v(local, full_path)")
 def import_maps(spark, d):
     return parsers.imports(parsers.parse_files(_sources(spark, d).where("language = 'python'"))).select("path", "local", "full_path")
@@ -321,16 +339,9 @@ def import_edges(spark, d):
 
 @R.add("par_09_python_outline", "SELECT n_nationkey AS id, 'class:C' || n_nationkey || ',function:m,function:f' || n_nationkey || ',function:g' AS outline FROM nation")
 def python_outline(spark, d):
-    @F.pandas_udf("string")
-    def run(s):
-        return s.map(lambda t: ",".join(f"{k}:{n}" for k, n, *_ in python_parser.outline(t)))
-
-    return _sources(spark, d).where("language = 'python'").select(F.regexp_extract("path", r"mod(\d+)", 1).cast("int").alias("id"), run("content").alias("outline"))
-
-
-@R.add("hlp_08_parse_summary", "SELECT 2 * count(*) AS n_files, 6 * count(*) AS n_symbols FROM nation")
-def parse_summary(spark, d):
-    return parsers.summary(parsers.parse_files(_sources(spark, d))).select("n_files", "n_symbols")
+    found = parsers.outlines(_sources(spark, d).where("language = 'python'"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(":", "kind", "name").alias("x")))), lambda r: r["x"]), ",")
+    return found.where("record = 'symbol'").groupBy("path").agg(listed.alias("outline")).select(F.regexp_extract("path", r"mod(\d+)", 1).cast("int").alias("id"), "outline")
 
 
 @R.add("srt_02_recent_conversations", "SELECT conv_id, row_number() OVER (ORDER BY max(turn) DESC, conv_id) AS rank FROM conversations GROUP BY conv_id QUALIFY rank <= 10")

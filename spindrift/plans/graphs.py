@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.operators import graph, modules
-from spindrift.operators.relational import prefixes
 from spindrift.plans import views as v
 from spindrift.plans.registry import Registry
+from spindrift.sources import scan
 
 R = Registry()
 
@@ -32,41 +32,52 @@ def in_out_degree(spark, d):
     return graph.degrees(v.call_sites(spark, d))
 
 
-_TOP = "both_ways AS (SELECT src, dst FROM calls_sparse UNION SELECT dst, src FROM calls_sparse), top AS (SELECT src AS node, count(*) AS degree FROM both_ways GROUP BY 1 ORDER BY degree DESC, node LIMIT 50)"
+_TOP = "both_ways AS (SELECT src, dst FROM calls UNION SELECT dst, src FROM calls), top AS (SELECT src AS node, count(*) AS degree FROM both_ways GROUP BY 1 ORDER BY degree DESC, node LIMIT 50)"
 
 
-@R.add("grf_10_degree_centrality", f"{v.ctes('calls_sparse')}, {_TOP} SELECT * FROM top")
+@R.add("grf_10_degree_centrality", f"{v.ctes('calls')}, {_TOP} SELECT * FROM top")
 def degree_centrality(spark, d):
-    return graph.degree_centrality(v.calls_sparse(spark, d), 50)
+    return graph.degree_centrality(v.calls(spark, d), 50)
 
 
-@R.add("grf_10_induced_subgraph", f"{v.ctes('calls_sparse')}, {_TOP} SELECT src, dst FROM calls_sparse WHERE src IN (SELECT node FROM top) AND dst IN (SELECT node FROM top)")
+@R.add("grf_10_induced_subgraph", f"{v.ctes('calls')}, {_TOP} SELECT src, dst FROM calls WHERE src IN (SELECT node FROM top) AND dst IN (SELECT node FROM top)")
 def induced_subgraph(spark, d):
-    edges = v.calls_sparse(spark, d)
+    edges = v.calls(spark, d)
     return graph.induced(edges, graph.degree_centrality(edges, 50))
 
 
 @R.add(
     "grf_01_strong_components",
-    f"""{v.ctes("calls_sparse")}, reach AS (SELECT src AS a, dst AS b FROM calls_sparse UNION SELECT r.a, e.dst FROM reach r JOIN calls_sparse e ON e.src = r.b),
-    nodes AS (SELECT src AS node FROM calls_sparse UNION SELECT dst FROM calls_sparse), mutual AS (SELECT x.a, x.b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a)
+    f"""{v.ctes("calls")}, reach AS (SELECT src AS a, dst AS b FROM calls UNION SELECT r.a, e.dst FROM reach r JOIN calls e ON e.src = r.b),
+    nodes AS (SELECT src AS node FROM calls UNION SELECT dst FROM calls), mutual AS (SELECT x.a, x.b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a)
     SELECT node, least(node, coalesce((SELECT min(b) FROM mutual WHERE a = node), node)) AS component FROM nodes""",
 )
 def strong_components(spark, d):
-    return graph.strong_components(v.calls_sparse(spark, d))
+    return graph.strong_components(v.calls(spark, d))
 
 
-@R.add("grf_02_cycle_breaking", f"""{v.ctes("calls_sparse")}, reach AS (SELECT src AS a, dst AS b FROM calls_sparse UNION SELECT r.a, e.dst FROM reach r JOIN calls_sparse e ON e.src = r.b)
-    SELECT src, dst FROM calls_sparse WHERE src < dst OR NOT EXISTS (SELECT 1 FROM reach WHERE a = dst AND b = src)""")
+@R.add("grf_02_cycle_breaking", f"""{v.ctes("calls")}, reach AS (SELECT src AS a, dst AS b FROM calls UNION SELECT r.a, e.dst FROM reach r JOIN calls e ON e.src = r.b)
+    SELECT src, dst FROM calls WHERE src < dst OR NOT EXISTS (SELECT 1 FROM reach WHERE a = dst AND b = src)""")
 def cycle_breaking(spark, d):
-    edges = v.calls_sparse(spark, d)
+    edges = v.calls(spark, d)
     return graph.break_cycles(edges, graph.strong_components(edges))
 
 
-@R.add("grf_03_topological_levels", f"""{v.ctes("calls_dag")}, walk AS (SELECT node, 0 AS level FROM (SELECT src AS node FROM calls_dag UNION SELECT dst FROM calls_dag) n WHERE node NOT IN (SELECT dst FROM calls_dag)
-    UNION SELECT dst, level + 1 FROM walk JOIN calls_dag ON src = node) SELECT node, max(level) AS level FROM walk GROUP BY node""")
+@R.add(
+    "grf_03_topological_levels",
+    f"""{v.ctes("calls")}, reach AS (SELECT src AS a, dst AS b FROM calls UNION SELECT r.a, e.dst FROM reach r JOIN calls e ON e.src = r.b),
+    nodes AS (SELECT src AS node FROM calls UNION SELECT dst FROM calls), back AS (SELECT x.a AS node, min(x.b) AS least FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY 1),
+    c AS (SELECT n.node, least(n.node, coalesce(b.least, n.node)) AS component FROM nodes n LEFT JOIN back b USING (node)),
+    e AS (SELECT DISTINCT x.component AS src, y.component AS dst FROM calls JOIN c x ON x.node = src JOIN c y ON y.node = dst WHERE x.component <> y.component),
+    walk AS (SELECT DISTINCT component AS node, 0 AS level FROM c WHERE component NOT IN (SELECT dst FROM e) UNION SELECT dst, level + 1 FROM walk JOIN e ON src = node)
+    SELECT c.node, max(level) AS level FROM c JOIN walk w ON w.node = c.component GROUP BY c.node""",
+)
 def topological_levels(spark, d):
-    return graph.topological_levels(v.calls_dag(spark, d))
+    """Of all calls: the level of each node's component in the graph of components, which has no cycle."""
+    edges = v.calls(spark, d)
+    of = graph.strong_components(edges)
+    levels = graph.component_levels(edges, of)
+    return of.join(levels.withColumnRenamed("node", "component"), "component").select("node", "level")
 
 
 @R.add("grf_04_dependency_first_order")
@@ -82,19 +93,19 @@ def dependency_first_order(spark, d):
 def _reach_sql(depth: int, forward: bool) -> str:
     step = "e.src = w.node" if forward else "e.dst = w.node"
     to = "e.dst" if forward else "e.src"
-    return f"""{v.ctes("calls_sparse")}, roots(root) AS (SELECT DISTINCT src FROM calls_sparse WHERE src % 100 = 0), walk AS (SELECT root, root AS node, 0 AS d FROM roots UNION SELECT w.root, {to}, w.d + 1 FROM walk w JOIN calls_sparse e ON {step} WHERE w.d < {depth}),
-    first AS (SELECT root, node, min(d) AS d FROM walk GROUP BY 1, 2) SELECT w.root, e.src, e.dst, w.d + 1 AS depth FROM first w JOIN calls_sparse e ON {step} WHERE w.d < {depth}"""
+    return f"""{v.ctes("calls")}, roots(root) AS (SELECT DISTINCT src FROM calls WHERE src % 100 = 0), walk AS (SELECT root, root AS node, 0 AS d FROM roots UNION SELECT w.root, {to}, w.d + 1 FROM walk w JOIN calls e ON {step} WHERE w.d < {depth}),
+    first AS (SELECT root, node, min(d) AS d FROM walk GROUP BY 1, 2) SELECT w.root, e.src, e.dst, w.d + 1 AS depth FROM first w JOIN calls e ON {step} WHERE w.d < {depth}"""
 
 
 @R.add("grf_11_call_graph_down", _reach_sql(2, True))
 def call_graph_down(spark, d):
-    edges = v.calls_sparse(spark, d)
+    edges = v.calls(spark, d)
     return graph.reach(edges, edges.where("src % 100 = 0").select(F.col("src").alias("root")), 2)
 
 
 @R.add("grf_11_call_graph_up", _reach_sql(2, False))
 def call_graph_up(spark, d):
-    edges = v.calls_sparse(spark, d)
+    edges = v.calls(spark, d)
     return graph.reach(edges, edges.where("src % 100 = 0").select(F.col("src").alias("root")), 2, down=False)
 
 
@@ -111,19 +122,19 @@ def valid_types(spark, d):
 
 
 _IMPORTANCE = """imp AS (SELECT c.id, least(100, least(coalesce(u.n, 0) * 5, 30) + CASE WHEN name IN ('main', '__main__', 'run', 'start', 'execute') THEN 20 WHEN NOT starts_with(name, '_') THEN 10 ELSE 0 END + CASE WHEN has_docstring THEN 15 ELSE 0 END
-    + CASE WHEN lines BETWEEN 10 AND 200 THEN 10 WHEN lines BETWEEN 5 AND 9 THEN 5 ELSE 0 END + CASE WHEN kind IN ('class', 'interface') THEN 10 ELSE 0 END)::BIGINT AS importance FROM components c LEFT JOIN (SELECT dst, count(DISTINCT src) AS n FROM calls_sparse GROUP BY dst) u ON u.dst = c.id)"""
+    + CASE WHEN lines BETWEEN 10 AND 200 THEN 10 WHEN lines BETWEEN 5 AND 9 THEN 5 ELSE 0 END + CASE WHEN kind IN ('class', 'interface') THEN 10 ELSE 0 END)::BIGINT AS importance FROM components c LEFT JOIN (SELECT dst, count(DISTINCT src) AS n FROM calls GROUP BY dst) u ON u.dst = c.id)"""
 
 
-@R.add("grf_08_importance", f"{v.ctes('symbols', 'calls_sparse')}, {_COMPONENTS}, {_IMPORTANCE} SELECT * FROM imp")
+@R.add("grf_08_importance", f"{v.ctes('symbols', 'calls')}, {_COMPONENTS}, {_IMPORTANCE} SELECT * FROM imp")
 def importance(spark, d):
-    return graph.importance(_components(spark, d), v.calls_sparse(spark, d))
+    return graph.importance(_components(spark, d), v.calls(spark, d))
 
 
-@R.add("grf_09_flt_10_leaf_nodes", f"""{v.ctes("symbols", "calls_sparse")}, {_COMPONENTS}, {_IMPORTANCE}, typed AS (SELECT i.* FROM imp i JOIN components c USING (id) WHERE c.kind = 'class' AND NOT regexp_matches(lower(name), 'error|failed|invalid')),
-    free AS (SELECT * FROM typed WHERE id NOT IN (SELECT dst FROM calls_sparse)), n AS (SELECT (SELECT count(*) FROM typed) AS typed, (SELECT count(*) FROM free) AS free)
+@R.add("grf_09_flt_10_leaf_nodes", f"""{v.ctes("symbols", "calls")}, {_COMPONENTS}, {_IMPORTANCE}, typed AS (SELECT i.* FROM imp i JOIN components c USING (id) WHERE c.kind = 'class' AND NOT regexp_matches(lower(name), 'error|failed|invalid')),
+    free AS (SELECT * FROM typed WHERE id NOT IN (SELECT dst FROM calls)), n AS (SELECT (SELECT count(*) FROM typed) AS typed, (SELECT count(*) FROM free) AS free)
     SELECT id, importance FROM typed, n WHERE n.typed < 100 UNION ALL SELECT id, importance FROM (SELECT f.*, row_number() OVER (ORDER BY importance DESC, id) AS r FROM free f), n WHERE n.typed >= 100 AND (n.free < 100 OR r <= 100)""")
 def leaf_nodes(spark, d):
-    return graph.leaf_nodes(_components(spark, d), v.calls_sparse(spark, d), 100)
+    return graph.leaf_nodes(_components(spark, d), v.calls(spark, d), 100)
 
 
 @R.add("flt_11_final_leaves", f"{v.ctes('symbols')} SELECT id, kind FROM symbols WHERE id % 2 = 0 AND kind = 'class' AND trim(name) <> '' AND NOT regexp_matches(lower(name), 'error|exception|failed|invalid')")
@@ -132,28 +143,28 @@ def final_leaves(spark, d):
     return graph.final_leaves(s.where("id % 2 = 0").select("id"), s)
 
 
-@R.add("grf_13_dependency_info", f"""{v.ctes("calls_sparse")}, m AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 3 = 0), e AS (SELECT src, dst, dst % 3 = 0 AS inside FROM calls_sparse WHERE src % 3 = 0),
+@R.add("grf_13_dependency_info", f"""{v.ctes("calls")}, m AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 3 = 0), e AS (SELECT src, dst, dst % 3 = 0 AS inside FROM calls WHERE src % 3 = 0),
     o AS (SELECT src AS id, count(*) FILTER (inside) AS internal, count(*) FILTER (NOT inside) AS external FROM e GROUP BY 1), u AS (SELECT dst AS id, count(DISTINCT src) AS used_by FROM e WHERE inside GROUP BY 1)
     SELECT m.id, coalesce(internal, 0) AS internal, coalesce(external, 0) AS external, coalesce(used_by, 0) AS used_by, coalesce(used_by, 0) >= 2 AND coalesce(internal, 0) + coalesce(external, 0) <= 1 AS is_core FROM m LEFT JOIN o USING (id) LEFT JOIN u USING (id)""")
 def dependency_info(spark, d):
-    return graph.dependency_info(v.symbols(spark, d).where("id % 3 = 0"), v.calls_sparse(spark, d))
+    return graph.dependency_info(v.symbols(spark, d).where("id % 3 = 0"), v.calls(spark, d))
 
 
-@R.add("grf_16_cluster_density", f"""{v.ctes("symbols", "calls_sparse")}, n AS (SELECT file_path AS cluster, count(*) AS n FROM symbols GROUP BY 1), i AS (SELECT a.file_path AS cluster, count(*) AS k FROM calls_sparse JOIN symbols a ON a.id = src JOIN symbols b ON b.id = dst WHERE a.file_path = b.file_path GROUP BY 1)
+@R.add("grf_16_cluster_density", f"""{v.ctes("symbols", "calls")}, n AS (SELECT file_path AS cluster, count(*) AS n FROM symbols GROUP BY 1), i AS (SELECT a.file_path AS cluster, count(*) AS k FROM calls JOIN symbols a ON a.id = src JOIN symbols b ON b.id = dst WHERE a.file_path = b.file_path GROUP BY 1)
     SELECT cluster, n, CASE WHEN n <= 1 THEN 1.0 ELSE round(coalesce(k, 0) / (n * (n - 1)), 3) END AS density FROM n LEFT JOIN i USING (cluster)""")
 def cluster_density(spark, d):
-    return graph.cluster_density(v.symbols(spark, d).select(F.col("file_path").alias("cluster"), "id"), v.calls_sparse(spark, d))
+    return graph.cluster_density(v.symbols(spark, d).select(F.col("file_path").alias("cluster"), "id"), v.calls(spark, d))
 
 
-@R.add("grf_14_graph_export", f"""{v.ctes("symbols", "calls_sparse")} SELECT 'node' AS "group", '{{"id":"' || id || '","label":"' || name || '","classes":"node-' || kind || '"}}' AS element FROM symbols UNION ALL SELECT 'edge', '{{"id":"' || src || '->' || dst || '","source":"' || src || '","target":"' || dst || '"}}' FROM calls_sparse""")
+@R.add("grf_14_graph_export", f"""{v.ctes("symbols", "calls")} SELECT 'node' AS "group", '{{"id":"' || id || '","label":"' || name || '","classes":"node-' || kind || '"}}' AS element FROM symbols UNION ALL SELECT 'edge', '{{"id":"' || src || '->' || dst || '","source":"' || src || '","target":"' || dst || '"}}' FROM calls""")
 def graph_export(spark, d):
-    return graph.graph_export(v.symbols(spark, d), v.calls_sparse(spark, d))
+    return graph.graph_export(v.symbols(spark, d), v.calls(spark, d))
 
 
-@R.add("grf_15_call_summary", f"""{v.ctes("symbols", "calls_sparse")}, e AS (SELECT src, dst, a.name AS sn, b.name AS dn FROM calls_sparse JOIN symbols a ON a.id = src JOIN symbols b ON b.id = dst)
+@R.add("grf_15_call_summary", f"""{v.ctes("symbols", "calls")}, e AS (SELECT src, dst, a.name AS sn, b.name AS dn FROM calls JOIN symbols a ON a.id = src JOIN symbols b ON b.id = dst)
     SELECT s.id, (SELECT string_agg(DISTINCT dn, ',' ORDER BY dn) FROM e WHERE src = s.id) AS calls, (SELECT string_agg(DISTINCT sn, ',' ORDER BY sn) FROM e WHERE dst = s.id) AS called_by FROM symbols s""")
 def call_summary(spark, d):
-    out = graph.call_summary(v.symbols(spark, d), v.calls_sparse(spark, d))
+    out = graph.call_summary(v.symbols(spark, d), v.calls(spark, d))
     text = lambda c: F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c)
     return out.select("id", text("calls"), text("called_by"))
 
@@ -239,9 +250,9 @@ def module_stats(spark, d):
     return modules.module_stats(members)
 
 
-@R.add("join_15_known_members", f"{v.ctes('calls_sparse')} SELECT src AS module, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS ids FROM calls_sparse WHERE dst % 2 = 0 GROUP BY src")
+@R.add("join_15_known_members", f"{v.ctes('calls')} SELECT src AS module, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS ids FROM calls WHERE dst % 2 = 0 GROUP BY src")
 def known_members(spark, d):
-    listed = v.calls_sparse(spark, d).groupBy(F.col("src").alias("module")).agg(F.array_sort(F.collect_list("dst")).alias("ids"))
+    listed = v.calls(spark, d).groupBy(F.col("src").alias("module")).agg(F.array_sort(F.collect_list("dst")).alias("ids"))
     out = modules.known_members(listed, v.symbols(spark, d).where("id % 2 = 0"))
     return out.select("module", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
@@ -253,17 +264,15 @@ def parent_overview(spark, d):
     return modules.parent_overview(tree, docs, "src1").select("prefix", "name", "has_doc")
 
 
-@R.add("sch_09_citation_map", f"{v.ctes('symbols', 'calls_sparse')} SELECT src AS module, string_agg(name || ':' || line_start, ',' ORDER BY dst) AS citations FROM calls_sparse JOIN symbols ON id = dst GROUP BY src")
+@R.add("sch_09_citation_map", f"{v.ctes('symbols', 'calls')} SELECT src AS module, string_agg(name || ':' || line_start, ',' ORDER BY dst) AS citations FROM calls JOIN symbols ON id = dst GROUP BY src")
 def citation_map(spark, d):
     from spindrift.operators.relational import citation_map as cite
 
-    listed = v.calls_sparse(spark, d).groupBy(F.col("src").alias("module")).agg(F.array_sort(F.collect_list("dst")).alias("symbol_ids"))
+    listed = v.calls(spark, d).groupBy(F.col("src").alias("module")).agg(F.array_sort(F.collect_list("dst")).alias("symbol_ids"))
     out = cite(listed, v.symbols(spark, d))
     return out.select("module", F.array_join(F.transform("citations", lambda c: F.concat(c["name"], F.lit(":"), c["line_start"].cast("string"))), ",").alias("citations"))
 
 
 @R.add("src_06_tree_rows", f"{v.ctes('files')}, {_TREE} SELECT path AS node, false AS is_dir FROM files UNION ALL SELECT DISTINCT prefix, true FROM dirs WHERE prefix <> ''")
 def tree_rows(spark, d):
-    f = v.files(spark, d)
-    above = f.select(F.explode(prefixes(F.col("path"))).alias("node")).where("node <> ''").distinct()
-    return f.select(F.col("path").alias("node"), F.lit(False).alias("is_dir")).unionByName(above.withColumn("is_dir", F.lit(True)))
+    return scan.browse_tree(v.files(spark, d).select("path", "size")).select(F.col("path").alias("node"), "is_dir")

@@ -41,7 +41,7 @@ def suggestion_lines(spark, d):
     return reports.suggestion_lines(v.symbols(spark, d).select(F.col("file_path").alias("cluster"), "id"))
 
 
-@R.add("hlp_20_summary_inputs")
+@R.add("hlp_20_summary_inputs", "SELECT to_json({'modules': (SELECT list(n_name ORDER BY n_name) FROM (SELECT n_name FROM nation ORDER BY n_name LIMIT 20)), 'docs': (SELECT list({'id': doc_id, 'content': text} ORDER BY doc_id) FROM (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 10))})::VARCHAR AS prompt")
 def summary_inputs(spark, d):
     return reports.summary_inputs(v.table(spark, d, "nation").select(F.col("n_name").alias("name")), v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
 

@@ -40,16 +40,6 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return call_sites(spark, sf_dir).select("src", "dst").distinct()
 
 
-def calls_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sixteenth of the calls, without self calls, in which components stay small."""
-    return calls(spark, sf_dir).where("(src * 31 + dst) % 16 = 0 AND src <> dst")
-
-
-def calls_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sparse calls that lead to a larger id, which have no cycle."""
-    return calls_sparse(spark, sf_dir).where("src < dst")
-
-
 def file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src_path, dst_path of calls between different files, one row for each call."""
     of = symbols(spark, sf_dir).select("id", "file_path")
@@ -80,14 +70,12 @@ SQL = {
     "symbols": "symbols AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_type IN ('ECONOMY', 'LARGE') THEN 'class' WHEN p_type IN ('MEDIUM', 'PROMO') THEN 'function' ELSE 'method' END AS kind, p_brand AS file_path, p_size AS line_start, p_size + 10 AS line_end FROM part)",
     "call_sites": "call_sites AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, a.l_orderkey * 10 + a.l_linenumber AS pos FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)",
     "calls": "calls AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)",
-    "calls_sparse": "calls_sparse AS (SELECT * FROM calls WHERE (src * 31 + dst) % 16 = 0 AND src <> dst)",
-    "calls_dag": "calls_dag AS (SELECT * FROM calls_sparse WHERE src < dst)",
     "file_edges": "file_edges AS (SELECT s.file_path AS src_path, d.file_path AS dst_path FROM calls JOIN symbols s ON s.id = src JOIN symbols d ON d.id = dst WHERE s.file_path <> d.file_path)",
     "usage": "usage AS (SELECT user_id AS repo_id, CASE WHEN event_type IN ('click', 'view') THEN 'llm' ELSE 'embedding' END AS kind, event_type AS source, round(value * 100)::BIGINT AS total_tokens, (props->>'$.k')::BIGINT % 2 = 1 AS is_estimated, ts AS created_at FROM events)",
     "jobs": "jobs AS (SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, ts, (props->>'$.k')::INT AS progress FROM events)",
     "repos": "repos AS (SELECT o_orderkey AS id, o_custkey AS owner_id, o_orderstatus AS status, o_orderdate AS created_at FROM orders)",
 }
-_NEEDS = {"calls_sparse": ("calls",), "calls_dag": ("calls", "calls_sparse"), "file_edges": ("calls", "symbols")}
+_NEEDS = {"file_edges": ("calls", "symbols")}
 
 
 def ctes(*names: str) -> str:

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.paths import BROWSE_EXTENSIONS, CODE_EXTENSIONS, PARSED, basename, dirname, excluded, extension, included, language
 from spindrift.operators.relational import prefixes
 
-#: Names that a scan leaves out (fixed values), beside what a caller adds.
-EXCLUDE = [
-    ".github", ".vscode", ".git", ".gitignore", ".gitmodules", "examples", "*.pyc", "*.pyo", "*.pyd", "__pycache__", ".pytest_cache",
-    ".coverage", ".tox", ".nox", ".mypy_cache", ".ruff_cache", ".hypothesis", "poetry.lock", "node_modules", "venv", ".venv", "dist",
-    "build", "target", "bin", "obj", "*.min.js", "*.min.css", "*.lock", "*.log", "tests", "test", "Tests", "Test", "Examples",
-]
+# Names that a scan leaves out, beside what a caller adds.
+EXCLUDE = (
+    ".github", ".vscode", ".git", ".gitignore", ".gitmodules", "examples",
+    "*.pyc", "*.pyo", "*.pyd", "__pycache__", ".pytest_cache", ".coverage", ".tox", ".nox", ".mypy_cache", ".ruff_cache", ".hypothesis", "poetry.lock", "Pipfile.lock",
+    "package-lock.json", "yarn.lock", ".npm", ".yarn", ".pnpm-store", "bun.lock", "bun.lockb",
+    "*.class", "*.jar", "*.war", "*.ear", "*.nar", ".gradle/", ".settings/", ".classpath", "gradle-app.setting", "*.gradle", ".project",
+    "*.o", "*.obj", "*.dll", "*.dylib", "*.exe", "*.lib", "*.out", "*.a", "*.pdb",
+    "*.suo", "*.user", "*.userosscache", "*.sln.docstates", "*.nupkg", "bin/",
+    ".svn", ".hg", ".gitattributes",
+    "*.svg", "*.png", "*.jpg", "*.jpeg", "*.gif", "*.ico", "*.pdf", "*.mov", "*.mp4", "*.mp3", "*.wav",
+    "venv", ".venv", "env", ".env", "virtualenv", ".idea", ".vs", "*.swo", "*.swn", "*.sublime-*",
+    "*.log", "*.bak", "*.swp", "*.tmp", "*.temp", ".cache", ".sass-cache", ".DS_Store", "Thumbs.db", "desktop.ini",
+    "*.egg-info", "*.egg", "*.whl", "*.so", ".docusaurus", "*.min.js", "*.min.css", "*.map", ".terraform", "*.tfstate*",
+    "digest.txt", "*.ini", "tests", "test", "Tests", "Test", "Examples",
+)
 #: Names that a scan takes (fixed values); a caller's list replaces them.
 INCLUDE = [
     "*.py", "*.js", "*.ts", "*.jsx", "*.tsx", "*.java", "*.cpp", "*.c", "*.h", "*.cs", "*.go", "*.rs", "*.php", "*.rb", "*.swift", "*.kt", "*.scala",
@@ -27,8 +39,11 @@ READMES = ("README.md", "README.rst", "README.txt", "README")
 def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, max_files: int | None = None) -> DataFrame:
     """path (relative), name, language, size, content of the files below root: a caller's include list replaces the
     usual one, excludes are added to it. Bytes that are no UTF-8 become replacement characters. With max_files the
-    first ones in order of path."""
+    first ones in order of path. Below a root on a file system of this kind of links, what a symbolic link leads to is
+    left out, whether within the root or beyond. A directory without files has no row."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if "://" not in root or root.startswith("file:"):
+        raw = raw.where(_unlinked(F.col("path"), root))
     base = root.rstrip("/") + "/"
     path = F.regexp_replace(F.substring_index("path", base, -1), "^/+", "")
     rows = raw.select(path.alias("path"), F.col("length").alias("size"), "content")
@@ -38,6 +53,38 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
     return out if max_files is None else out.orderBy("path").limit(max_files)
 
 
+def _unlinked(path: Column, root: str) -> Column:
+    """Whether no part of a file's path below the root is a symbolic link: resolved, it is where it was found."""
+    plain = re.compile("^file:/+")
+    below = os.path.abspath(plain.sub("/", root))
+    top = os.path.realpath(below)
+
+    @F.pandas_udf("boolean")
+    def check(paths):
+        found = paths.map(lambda p: plain.sub("/", p))
+        return found.map(os.path.realpath) == top + found.str.slice(len(below))
+
+    return check(path)
+
+
+def discover(spark: SparkSession, root: str, languages: tuple[str, ...] | None = None, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """path, absolute_path, language of the code files of a scan, in order of path, optionally only of some languages."""
+    found = code_files(scan(spark, root, include, exclude).drop("language"), languages)
+    return found.select("path", F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("absolute_path"), "language").orderBy("path")
+
+
+def structure(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tree of a scan's files with the directories above them, and its totals."""
+    return browse_tree(files, max_depth=1 << 20, hidden=True), totals(files)
+
+
+def support(files: DataFrame) -> DataFrame:
+    """One row: code files, those whose language is parsed, and those whose is not."""
+    code = code_files(files.drop("language"))
+    known = F.col("language").isin(*PARSED)
+    return code.agg(F.count(F.lit(1)).alias("n_code"), F.count_if(known).alias("n_supported"), F.count_if(~known).alias("n_unsupported"))
+
+
 def safe_text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
