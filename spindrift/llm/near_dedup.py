@@ -11,8 +11,8 @@ its own, so that a sketch of a short text has the same law as that of a long one
    all; every band draws its own pivot, so a document of a large group meets several.
 3. For a pair, equal registers, corrected for the chance that different minima look alike, estimate the similarity.
    Pairs within ``MARGIN`` (five standard errors) of the threshold and above are confirmed on the full sets.
-4. Confirmed links give components. Step 2 is repeated with other pivots for the bands that hold several components.
-   Then each band that still does is taken again: the members outside its largest component are compared with each other
+4. Confirmed links give components. Step 2 is repeated with other pivots for the bands that hold several components while
+   one of these is wide (see below). Then each band that still does is taken again: the members outside its largest component are compared with each other
    and with that component, never the latter with itself, in blocks of bounded size; pairs are confirmed where they meet,
    and only links leave a block. Pairs within a component need no link. Where more than ``WIDE`` members are outside, the
    work would grow with their square, so first only those members stay that can have a link to another component at all:
@@ -48,8 +48,8 @@ PERCENT = 75
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 #: Shares of registers below the threshold down to which pairs are confirmed on their sets.
 MARGIN = 0.2
-#: Turns of step 2, each with other pivots.
-STARS = 2
+#: Most turns of step 2, each with other pivots.
+STARS = 3
 #: Documents of one block in step 4.
 BLOCK = 512
 #: Members of a band outside its largest component up to which they are paired without a count of their shingles.
@@ -265,10 +265,14 @@ def _sized(members: DataFrame, name: str, scratch: Scratch) -> DataFrame:
     return scratch.keep(name, members.join(sizes, "key"))
 
 
-def _of_reps(ids: DataFrame, name: str, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """rep, n, registers of some representatives, as a written table."""
-    some = scratch.keep(f"{name}_ids", ids.select("rep").distinct())
-    return scratch.keep(name, classes.select("rep", "n", "registers").join(some, "rep"))
+def _wider():
+    """Whether more than WIDE members of a band are outside its largest component."""
+    return F.col("size") - F.col("largest.size") > WIDE
+
+
+def _of_reps(ids: DataFrame, classes: DataFrame) -> DataFrame:
+    """rep, n, registers of some representatives. ids comes from a written table, whose size tells the engine how to join."""
+    return classes.select("rep", "n", "registers").join(ids.select("rep").distinct(), "rep")
 
 
 def _dealt(split: DataFrame) -> DataFrame:
@@ -284,20 +288,20 @@ def _dealt(split: DataFrame) -> DataFrame:
     return dealt.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "shared")
 
 
-def _open_links(rows: DataFrame, members: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+def _open_links(rows: DataFrame, split: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b: links between different components within a band, enough of them to connect what is linked there.
 
-    members: key, band, rep and component. Those that can be linked are dealt to pairs of blocks; the members of a band's
+    split: members of open bands, as _sized gives them. Those that can be linked are dealt to pairs of blocks; the members of a band's
     largest component are only paired with the others. The registers tell which members are in a pair to confirm at all;
     only the sets of these go to the blocks, where pairs are confirmed one by one and skipped once their components are
     connected. No pair leaves a block unless it is a link.
     """
-    split = _sized(members.withColumn("shared", F.lit(1 << 62)), "split", scratch)
-    outside = F.col("size") - F.col("largest.size")
-    wide = split.where(outside > WIDE).select("key", "band", "rep", "component")
+    split = split.withColumn("shared", F.lit(1 << 62))
+    wide = split.where(_wider()).select("key", "band", "rep", "component")
     if wide.limit(1).count():
-        split = split.where(outside <= WIDE).unionByName(_sized(_linkable(rows, wide, scratch), "wide_split", scratch))
-    reps = _of_reps(split, "open_reps", classes, scratch)
+        split = split.where(~_wider()).unionByName(_sized(_linkable(rows, wide, scratch), "wide_split", scratch))
+        split = scratch.keep("narrowed", split)
+    reps = _of_reps(split, classes)
     dealt = _dealt(split)
 
     def involved(table: pa.Table) -> pa.Table:
@@ -352,7 +356,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     def with_registers(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.keep(f"{name}_pairs", pairs)
-        reps = _of_reps(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))), f"{name}_reps", classes, scratch)
+        reps = _of_reps(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))), classes)
         x = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
         y = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
         alike = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
@@ -376,14 +380,21 @@ def near_dedup(docs: DataFrame) -> DataFrame:
             links = more if links is None else links.unionByName(more)
             found = scratch.keep(f"{name}_found", connected_components(links))
 
+    def sized(name: str) -> DataFrame:
+        return _sized(labelled(members, "rep").select("key", "band", "rep", "component"), name, scratch)
+
+    split = None
     for turn in range(STARS):
-        tagged = scratch.keep(f"tagged{turn}", labelled(members, "rep").select("key", "band", "rep", "component"))
+        if turn and not split.where(_wider()).limit(1).count():
+            break
+        tagged = members.withColumn("component", F.col("rep")) if split is None else split
         pivot = F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("pivot")
-        stars = tagged.groupBy("key").agg(pivot, F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "pivot")
+        stars = tagged.groupBy("key").agg(pivot).select("key", "pivot")
         stars = tagged.join(scratch.keep(f"pivots{turn}", stars), "key").where(F.col("component") != F.col("pivot.component"))
         stars = stars.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
         link(_near(with_registers(stars, f"stars{turn}")), f"stars{turn}")
-    more = _open_links(rows, scratch.keep("tagged", labelled(members, "rep").select("key", "band", "rep", "component")), classes, scratch)
+        split = sized(f"split{turn}")
+    more = _open_links(rows, sized("split") if split is None else split, classes, scratch)
     if more.limit(1).count():
         found = scratch.keep("found", connected_components(more if links is None else links.unionByName(more)))
     # A document that is alone in its class and linked with none is its own component; only others are looked up.
