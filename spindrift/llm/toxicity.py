@@ -39,7 +39,7 @@ from spindrift.llm.decontaminate import words
 #: Bounds of the training sample, of the features, and the number of factors.
 TRAIN_ROWS, FEATURES, FACTORS = 20_000, 4096, 8
 #: Tasks that count pairs; each sends its counts once.
-PAIR_TASKS = 4
+PAIR_TASKS = 8
 #: Documents in which a feature occurs at least, and its least chi-squared.
 LEAST_DOCS, LEAST_CHI = 5, 20.0
 #: Frequent terms whose pairs are counted, the largest share of documents that hold one, and a pair's least chi-squared,
@@ -148,7 +148,7 @@ def _telling_pairs(rows: DataFrame, terms: list[int]) -> list[int]:
                 n[k] += len(part)
         yield pa.RecordBatch.from_arrays([pa.array([int(n[0])]), pa.array([int(n[1])]), pa.array([zlib.compress(sums.astype(np.uint16 if n[0] < 1 << 16 else np.uint32).tobytes(), 1)]), pa.array([2 if n[0] < 1 << 16 else 4])], ["n", "pos", "counts", "width"])
 
-    small = rows.repartition(PAIR_TASKS)
+    small = rows.coalesce(PAIR_TASKS)
     total, n, pos = np.zeros((2, size, size), np.float64), 0, 0
     for r in small.mapInArrow(count, "n long, pos long, counts binary, width long").toLocalIterator():
         n, pos = n + r["n"], pos + r["pos"]
@@ -172,8 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, feat
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([term_hashes(t) for t in utf8(batch.column(1))], pa.list_(pa.int64()))], ["doc_id", "toxic", "terms"])
 
-    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # no more than train_rows
-    rows = scratch.keep("terms", rows.select("doc_id", "text", "toxic").mapInArrow(hashed, "doc_id long, toxic int, terms array<long>"))
+    if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():  # reads ids only; texts move where it must be
+        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("doc_id", "text", "toxic")
+    rows = scratch.keep("terms", rows.mapInArrow(hashed, "doc_id long, toxic int, terms array<long>"))
     n, pos = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n:
         return None
