@@ -10,8 +10,8 @@ is a suffix of the one (down to the trigger's end) with a prefix of the other. A
 a proper prefix of another, the order of all strings is that of their dictionary suffixes and, among equal ones, of the
 parse behind them.
 
-1. Names: a phrase is named by two 64-bit hashes (of its trigger and of its contents, 128 bits in all). Of each name only
-   the document with the smallest id matters. Each task keeps the first one of its own and marks the others at once, so a
+1. Names: a phrase is named by its trigger (48 bits) and its contents (80 bits of two hashes). Of each name only the
+   document with the smallest id matters. Each task keeps the first one of its own and marks the others at once, so a
    passage in a third of the documents costs one entry a task and not one a document. Entries meet by trigger: a phrase
    whose name occurs in a smaller document is repeated as a whole, and a trigger with several phrases is open.
 2. Suffix arrays: only phrases at open triggers (some hundredths) are spelled out, each distinct one once, for its first
@@ -27,8 +27,8 @@ a task's memory does not grow with it. Triggers with very many different phrases
 documents, and their entries are dealt by phrase and spelled out string by string; the sample only decides how rows are
 dealt and never what is found.
 
-Names are the only place where hashes decide: at 100 TB of text (7e12 phrases) two different phrases share the 128 bits of
-a name with a probability of about 1e-13.
+Names are the only place where hashes decide: of 1e18 pairs of different phrases at one trigger, more than 100 TB of text
+hold, any two share the 80 bits with a probability of about 1e-6. Triggers that share their 48 bits only open each other.
 
 Defined cases: null text is empty; shorter texts lose nothing; a null id counts as the largest; rows with one id never
 remove from each other, whether or not their texts are equal; an empty table gives an empty result; other columns are
@@ -58,6 +58,8 @@ SAMPLE, HEAVY, MOST_HEAVY = 256, 256, 100_000
 PACK = 1 << 15
 _P = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFF)
+#: Bits of a phrase's key that are its trigger's; the others belong to its name.
+_TRIGGER_BITS = ~np.uint64(0xFFFF)
 #: Kinds of packed rows.
 ENTRY, HEAVY_ENTRY, WHOLE, OPEN, STRINGS = range(5)
 
@@ -98,7 +100,8 @@ def rolling(raw: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
 
 
 def phrases(text: bytes) -> tuple[np.ndarray, ...]:
-    """Of each phrase: hash of the trigger, name, starts of its first and its last string, and place of the trigger."""
+    """Of each phrase: its key (bits of the trigger's hash, and of a second one of its contents), name, starts of its first
+    and its last string, and place of the trigger."""
     parts = [_phrases(np.frombuffer(text, np.uint8, min(CHUNK + MIN_BYTES - 1, len(text) - at), at), at) for at in range(0, len(text) - MIN_BYTES + 1, CHUNK)]
     if not parts:
         return *[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 3
@@ -121,7 +124,12 @@ def _phrases(raw: np.ndarray, offset: int) -> tuple[np.ndarray, ...]:
     at = at[first]
     # The first and the last string overlap and so spell the phrase; the name also holds where the trigger is in it.
     name = _mix(strings[first] * np.uint64(3) + _mix(strings[last]) + (at - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (last - first).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    return triggers[at], name, first + offset, last + offset, at + offset
+    # A hash of another make: of the pieces of TRIGGER bytes that cover both strings.
+    second = np.zeros(len(at), np.uint64)
+    for start in (first, last):
+        for step in (0, TRIGGER, MIN_BYTES - TRIGGER):
+            second = second * _P + triggers[start + step]
+    return (triggers[at] & _TRIGGER_BITS) | (_mix(second) & ~_TRIGGER_BITS), name, first + offset, last + offset, at + offset
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -185,11 +193,11 @@ def _parsed(rows: DataFrame, buckets: int, heavy: np.ndarray, tagged: bool) -> D
         same = np.concatenate(([False], (name[order][1:] == name[order][:-1]) & (trigger[order][1:] == trigger[order][:-1]) & (doc[order][1:] == doc[order][:-1]) & (tag[1:] == tag[:-1]))) if len(order) else copy
         sent, marked = order[~copy & ~same], order[copy & ~same]
         out = []
-        is_heavy = np.isin(trigger[sent], heavy) if len(heavy) else np.zeros(len(sent), bool)
+        is_heavy = np.isin(trigger[sent] & _TRIGGER_BITS, heavy) if len(heavy) else np.zeros(len(sent), bool)
         plain, dealt = sent[~is_heavy], sent[is_heavy]
         n = np.uint64(buckets)
         if len(plain):
-            out += _spread((_mix(trigger[plain]) % n).astype(np.int64), ENTRY, trigger[plain], name[plain], doc[plain], place[plain])
+            out += _spread((_mix(trigger[plain] & _TRIGGER_BITS) % n).astype(np.int64), ENTRY, trigger[plain], name[plain], doc[plain], place[plain])
         if len(dealt):
             out += _spread((_mix(name[dealt]) % n).astype(np.int64), HEAVY_ENTRY, trigger[dealt], name[dealt], doc[dealt], place[dealt])
         if len(marked):
@@ -243,7 +251,7 @@ def _resolved(entries: DataFrame, buckets: int, doc_buckets: int) -> DataFrame:
                 lead = np.repeat(doc[start], np.diff(np.append(start, len(doc))))
                 whole = doc != lead
                 if kind == ENTRY:
-                    groups = _runs(trigger)
+                    groups = _runs(trigger & _TRIGGER_BITS)
                     several = np.add.reduceat(np.isin(np.arange(len(doc)), start).astype(np.int64), groups) > 1
                     opened = np.repeat(several, np.diff(np.append(groups, len(doc)))) & ~whole
                 else:
@@ -314,6 +322,7 @@ def _spelled(rows: DataFrame, marks: DataFrame, buckets: int, doc_buckets: int,
                 if not len(opened):
                     continue
                 trigger, _, first, last, at = phrases(text)
+                trigger &= _TRIGGER_BITS
                 is_heavy = np.isin(trigger[opened], heavy) if len(heavy) else np.zeros(len(opened), bool)
                 for t, a, b, c, alone in zip(trigger[opened].tolist(), first[opened].tolist(), last[opened].tolist(), at[opened].tolist(), is_heavy.tolist(), strict=True):
                     for x, y in ((p, p) for p in range(a, b + 1)) if alone else ((a, b),):
@@ -440,7 +449,7 @@ def _heavy(rows: DataFrame, sample: int = SAMPLE, heavy: int = HEAVY) -> np.ndar
         for batch in batches:
             for text in batch.column(1).to_pylist():
                 trigger, name, *_ = phrases(text)
-                yield pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64)), pa.array(name.view(np.int64))], ["trigger", "name"])
+                yield pa.RecordBatch.from_arrays([pa.array((trigger & _TRIGGER_BITS).view(np.int64)), pa.array(name.view(np.int64))], ["trigger", "name"])
 
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(sample)) == 0).select("doc_id", F.encode("text", "UTF-8").alias("text"))
     found = map_batches(some, run, "trigger long, name long").distinct().groupBy("trigger").count().where(F.col("count") >= heavy)

@@ -80,3 +80,15 @@ def test_null_and_shared_ids_drop_only_the_bad_row(spark):
         twice = docs([*clean, (i, base, "en"), (i, base, "en")])
         assert kept(corpus_pipeline.drop_exact_copies(spark, twice, SF)) == in_order([*(r[:2] for r in clean), (i, base)])
         assert len(kept(corpus_pipeline.drop_near_copies(spark, docs([*clean, (i, base, "en"), (i, near, "en")]), SF))) == 5
+
+
+def test_columns_with_the_names_that_stages_use(spark):
+    """Columns that are called as the stages call their own come through, values and all."""
+    text = prose(1, 60)
+    rows = [(1, text, 5, "a", 0.5, "x"), (2, text, 6, "b", 1.5, "y"), (None, prose(2, 60), 7, None, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row long, `row` string, `group` double, `_ROW_` string")
+    for stage in (corpus_pipeline.drop_exact_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.drop_contaminated):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        want = rows if stage is corpus_pipeline.drop_contaminated else [rows[0], rows[2]]
+        assert in_order(tuple(r) for r in out.collect()) == in_order(want)
