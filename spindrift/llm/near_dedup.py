@@ -11,8 +11,8 @@ its own, so that a sketch of a short text has the same law as that of a long one
    all; every band draws its own pivot, so a document of a large group meets several.
 3. For a pair, equal registers, corrected for the chance that different minima look alike, estimate the similarity.
    Pairs within ``MARGIN`` (five standard errors) of the threshold and above are confirmed on the full sets.
-4. Confirmed links give components. Step 2 is repeated with other pivots for the bands that hold several components while
-   one of these is wide (see below). Then each band that still does is taken again: the members outside its largest component are compared with each other
+4. Confirmed links give components. Step 2 is repeated with other pivots for the bands that hold several components.
+   Then each band that still does is taken again: the members outside its largest component are compared with each other
    and with that component, never the latter with itself, in blocks of bounded size; pairs are confirmed where they meet,
    and only links leave a block. Pairs within a component need no link. Where more than ``WIDE`` members are outside, the
    work would grow with their square, so first only those members stay that can have a link to another component at all:
@@ -48,8 +48,8 @@ PERCENT = 75
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 #: Shares of registers below the threshold down to which pairs are confirmed on their sets.
 MARGIN = 0.2
-#: Most turns of step 2, each with other pivots.
-STARS = 3
+#: Turns of step 2, each with other pivots.
+STARS = 2
 #: Documents of one block in step 4.
 BLOCK = 512
 #: Members of a band outside its largest component up to which they are paired without a count of their shingles.
@@ -380,21 +380,16 @@ def near_dedup(docs: DataFrame) -> DataFrame:
             links = more if links is None else links.unionByName(more)
             found = scratch.keep(f"{name}_found", connected_components(links))
 
-    def sized(name: str) -> DataFrame:
-        return _sized(labelled(members, "rep").select("key", "band", "rep", "component"), name, scratch)
-
-    split = None
     for turn in range(STARS):
-        if turn and not split.where(_wider()).limit(1).count():
-            break
-        tagged = members.withColumn("component", F.col("rep")) if split is None else split
+        tagged = labelled(members, "rep").select("key", "band", "rep", "component")
+        tagged = tagged if found is None else scratch.keep(f"tagged{turn}", tagged)
         pivot = F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("pivot")
-        stars = tagged.groupBy("key").agg(pivot).select("key", "pivot")
+        stars = tagged.groupBy("key").agg(pivot, F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "pivot")
         stars = tagged.join(scratch.keep(f"pivots{turn}", stars), "key").where(F.col("component") != F.col("pivot.component"))
         stars = stars.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
         link(_near(with_registers(stars, f"stars{turn}")), f"stars{turn}")
-        split = sized(f"split{turn}")
-    more = _open_links(rows, sized("split") if split is None else split, classes, scratch)
+    tagged = scratch.keep("tagged", labelled(members, "rep").select("key", "band", "rep", "component"))
+    more = _open_links(rows, _sized(tagged, "split", scratch), classes, scratch)
     if more.limit(1).count():
         found = scratch.keep("found", connected_components(more if links is None else links.unionByName(more)))
     # A document that is alone in its class and linked with none is its own component; only others are looked up.
