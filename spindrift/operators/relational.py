@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.operators.graph import Rounds
+from spindrift.operators.prefix import running_sums
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -28,13 +29,12 @@ def top_k_per_key(df: DataFrame, keys: list[str], order: list, k: int, rank: str
 def budget_prefix(df: DataFrame, tokens: Column, order: list[str], budget: int, keys: list[str] | None = None) -> DataFrame:
     """Rows in ascending order while the running sum of tokens, which are not negative, stays within the budget.
 
-    With keys, for each key. Without, only the first budget + 1 rows that have tokens can matter, so these are taken
-    first and the running sum never sees the whole table; rows without tokens, of which there may be many, look up the
-    sum before them in these.
+    With keys, for each key, by running sums over sorted ranges, so that a key with most of the rows spans many tasks.
+    Without, only the first budget + 1 rows that have tokens can matter, so these are taken first and the running sum
+    never sees the whole table; rows without tokens, of which there may be many, look up the sum before them in these.
     """
     if keys:
-        window = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumn("running_tokens", F.sum(tokens).over(window)).where(F.col("running_tokens") <= budget)
+        return running_sums(df, {"running_tokens": tokens}, order, keys).where(F.col("running_tokens") <= budget)
     one = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     head = df.where(tokens > 0).orderBy(*order).limit(budget + 1).withColumn("running_tokens", F.sum(tokens).over(one))
     sums = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), "running_tokens")))
