@@ -7,8 +7,8 @@ five failures are one of 32 patterns, and conditional counts of these, a row for
 any sequence of filters is a sum over patterns, so the 120 orders are never run over documents.
 
 A document in the joins is (id, a hash of its text): rows that share an id are told apart, and rows that repeat both are
-one with a number of copies. Words are counted where they are read, before they move, so neither a long document nor a
-frequent word is a hot key. A text is the same as another if its length and SHA-256 are.
+one with a number of copies. A document moves to the task that counts its words, copies of it being one before that, so
+neither a frequent word nor a group of copies is a hot key. A text is the same as another if its length and SHA-256 are.
 
 Filters, by letter, fail a document: A under ``MIN_WORDS`` words; B distinct words under half of the words; C capitals A-Z
 over 3 in 100 code points; D any of ``#$%&*|``; E the text of a smaller id.
@@ -42,8 +42,12 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, words, distinct of documents that have words (of copies, all words of all of them)."""
-    words = docs.select("doc_id", "tag", F.explode(F.split(F.btrim("text", F.lit(_SPACE)), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    """doc_id, tag, words, distinct of documents that have words.
+
+    Each document moves once, copies of a row not at all; its words are then counted where it is, without moving again.
+    """
+    once = docs.where(F.btrim("text", F.lit(_SPACE)) != "").groupBy("doc_id", "tag").agg(F.first("text").alias("text"))
+    words = once.select("doc_id", "tag", F.explode(F.split(F.btrim("text", F.lit(_SPACE)), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
     of_word = words.groupBy("doc_id", "tag", "word").agg(F.count(F.lit(1)).alias("n"))
     return of_word.groupBy("doc_id", "tag").agg(F.sum("n").alias("words"), F.count(F.lit(1)).alias("distinct"))
 
@@ -63,13 +67,12 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = _documents(docs)
     known = scratch.keep("flags", flags(rows))
     copied = known.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("digest", "first_id")
-    total = known.groupBy("doc_id", "tag").agg(F.sum("copies").alias("rows"))
     counts = scratch.keep("words", word_counts(rows))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic")).where("doc_id IS NOT NULL")
     marks = marks.groupBy("doc_id").agg(*(F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("good", "toxic")))
-    both = known.join(counts, ["doc_id", "tag"], "left").join(total, ["doc_id", "tag"])
+    both = known.join(counts, ["doc_id", "tag"], "left")
     both = both.join(hinted(scratch.keep("copied", copied), 96), "digest", "left").join(marks, "doc_id", "left")
-    words = F.coalesce(F.col("words"), F.lit(0)) / F.col("rows")  # copies have the same words, so this is whole
+    words = F.coalesce(F.col("words"), F.lit(0))
     fails = {
         "A": words < MIN_WORDS,
         "B": 100 * F.coalesce(F.col("distinct"), F.lit(0)) < DISTINCT_PERCENT * words,
