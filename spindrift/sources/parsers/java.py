@@ -1,66 +1,62 @@
-"""Java outlines and symbol edges of one file, from its structure: types and methods with what holds them."""
+"""Java outlines and symbol edges of one file, from its declarations: types and methods with what holds them."""
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 
-from spindrift.sources.parsers import lexical
+from spindrift.sources.parsers.declarations import Declared, Reader
+from spindrift.sources.parsers.tokens import Tokens
 
-_N = r"[A-Za-z_$][\w$]*"
-_TYPE = re.compile(rf"(?<![@\w.])(class|interface|enum)\s+({_N})(?:\s*<[^{{;]*?>)?([^{{;]*)(?=\{{)")
-_RULES = dict(lexical.LANGUAGES["java"].declarations)
-_METHOD, _CONSTRUCTOR = (re.compile(_RULES[kind], re.M) for kind in ("method", "constructor"))
+_TYPES = ("class", "interface", "enum")
 _IMPORT = re.compile(r"^[ \t]*import\s[^;]*;", re.M)
-_USED = re.compile(rf"\b(new\s+)?((?:{_N}\s*\.\s*)*)({_N})\s*(?:<[\w\s,.?<>]*>)?\s*(\()?")
 
 
-def _declarations(code: str) -> list[tuple[int, int, str, str, str]]:
-    """(place of the name, end, kind, name, bases) of types, methods and constructors, in order."""
-    flat = lexical.flattened(code)
-    types = [(m.start(2), lexical.closing(code, m.end()), "class", m[2], m[3]) for m in _TYPE.finditer(flat)]
-    holder = lambda at: max((t for t in types if t[0] < at < t[1]), default=None)
-    found = {t[0]: t for t in types}
-    for kind, pattern in (("method", _METHOD), ("constructor", _CONSTRUCTOR)):
-        for m in pattern.finditer(flat):
-            at, name = m.start("name"), m["name"]
-            if at not in found and name not in lexical._WORDS and (of := holder(at)) and (kind == "method" or of[3] == name):
-                found[at] = (at, lexical.closing(code, m.end()), kind, name, "")
-    return sorted(found.values())
+def _held(reader: Reader) -> list[Declared]:
+    """Classes, interfaces, enums and their methods, in order."""
+    return sorted((d for d in reader.declared if d.kind in _TYPES or (d.kind == "method" and d.owner >= 0)), key=lambda d: d.at)
+
+
+def _holder(reader: Reader, number: int, kinds: tuple[str, ...]) -> Declared | None:
+    """The innermost declaration of some kinds from one outwards."""
+    while number >= 0 and reader.declared[number].kind not in kinds:
+        number = reader.declared[number].owner
+    return reader.declared[number] if number >= 0 else None
 
 
 def outline(source: str) -> tuple[list[tuple[str, str, int, int, str | None]], list[tuple[str, int]]]:
     """(kind, name, first line, last line, container) of types (kind class) and methods, and (text, line) of imports."""
-    code = lexical.blanked(source)
-    starts = [0, *(m.end() for m in re.finditer("\n", code))]
-    line = lambda at: bisect_right(starts, at)
-    found = _declarations(code)
-    types = [f for f in found if f[2] == "class"]
-    out = []
-    for at, end, kind, name, _ in found:
-        if kind == "constructor":
-            continue
-        holder = max((t for t in types if t[0] < at < t[1]), default=None)
-        out.append((kind, name, line(at), line(max(at, end - 1)), holder[3] if holder else None))
-    return out, [(m[0].strip(), line(m.start() + len(m[0]) - len(m[0].lstrip()))) for m in _IMPORT.finditer(code)]
+    tokens = Tokens(source, "java")
+    reader, out = Reader(tokens), []
+    for d in _held(reader):
+        around = _holder(reader, d.owner, _TYPES)
+        first, last = tokens.line(tokens.start[d.at]), tokens.line(tokens.start[min(d.end, len(tokens)) - 1])
+        out.append(("method" if d.kind == "method" else "class", d.name, first, last, around.name if around else None))
+    commented = re.sub(r"/\*.*?(?:\*/|\Z)|//[^\n]*", lambda m: re.sub(r"[^\n]", " ", m[0]), source, flags=re.S)
+    return out, [(m[0].strip(), tokens.line(m.start() + len(m[0]) - len(m[0].lstrip()))) for m in _IMPORT.finditer(commented)]
 
 
 def symbol_edges(source: str) -> list[tuple[str, str, str]]:
     """(container, name, type) of inheritance, calls, creations and field accesses whose target is declared in the file;
     the container is the innermost type or method."""
-    code = lexical.blanked(source)
-    found = _declarations(code)
-    known, heads = {f[3] for f in found if f[2] != "constructor"}, {f[0] for f in found}
-    edges = []
-    for at, _, kind, name, bases in found:
-        if kind == "class":
-            edges += [(at, name, base, "inherit") for base in re.findall(_N, re.sub(r"<[^<>]*>", "", bases)) if base in known and base not in ("extends", "implements")]
-    for m in _USED.finditer(code):
-        target, at = m[3], m.start(3)
-        if target not in known or at in heads or not (m[1] or m[4] or m[2]):
+    tokens = Tokens(source, "java")
+    reader = Reader(tokens)
+    held = _held(reader)
+    known, heads = {d.name for d in held}, {d.at for d in reader.declared}
+    edges = [(token, d.name, base, "inherit") for d in held if d.kind != "method" for base, token in d.bases if base in known]
+    bases = {token for d in reader.declared for _, token in d.bases}
+    open_: list[Declared] = []
+    left = iter(held)
+    coming = next(left, None)
+    for i, name in enumerate(tokens.text):
+        while coming and coming.at <= i:
+            open_.append(coming)
+            coming = next(left, None)
+        while open_ and open_[-1].end <= i:
+            open_.pop()
+        if name not in known or not tokens.is_name(i) or i in heads or i in bases or not open_:
             continue
-        holder = max((f for f in found if f[0] < at < f[1] and f[2] != "constructor"), default=None)
-        in_head = holder and code.find("{", holder[0], holder[1]) > at
-        if holder and not (in_head and holder[2] == "class"):
-            edges.append((at, holder[3], target, "call" if m[1] or m[4] else "use"))
+        after = tokens.after_angles(i + 1, len(tokens))
+        called = tokens[i - 1] == "new" or tokens[after] == "("
+        if called or tokens[i - 1] == ".":
+            edges.append((i, open_[-1].name, name, "call" if called else "use"))
     return [(c, t, k) for _, c, t, k in sorted(edges)]

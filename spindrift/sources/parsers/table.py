@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.operators.graph import Rounds, some
 from spindrift.sources.parsers import java, lexical
 from spindrift.sources.parsers import python as python_parser
 from spindrift.sources.parsers.rows import Parsed
@@ -16,16 +17,20 @@ Parser = Callable[[str, str], Parsed]
 #: Language to (parser, fidelity); put other parsers in to replace these.
 REGISTRY: dict[str, tuple[Parser, str]] = {"python": (python_parser.parse, "exact")} | {name: (lambda path, source, n=name: lexical.parse(path, source, n), "lexical") for name in lexical.LANGUAGES}
 
+#: Kinds of symbols that have methods.
+TYPE_KINDS = ("class", "interface", "enum", "record", "struct")
 SCHEMA = (
     "record string, path string, language string, fidelity string, pos int, id string, name string, kind string, line_start int, line_end int, source_code string, "
-    "has_docstring boolean, parameters array<string>, caller string, callee string, is_resolved boolean, module string, error string"
+    "has_docstring boolean, parameters array<string>, caller string, callee string, is_resolved boolean, module string, error string, scope_start int, scope_end int"
 )
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
 
 def parse_files(files: DataFrame, registry: dict[str, tuple[Parser, str]] | None = None) -> DataFrame:
-    """One row for each symbol, relationship and import of the files (path, language, content), told apart by record.
+    """One row for each symbol, relationship, import, call site and variable of the files (path, language, content), told
+    apart by record. A call site (in Java and C#) is a call of a method on a name, at its place in the file; a variable is a
+    name with its type and the places between which it holds.
 
     A file that cannot be parsed gives one row with its error; a language without a parser gives none.
     """
@@ -45,6 +50,10 @@ def parse_files(files: DataFrame, registry: dict[str, tuple[Parser, str]] | None
             yield base | dict(zip(("caller", "callee", "line_start", "kind", "is_resolved"), r, strict=True)) | {"record": "relationship", "pos": i}
         for i, m in enumerate(parsed.imports):
             yield base | dict(zip(("name", "id", "module", "callee", "line_start"), m, strict=True)) | {"record": "import", "pos": i}
+        for s in parsed.sites:
+            yield base | dict(zip(("pos", "caller", "callee", "name", "line_start", "is_resolved"), s, strict=True)) | {"record": "site"}
+        for v in parsed.variables:
+            yield base | dict(zip(("name", "callee", "scope_start", "scope_end"), v, strict=True)) | {"record": "variable"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [_TYPES[x.split()[1]] for x in SCHEMA.split(", ")]
@@ -72,6 +81,60 @@ def imports(parsed: DataFrame) -> DataFrame:
     return parsed.where("record = 'import'").select("path", "language", F.col("name").alias("local"), F.col("id").alias("full_path"), "module", F.col("callee").alias("imported"), F.col("line_start").alias("line"))
 
 
+def receiver_types(parsed: DataFrame) -> DataFrame:
+    """path, language, at, caller, receiver, method, line, type: the type of what each call site is called on.
+
+    A site and a variable meet by file and name; of the scopes that the site lies in the innermost counts, that is the one that
+    starts last. A name without a variable that is a type of the file is that type.
+    """
+    sites = parsed.where("record = 'site'").select("path", "language", F.col("pos").alias("at"), "caller", F.col("callee").alias("receiver"), F.col("name").alias("method"), F.col("line_start").alias("line"), F.col("is_resolved").alias("is_type"))
+    scopes = parsed.where("record = 'variable'").select(F.col("path").alias("_path"), F.col("name").alias("_name"), F.col("callee").alias("type"), "scope_start", "scope_end")
+    within = (F.col("path") == F.col("_path")) & (F.col("receiver") == F.col("_name")) & (F.col("at") >= F.col("scope_start")) & (F.col("at") < F.col("scope_end"))
+    keys = ["path", "language", "at", "caller", "receiver", "method", "line", "is_type"]
+    found = sites.join(scopes, within, "left").groupBy(*keys).agg(F.max_by("type", F.struct("scope_start", "type")).alias("type"))
+    return found.withColumn("type", F.coalesce("type", F.when(F.col("is_type") | F.col("receiver").rlike("^[A-Z]"), F.col("receiver")))).where("type IS NOT NULL").drop("is_type")
+
+
+def receiver_calls(parsed: DataFrame) -> DataFrame:
+    """path, caller, callee, line, is_resolved: calls on a name, resolved by the type of that name across files.
+
+    A type is looked for in the file, then among its imports, then in its folder, and then anywhere, if only one has the name.
+    The method is that of the class, or of the nearest class that it inherits from; without one the callee is the class.
+    """
+    rounds = Rounds(parsed.sparkSession)
+    parsed = rounds.keep(parsed.withColumn("source_code", F.lit(None).cast("string")))
+    known = symbols(parsed)
+    classes = known.where(F.col("kind").isin(*TYPE_KINDS)).groupBy("language", F.col("name").alias("type"), F.col("path").alias("of")).agg(F.min("id").alias("class"))
+    imported = imports(parsed).select("path", F.col("local").alias("type"), "full_path").distinct()
+    folder = lambda c: F.regexp_replace(c, r"[^/]*$", "")
+    tried = receiver_types(parsed).join(classes, ["language", "type"]).join(imported, ["path", "type"], "left")
+    by_import = F.concat(F.lit("."), F.col("class")).endswith(F.concat(F.lit("."), F.col("full_path"), F.lit("."), F.col("type")))
+    rank = F.when(F.col("of") == F.col("path"), 0).when(F.coalesce(by_import, F.lit(False)), 1).when(folder("of") == folder("path"), 2).otherwise(3)
+    one = tried.groupBy("path", "at", "caller", "method", "line").agg(F.min(F.struct(rank.alias("rank"), F.col("class"))).alias("best"), F.count_distinct("class").alias("n"))
+    sites = rounds.keep(one.where("best.rank < 3 OR n = 1").select("path", "at", "caller", "method", "line", F.col("best.class").alias("class")))
+    methods = rounds.keep(known.where("kind = 'method'").select(F.col("id").alias("callee")).distinct())
+    bases = relationships(parsed).where("rel_type = 'inherit'").select(F.col("caller").alias("class"), F.col("callee").alias("base"))
+    ids = known.where(F.col("kind").isin(*TYPE_KINDS)).select("id", "name")
+    unique = ids.groupBy(F.col("name").alias("base")).agg(F.min("id").alias("only"), F.count_distinct("id").alias("n")).where("n = 1").select("base", "only")
+    up = bases.join(ids.select(F.col("id").alias("base")).distinct().withColumn("same", F.lit(True)), "base", "left").join(unique, "base", "left")
+    up = rounds.keep(up.select("class", F.when(F.col("same"), F.col("base")).otherwise(F.col("only")).alias("base")).where("base IS NOT NULL AND base <> class").distinct())
+    done, level = None, sites.withColumn("at_class", F.col("class"))
+    seen = rounds.keep(level.select("path", "at", "at_class"))
+    while some(level):  # a round for each step up the hierarchy
+        hit = level.withColumn("callee", F.concat("at_class", F.lit("."), "method")).join(methods, "callee", "left_semi")
+        hit = rounds.keep(hit.groupBy("path", "at", "caller", "line").agg(F.min("callee").alias("callee")))
+        done = hit if done is None else done.unionByName(hit)
+        left = level.join(hit.select("path", "at"), ["path", "at"], "left_anti")
+        above = left.join(up.withColumnRenamed("class", "at_class"), "at_class").drop("at_class").withColumnRenamed("base", "at_class").distinct()
+        level = rounds.keep(above.join(seen, ["path", "at", "at_class"], "left_anti"))
+        seen = seen.unionByName(level.select("path", "at", "at_class"))
+    if done is None:
+        done = sites.select("path", "at", "caller", "line", F.col("class").alias("callee"))
+    resolved = done.select("path", "at", "callee").withColumn("is_resolved", F.lit(True))
+    out = sites.join(resolved, ["path", "at"], "left")
+    return out.select("path", "caller", F.coalesce("callee", "class").alias("callee"), "line", F.coalesce("is_resolved", F.lit(False)).alias("is_resolved")).distinct()
+
+
 def errors(parsed: DataFrame) -> DataFrame:
     return parsed.where("record = 'error'").select("path", "language", "error")
 
