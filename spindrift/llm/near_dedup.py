@@ -50,8 +50,8 @@ REGISTERS, BANDS, MANTISSA = 128, 32, 10
 MARGIN = 0.2
 #: Turns of step 2, each with other pivots.
 STARS = 2
-#: Documents of one block in step 4.
-BLOCK = 512
+#: Documents of one block in step 4, and shingles of all of them: what a task holds is bounded by both.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Members of a band outside its largest component up to which they are paired without a count of their shingles.
 WIDE = 128
 #: Members are filtered again while a turn leaves less than this share of them.
@@ -206,6 +206,19 @@ def _by_blocks(members: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: s
     return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
 
+def _views(lists: pa.ChunkedArray) -> Callable[[int], np.ndarray]:
+    """The numbers of a list column by place, as views of what Arrow holds; nothing is copied or turned into objects."""
+    ends = np.cumsum([len(chunk) for chunk in lists.chunks])
+    offsets, values = [chunk.offsets.to_numpy() for chunk in lists.chunks], [chunk.values.to_numpy() for chunk in lists.chunks]
+
+    def at(place: int) -> np.ndarray:
+        k = int(np.searchsorted(ends, place, "right"))
+        start, end = offsets[k][place - (ends[k - 1] if k else 0) :][:2]
+        return values[k][start:end]
+
+    return at
+
+
 def _cross(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Places of the rows of pairs of different components, with an estimate within the margin, that share no band before
     this one, so that each pair is met in one band only."""
@@ -259,8 +272,8 @@ def _linkable(rows: DataFrame, members: DataFrame, scratch: Scratch) -> DataFram
 def _sized(members: DataFrame, name: str, scratch: Scratch) -> DataFrame:
     """Members with the size of their band and its largest component, as a written table, of the bands that hold several
     components."""
-    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    sizes = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("largest"), F.sum("size").alias("size"))
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("size", "component", "shingles")).alias("largest"), F.sum("size").alias("size"), F.sum("shingles").alias("shingles"))
     sizes = scratch.keep(f"{name}_sizes", sizes.where("size > largest.size"))
     return scratch.keep(name, members.join(sizes, "key"))
 
@@ -277,11 +290,12 @@ def _of_reps(ids: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _dealt(split: DataFrame) -> DataFrame:
     """Members to pairs of blocks (i, j), own being theirs: blocks outside the largest component to all, of it to the others.
-    A band that fits into one block is one."""
+    A band that fits into one block, by its members and by their shingles, is one."""
+    blocks = lambda size, shingles: F.greatest(F.ceil(size / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
     is_largest = F.col("component") == F.col("largest.component")
-    few = F.ceil((F.col("size") - F.col("largest.size")) / BLOCK).cast("int")
-    many = F.ceil(F.col("largest.size") / BLOCK).cast("int")
-    one = F.col("size") <= BLOCK
+    few = blocks(F.col("size") - F.col("largest.size"), F.col("shingles") - F.col("largest.shingles"))
+    many = blocks(F.col("largest.size"), F.col("largest.shingles"))
+    one = blocks(F.col("size"), F.col("shingles")) <= 1
     own = F.when(one, 0).when(is_largest, few + F.pmod(F.xxhash64("rep"), many)).otherwise(F.pmod(F.xxhash64("rep"), few)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(one, 0).when(is_largest, few - 1).otherwise(few + many - 1)))
     dealt = split.select("key", "band", "rep", "component", "shared", own.alias("own"), other.alias("other"))
@@ -297,7 +311,7 @@ def _open_links(rows: DataFrame, split: DataFrame, classes: DataFrame, scratch:
     connected. No pair leaves a block unless it is a link.
     """
     split = split.withColumn("shared", F.lit(1 << 62))
-    wide = split.where(_wider()).select("key", "band", "rep", "component")
+    wide = split.where(_wider()).select("key", "band", "rep", "component", "n")
     if wide.limit(1).count():
         split = split.where(~_wider()).unionByName(_sized(_linkable(rows, wide, scratch), "wide_split", scratch))
         split = scratch.keep("narrowed", split)
@@ -316,7 +330,7 @@ def _open_links(rows: DataFrame, split: DataFrame, classes: DataFrame, scratch:
     def confirm(table: pa.Table) -> pa.Table:
         x, y = _cross(table)
         rep, component = (table.column(k).to_numpy() for k in ("rep", "component"))
-        items = [np.asarray(v, np.int64) for v in table.column("items").to_pylist()]
+        items = _views(table.column("items"))
         parent: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -328,8 +342,9 @@ def _open_links(rows: DataFrame, split: DataFrame, classes: DataFrame, scratch:
         for a, b in zip(x.tolist(), y.tolist(), strict=True):
             one, two = root(component[a]), root(component[b])
             if one != two:
-                common = len(np.intersect1d(items[a], items[b], assume_unique=True))
-                if 100 * common >= PERCENT * (len(items[a]) + len(items[b]) - common):
+                one_set, other = items(a), items(b)
+                common = len(np.intersect1d(one_set, other, assume_unique=True))
+                if 100 * common >= PERCENT * (len(one_set) + len(other) - common):
                     parent[max(one, two)] = min(one, two)
                     out.append((int(min(rep[a], rep[b])), int(max(rep[a], rep[b]))))
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
@@ -350,7 +365,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     width = 2 * REGISTERS // BANDS
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * F.lit(width) + 1, F.lit(width))))
-    keys = classes.select("rep", F.posexplode(band).alias("band", "key"))
+    keys = classes.select("rep", "n", F.posexplode(band).alias("band", "key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
     members = scratch.keep("members", keys.join(scratch.keep("shared", shared), "key"))
 
@@ -381,14 +396,14 @@ def near_dedup(docs: DataFrame) -> DataFrame:
             found = scratch.keep(f"{name}_found", connected_components(links))
 
     for turn in range(STARS):
-        tagged = labelled(members, "rep").select("key", "band", "rep", "component")
+        tagged = labelled(members, "rep").select("key", "band", "rep", "n", "component")
         tagged = tagged if found is None else scratch.keep(f"tagged{turn}", tagged)
         pivot = F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("pivot")
         stars = tagged.groupBy("key").agg(pivot, F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "pivot")
         stars = tagged.join(scratch.keep(f"pivots{turn}", stars), "key").where(F.col("component") != F.col("pivot.component"))
         stars = stars.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct()
         link(_near(with_registers(stars, f"stars{turn}")), f"stars{turn}")
-    tagged = scratch.keep("tagged", labelled(members, "rep").select("key", "band", "rep", "component"))
+    tagged = scratch.keep("tagged", labelled(members, "rep").select("key", "band", "rep", "n", "component"))
     more = _open_links(rows, _sized(tagged, "split", scratch), classes, scratch)
     if more.limit(1).count():
         found = scratch.keep("found", connected_components(more if links is None else links.unionByName(more)))

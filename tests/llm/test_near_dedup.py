@@ -4,8 +4,10 @@ from itertools import combinations
 import numpy as np
 import pytest
 from conftest_llm import in_order, pairs, prose
+from pyspark.sql import functions as F
 
 from spindrift.llm import near_dedup as nd
+from spindrift.llm.common import Scratch, texts
 from spindrift.llm.components import connected_components
 
 LAST = (1 << 63) - 1
@@ -105,17 +107,13 @@ def test_among_many_of_one_passage_the_links_are_found(spark, monkeypatch, wide)
 
 def test_a_large_component_is_not_paired_with_itself(spark, monkeypatch):
     """A band of one large component and a few others: rows dealt grow with the members."""
-    from pyspark.sql import functions as F
-
-    from spindrift.llm.common import Scratch, texts
-
     monkeypatch.setattr(nd, "BLOCK", 4)
     text = prose(3, 40)
     rows = [(i, f"{text} v{i % 400}") for i in range(400)] + [(1000, f"other {text}")]
     df = texts(spark.createDataFrame(rows, "doc_id long, text string"))
     sketches = {r["doc_id"]: r for r in nd._sketches(df).collect()}
     reps = spark.createDataFrame([(i, r["n"], r["registers"]) for i, r in sketches.items()], "rep long, n long, registers binary")
-    members = spark.createDataFrame([(1, 0, i, 0 if i < 1000 else i) for i, _ in rows], "key long, band int, rep long, component long")
+    members = spark.createDataFrame([(1, 0, i, 40, 0 if i < 1000 else i) for i, _ in rows], "key long, band int, rep long, n long, component long")
     scratch = Scratch(spark)
     split = nd._sized(members, "split", scratch)
     nd._open_links(df, split, reps, scratch)
@@ -150,3 +148,41 @@ def test_components_of_no_and_odd_edges(spark):
     assert found == {4: 4, 5: 4}
     chain = [(i, i + 1, "") for i in range(100)]
     assert {r["component"] for r in connected_components(spark.createDataFrame(chain, schema)).collect()} == {0}
+
+
+def test_sets_are_views():
+    import pyarrow as pa
+
+    chunks = [pa.array([[1, 2], [], [3]], pa.list_(pa.int64())), pa.array([[9], [4, 5, 6], [7]], pa.list_(pa.int64())).slice(1)]
+    at = nd._views(pa.chunked_array(chunks))
+    assert [at(k).tolist() for k in range(5)] == [[1, 2], [], [3], [4, 5, 6], [7]]
+
+
+def test_blocks_of_long_documents_are_bounded_by_their_shingles(spark):
+    """1,024 members of 100,000 shingles each: no pair of blocks holds them all, and every pair of members outside the
+    largest component meets once."""
+    members = spark.range(1024).select(F.lit(1).alias("key"), F.lit(0).alias("band"), F.col("id").alias("rep"), F.lit(100_000).cast("long").alias("n"), F.greatest(F.col("id"), F.lit(512)).alias("component"))
+    dealt = nd._dealt(nd._sized(members, "long", Scratch(spark)).withColumn("shared", F.lit(1 << 62))).join(members.select("rep", "n"), "rep")
+    held = [r["n"] for r in dealt.groupBy("i", "j").agg(F.sum("n").alias("n")).collect()]
+    assert len(held) > 1000 and max(held) <= 8 * nd.BLOCK_SHINGLES
+    rows = dealt.where("rep IN (3, 600, 700, 1023)").select("i", "j", "own", "rep").collect()
+    meets = {}
+    for a in rows:
+        for b in rows:
+            if a["rep"] < b["rep"] and (a["i"], a["j"]) == (b["i"], b["j"]) and {a["own"], b["own"]} == {a["i"], a["j"]}:
+                meets[a["rep"], b["rep"]] = meets.get((a["rep"], b["rep"]), 0) + 1
+    assert meets == {(3, 600): 1, (3, 700): 1, (3, 1023): 1, (600, 700): 1, (600, 1023): 1, (700, 1023): 1}
+
+
+def test_memory_of_a_block_of_long_sets():
+    """Two hundred sets of 100,000 shingles, 160 MB: confirming their pairs takes less than half as much again."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    lists = pa.chunked_array([pa.ListArray.from_arrays(np.arange(0, 201 * 100_000, 100_000, dtype=np.int32), np.arange(200 * 100_000, dtype=np.int64))])
+    tracemalloc.start()
+    at = nd._views(lists)
+    assert all(len(np.intersect1d(at(k), at(k + 1), assume_unique=True)) == 0 for k in range(0, 199, 20))
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
