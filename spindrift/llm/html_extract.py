@@ -7,7 +7,7 @@ reaches a share of the page's own level; what is below stays out, whether or not
 
 Element names and roles that are no part of an article (menus, headers, footers, sidebars, adverts, forms, scripts) are
 left out beforehand, and so are elements whose class or id says so; a class word drops no article or main, nor what holds
-the article or most of the page's text. An article or main element is a prior: the one with the most scored text bounds
+the article, its title or most of the page's text, and a form around the page is none. An article or main element is a prior: the one with the most scored text bounds
 the blocks, unless the rest of the page outweighs it ``REGION`` times.
 
 Pages are independent: there is no shuffle, and a task holds one Arrow batch of pages. A page costs time and memory in
@@ -44,14 +44,19 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("head nav footer aside form button dialog menu fieldset".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+_DROPPED = frozenset("head nav footer aside button dialog menu fieldset".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 _CLASSES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
     "alert popup modal overlay newsletter subscribe subscription signup login sidebar sidebars aside rail nav navbar navigation menu menus breadcrumb breadcrumbs "
     "footer header masthead topbar toolbar comment comments commentlist respond disqus reply replies share sharing social related recommended recommendations "
     "pagination pager widget widgets search skip".split()
 )
+#: Class words of what may hold an article's title, and those that may also name a paragraph of prose.
+_HEADERS = frozenset("header masthead banner".split())
+_WEAK = frozenset("share sharing social related recommended search skip header promo promotion".split())
+#: Characters outside links from which a paragraph with a weak word is prose.
+PROSE = 80
 _REGIONS = frozenset(("article", "main"))
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li".split())
 #: By element: those that its start closes, and those within which it does not.
@@ -90,6 +95,7 @@ class Page:
         self.paths: list[int] = []
         self.dropped: list[bool] = []
         self.doubts: dict[int, frozenset[str]] = {}
+        self.forms: list[int] = []
         self.steps: dict[tuple[int, str], int] = {}
         self.above: list[int] = []
         self.leaves: list[str] = []
@@ -109,6 +115,10 @@ class Page:
         self.paths.append(path)
         out = name in _DROPPED or (name == "header" and not in_region) or (role in _ROLES and name not in ("html", "body", "main"))
         self.dropped.append(out or (parent >= 0 and self.dropped[parent]))
+        if name == "form" or role == "form":
+            self.forms.append(number)
+        if in_region:  # the head of an article is part of it, as for the element
+            words -= {"header"}
         if words and name not in ("html", "body", *_REGIONS):
             self.doubts[number] = words
         return number
@@ -233,18 +243,37 @@ def parse(html: str) -> Page:
     return page
 
 
+def _outside_forms(page: Page, found: list[Block]) -> list[Block]:
+    """The blocks outside forms. A form around the page, as some page frameworks write it, is none: one that holds an
+    article or main, the heading of the page, or most of the text of its paragraphs."""
+    if not page.forms:
+        return found
+    paragraphs: dict[int, float] = {}
+    for b in found:
+        if page.names[b.at] == "p":
+            paragraphs[b.at] = paragraphs.get(b.at, 0) + len(b.text) - b.linked
+    prose = page.below(paragraphs)
+    marks = {k: 1.0 for k, name in enumerate(page.names) if name in ("article", "main", "h1")}
+    holds, every = page.below(marks), sum(paragraphs.values())
+    gone = page.marked(k for k in page.forms if not holds[k] and not (prose[k] >= PROSE and 2 * prose[k] > every))
+    return [b for b in found if not gone[b.at]]
+
+
 def _undoubted(page: Page, found: list[Block]) -> list[Block]:
     """The blocks outside elements that class words speak against. Such words count against an element unless it holds the
     article, or those with its words hold most of the article's text, links left out. The article is the article or main
     with the most text, within a doubted element only if it has as much text as all that is not doubted; without one it
-    is the page."""
-    if not page.doubts:
-        return found
-    in_doubt = page.marked(page.doubts)
+    is the page. Words of headers do not count against what holds the article's first h1, and weak words not against a
+    paragraph of prose."""
     own: dict[int, float] = {}
     for b in found:
         own[b.at] = own.get(b.at, 0) + len(b.text) - b.linked
     mass = page.below(own)
+    for number in [k for k, words in page.doubts.items() if words <= _WEAK and page.names[k] in _TEXTUAL and mass[k] >= PROSE]:
+        del page.doubts[number]
+    if not page.doubts:
+        return found
+    in_doubt = page.marked(page.doubts)
     clear = sum(n for at, n in own.items() if not in_doubt[at])
     regions = [k for k, name in enumerate(page.names) if name in _REGIONS and mass[k] and (mass[k] >= clear or not in_doubt[k])]
     article = max(regions, key=lambda k: (mass[k], -k), default=None)
@@ -262,6 +291,12 @@ def _undoubted(page: Page, found: list[Block]) -> list[Block]:
             if 2 * sum(n for at, n in own.items() if within[at]) > total:
                 most.add(words)
     holders = set()
+    if article is not None:
+        title = next((k for k in range(article, len(page.names)) if page.names[k] == "h1" and inside[k]), -1)
+        while title > article:
+            title = page.parents[title]
+            if title in page.doubts and page.doubts[title] <= _HEADERS:
+                holders.add(title)
     while article is not None and article >= 0:
         holders.add(article)
         article = page.parents[article]
@@ -350,7 +385,7 @@ def main_text(html: str | None, share: float = SHARE) -> str:
     if not html:
         return ""
     page = parse(html)
-    found = _undoubted(page, [b for b in page.blocks if not page.dropped[b.at]])
+    found = _undoubted(page, _outside_forms(page, [b for b in page.blocks if not page.dropped[b.at]]))
     scores, links = path_scores(page, found)
     mass: dict[int, float] = {}
     for b in found:
