@@ -121,13 +121,17 @@ def length_class(n: int) -> int:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, float]]:
-    """(start, end, encoding, length class, p) of runs that no base span touches."""
-    out = []
+    """(start, end, encoding, length class, p) of runs that no base span touches. taken is sorted by start, so the spans
+    that reach past the runs so far are passed once."""
+    out, k, reach = [], 0, 0
     for m in _RUN.finditer(text):
         mixed = infer_encoding(m[0]) is None and not set(m[0]).isdisjoint("+/") and not set(m[0]).isdisjoint("_-")
         for start, end in [x.span() for x in _PIECE.finditer(text, *m.span())] if mixed else [m.span()]:
             run = text[start:end]
-            if (encoding := infer_encoding(run)) and not any(a < end and start < b for a, _, b in taken):
+            while k < len(taken) and taken[k][0] < end:
+                reach = max(reach, taken[k][2])
+                k += 1
+            if reach <= start and (encoding := infer_encoding(run)):
                 out.append((start, end, encoding, length_class(end - start), randomness(run, encoding)))
     return out
 
