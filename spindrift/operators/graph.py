@@ -40,17 +40,26 @@ class Rounds:
         self.spark, self.root = spark, f"{root.rstrip('/')}/rounds-{spark.sparkContext.applicationId}"
         self.named: dict[str, list] = {}
 
-    def keep(self, df: DataFrame, name: str | None = None) -> DataFrame:
-        path = f"{self.root}/{uuid.uuid4().hex}"
+    def _store(self, path: str):
         hpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        store = hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return hpath, hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self) -> str:
+        """A new path in the folder; it goes when the application ends."""
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        hpath, store = self._store(path)
         store.deleteOnExit(hpath)
+        return path
+
+    def keep(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        path = self.path()
         df.write.parquet(path)
         if name:
             held = self.named.setdefault(name, [])
-            held.append(hpath)
+            held.append(path)
             if len(held) > 2:
-                store.delete(held.pop(0), True)
+                hpath, store = self._store(held.pop(0))
+                store.delete(hpath, True)
         return self.spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import misc
 from spindrift.functions.text import tokens
 from spindrift.operators.relational import budget_prefix, top_k
+from spindrift.operators.vectors import VectorIndex
 
 DIMENSIONS = 384
 WEIGHTS = (0.7, 0.3)
@@ -44,49 +45,12 @@ def vector_search(index: DataFrame, key: str, vector: str, query: list[float], k
     return top_k(scored, [F.desc("score"), F.col(key)], k)
 
 
-def vector_join(index: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 8, block: int = 256) -> DataFrame:
-    """query, key, score, rank for a table of queries (key, vector): every query against every row.
+def vector_join(index: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 8) -> DataFrame:
+    """query, key, score, rank for a table of queries (key, vector): the k largest products of each with all rows.
 
-    The queries are a stated set; they go to the rows in blocks of bounded size, each block is one matrix product per
-    Arrow batch, and only k rows a query leave a batch.
+    The index is built for this join; who asks more often keeps a :class:`~spindrift.operators.vectors.VectorIndex`.
     """
-    from pyspark.sql import Window as W
-
-    kind = dict(index.dtypes)[key]
-    rows = queries.select(key, vector).toLocalIterator()
-    parts, held = [], []
-
-    def scan(some: list) -> DataFrame:
-        names = [r[0] for r in some]
-        shared = index.sparkSession.sparkContext.broadcast(np.array([r[1] for r in some], np.float32))
-
-        def run(batches):
-            for batch in batches:
-                matrix = np.array(batch.column(1).to_pylist(), np.float32)
-                if not len(matrix):
-                    continue
-                scores = shared.value @ matrix.T
-                own = np.array(batch.column(0).to_pylist())
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                q, r = np.repeat(np.arange(len(names)), best.shape[1]), best.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q.tolist()]), pa.array(own[r]), pa.array(scores[q, r].astype(np.float64))], ["query", key, "score"])
-
-        return index.select(key, vector).mapInArrow(run, f"query {kind}, {key} {kind}, score double")
-
-    for row in rows:
-        held.append(row)
-        if len(held) == block:
-            parts.append(scan(held))
-            held = []
-    if held:
-        parts.append(scan(held))
-    if not parts:
-        return index.select(F.col(key).alias("query"), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    window = W.partitionBy("query").orderBy(F.desc("score"), key)
-    return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    return VectorIndex.build(index, key, vector).join(queries, key, vector, k)
 
 
 def keyword_score(low: Column, query: str) -> Column:

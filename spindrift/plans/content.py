@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from spindrift.functions import misc, patterns, text
 from spindrift.functions.paths import basename, dirname, excluded, extension, included, language, stem
 from spindrift.operators import lines, retrieval
+from spindrift.operators.grams import GramIndex
+from spindrift.operators.graph import Rounds
 from spindrift.operators.relational import top_k
 from spindrift.plans import views as v
 from spindrift.plans.registry import Registry
@@ -15,6 +17,8 @@ from spindrift.sources.parsers import table as parsers
 
 R = Registry()
 QUERY = "the and"
+#: Terms that few documents hold.
+RARE = "license token"
 _TOKENS = "(length(text) // 4)"
 
 
@@ -226,8 +230,8 @@ def vector_join(spark, d):
     return retrieval.vector_join(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 5).select("query", "vec_id")
 
 
-def _keyword_sql(k: int) -> str:
-    terms = " + ".join(f"CASE WHEN contains(t, '{w}') THEN (length(t) - length(replace(t, '{w}', ''))) / {len(w)} + CASE WHEN starts_with(t, '{w}') OR contains(t, chr(10) || '{w}') THEN 0.5 ELSE 0 END ELSE 0 END" for w in QUERY.split())
+def _keyword_sql(k: int, query: str = QUERY) -> str:
+    terms = " + ".join(f"CASE WHEN contains(t, '{w}') THEN (length(t) - length(replace(t, '{w}', ''))) / {len(w)} + CASE WHEN starts_with(t, '{w}') OR contains(t, chr(10) || '{w}') THEN 0.5 ELSE 0 END ELSE 0 END" for w in query.split())
     return f"k AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, {terms} AS score FROM (SELECT doc_id, lower(text) AS t FROM documents)) WHERE score > 0 QUALIFY rank <= {k})"
 
 
@@ -236,6 +240,28 @@ def keyword_search(spark, d):
     return retrieval.keyword_search(_docs(spark, d), "doc_id", "text", QUERY, 8)
 
 
+_INDEXES: dict[tuple[str, str], GramIndex] = {}
+
+
+def _index(spark, d) -> GramIndex:
+    """The index of a folder's documents; it is built once in an application."""
+    known = (spark.sparkContext.applicationId, d)
+    if known not in _INDEXES:
+        _INDEXES[known] = GramIndex.build(_docs(spark, d), "doc_id", "text", Rounds(spark).path())
+    return GramIndex(spark, _INDEXES[known].path)
+
+
+@R.add("sch_05_indexed_search", f"WITH {_keyword_sql(8, RARE)} SELECT doc_id, score, rank FROM k")
+def indexed_search(spark, d):
+    return _index(spark, d).keyword_search("doc_id", RARE, 8)
+
+
+@R.add("txt_05_indexed_lines", """WITH l AS (SELECT doc_id, CASE WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[1:-2] ELSE string_split(text, chr(10)) END AS l FROM documents), h AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l)
+    SELECT doc_id, i::INT AS line FROM h WHERE contains(lower(l[i]), 'apache') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 20""")
+def indexed_lines(spark, d):
+    return text.search_lines(_index(spark, d).holding(["apache"]), "doc_id", "text", "Apache").select("doc_id", "line")
+
+
 @R.add("sch_06_hybrid_search", f"WITH {_VECTOR_TOP}, {_keyword_sql(16)}, v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 16), f AS (SELECT doc_id, sum(p) AS score FROM (SELECT doc_id, 0.7 / rank AS p FROM v UNION ALL SELECT doc_id, 0.3 / rank FROM k) GROUP BY doc_id) SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f QUALIFY rank <= 8")
 def hybrid_search(spark, d):
     vectors = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
