@@ -80,21 +80,23 @@ def glob_regex(pattern: str) -> str:
 def excluded(path: Column, patterns: list[str]) -> Column:
     """A pattern rules a path out if it matches the path or the name, if it names a directory at the start (a trailing
     slash is dropped, so ``bin/`` also takes ``binary.py``), or if a segment equals it."""
-    hit = F.lit(False)
-    for p in patterns:
-        hit = hit | path.rlike(glob_regex(p)) | basename(path).rlike(glob_regex(p))
-        hit = hit | (path.startswith(p.rstrip("/")) if p.endswith("/") else path.startswith(p + "/") | F.array_contains(F.split(path, "/"), p))
-    return hit
+    if not patterns:
+        return F.lit(False)
+    starts = [re.escape(p.rstrip("/")) if p.endswith("/") else re.escape(p + "/") for p in patterns]
+    segments = [re.escape(p) for p in patterns if "/" not in p]
+    hit = _matches(path, patterns) | path.rlike(f"^(?:{'|'.join(starts)})")
+    return hit | path.rlike(f"(?:^|/)(?:{'|'.join(segments)})(?:/|$)") if segments else hit
 
 
 def included(path: Column, patterns: list[str]) -> Column:
     """Whether a pattern matches the path or the name; without patterns all are."""
-    if not patterns:
-        return F.lit(True)
-    hit = F.lit(False)
-    for p in patterns:
-        hit = hit | path.rlike(glob_regex(p)) | basename(path).rlike(glob_regex(p))
-    return hit
+    return _matches(path, patterns) if patterns else F.lit(True)
+
+
+def _matches(path: Column, patterns: list[str]) -> Column:
+    """Whether one of the patterns matches the path or the name: one regular expression for all."""
+    one = "|".join(f"(?:{glob_regex(p)})" for p in patterns)
+    return path.rlike(one) | basename(path).rlike(one)
 
 
 def symbol_id(*parts: str) -> Column:

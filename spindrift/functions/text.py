@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.operators.substrings import unheld
+
 CHUNK_CHARS = 1200
 #: What a line break is when lines are counted as an editor does.
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -153,12 +155,7 @@ def doc_issues(docs: DataFrame, key: str, text: str, names: DataFrame) -> DataFr
     refs = docs.select(key, F.explode(code_references(F.col(text))).alias("ref")).where("length(ref) > 3")
     parts = F.split("name", r"\.")
     known = names.select(F.explode(F.array("name", F.element_at(parts, -1), F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), F.lit(2)), "."))).alias("known")).distinct()
-    distinct = refs.select("ref").distinct()
-    # A name holds a reference if one of its ends starts with it; ends and references meet by their first characters.
-    ends = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("known") - 3)), lambda i: F.substring(F.col("known"), i, F.length("known")))).alias("end"))
-    ends = ends.where("length(end) > 3").select(F.substring("end", 1, 4).alias("start"), "end").distinct()
-    wanted = distinct.withColumn("head", F.substring("ref", 1, 4))
-    missing = wanted.join(ends, (F.col("head") == F.col("start")) & F.col("end").startswith(F.col("ref")), "left_anti").select("ref")
+    missing = unheld(refs, known.withColumnRenamed("known", "name"))
     out = refs.join(missing, "ref").select(key, F.format_string("[WARNING] Referenced '%s' not found in codebase (may be external)", "ref").alias("issue"))
     for mark, message in (("# ", "Missing main heading"), ("## ", "Missing section headings")):
         out = out.unionByName(docs.where(~F.col(text).contains(mark)).select(key, F.lit(f"[WARNING] {message}").alias("issue")))

@@ -146,16 +146,28 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 
 def weak_components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node), for each node of an edge, whichever way edges lead."""
+    """node, component (its smallest node), for each node of an edge, whichever way edges lead.
+
+    Stars are contracted: each node's larger neighbours are linked to the least node around it, then each node's smaller
+    ones. The number of rounds is logarithmic in the nodes of a component, not its diameter.
+    """
     rounds = Rounds(edges.sparkSession)
-    both = rounds.keep(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    of = rounds.keep(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
+    nodes = rounds.keep(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
+    now = rounds.keep(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+    before = state(now)
     while True:
-        flow = both.join(of.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("new"))
-        moved = rounds.keep(of.join(flow, "node").select("node", F.least("component", "new").alias("component"), (F.col("new") < F.col("component")).alias("changed")), "moved")
-        of = moved.select("node", "component")
-        if not some(moved.where("changed")):
-            return of
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = rounds.keep(large, "large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = rounds.keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "now")
+        after = state(now)
+        if after == before:
+            return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        before = after
 
 
 def break_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -169,24 +181,42 @@ def break_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
 def topological_levels(edges: DataFrame) -> DataFrame:
     """node, level of a graph without cycles: 0 where nothing leads in, else one more than the largest level before.
 
-    One round for each level; a graph with a cycle raises.
+    Runs of nodes with one edge in and one out are contracted first, by doubling, into one edge as long as the run, so a chain
+    takes a logarithmic number of rounds. Then levels grow along the edges, a round for each edge of the longest way that is
+    left, in one table. A graph with a cycle raises.
     """
     rounds = Rounds(edges.sparkSession)
-    left = rounds.keep(edges.select("src", "dst").distinct())
-    waiting = rounds.keep(left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct())
-    out, level = [], 0
-    while some(waiting):
-        free = rounds.keep(waiting.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
-        if not some(free):
+    every = rounds.keep(edges.select("src", "dst").distinct())
+    nodes = rounds.keep(every.select(F.col("src").alias("node")).unionByName(every.select(F.col("dst").alias("node"))).distinct())
+    if some(every.where("src = dst")):
+        raise ValueError("the graph has a cycle")
+    ins, outs = every.groupBy(F.col("dst").alias("node")).count(), every.groupBy(F.col("src").alias("node")).count()
+    single = rounds.keep(ins.where("count = 1").select("node").join(outs.where("count = 1").select("node"), "node"))
+    # Each single node's way back: to a node that is none, by hops that double.
+    back = every.join(single.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("dst").alias("node"), F.col("src").alias("head"), F.lit(1).cast("long").alias("hops"))
+    back = rounds.keep(back.join(single.select(F.col("node").alias("head"), F.lit(True).alias("more")), "head", "left").select("node", "head", "hops", F.coalesce("more", F.lit(False)).alias("more")))
+    n, turn = nodes.count(), 0
+    while some(back.where("more")):
+        turn += 1
+        if 1 << turn > 2 * n:
+            raise ValueError("the graph has a cycle")
+        step = back.select(F.col("node").alias("head"), F.col("head").alias("further"), F.col("hops").alias("plus"), F.col("more").alias("on"))
+        jumped = back.join(step, "head", "left")
+        back = rounds.keep(jumped.select("node", F.coalesce("further", "head").alias("head"), (F.col("hops") + F.coalesce("plus", F.lit(0))).alias("hops"), F.coalesce("on", F.lit(False)).alias("more")), "back")
+    kept = every.join(single.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    lengths = kept.join(back.select(F.col("node").alias("src"), "head", "hops"), "src", "left")
+    ways = rounds.keep(lengths.select(F.coalesce("head", "src").alias("src"), "dst", (F.coalesce("hops", F.lit(0)) + 1).alias("length")).groupBy("src", "dst").agg(F.max("length").alias("length")))
+    level = rounds.keep(nodes.join(single, "node", "left_anti").select("node", F.lit(0).cast("long").alias("level"), F.lit(True).alias("new")))
+    turn = 0
+    while some(level.where("new")):
+        turn += 1
+        if turn > n:
             raise ValueError("the graph has a cycle")
-        out.append(free.withColumn("level", F.lit(level)))
-        left = rounds.keep(left.join(free.withColumnRenamed("node", "src"), "src", "left_anti").select("src", "dst"), "left")
-        waiting = rounds.keep(waiting.join(free, "node", "left_anti"), "waiting")
-        level += 1
-    done = out[0] if out else waiting.withColumn("level", F.lit(0))
-    for part in out[1:]:
-        done = done.unionByName(part)
-    return done
+        moved = ways.join(level.where("new").select(F.col("node").alias("src"), "level"), "src").groupBy(F.col("dst").alias("node")).agg(F.max(F.col("level") + F.col("length")).alias("way"))
+        grown = level.join(moved, "node", "left")
+        level = rounds.keep(grown.select("node", F.greatest("level", F.coalesce("way", "level")).alias("level"), F.coalesce(F.col("way") > F.col("level"), F.lit(False)).alias("new")), "level")
+    on_runs = back.join(level.select(F.col("node").alias("head"), "level"), "head").select("node", (F.col("level") + F.col("hops")).alias("level"))
+    return level.select("node", "level").unionByName(on_runs).select("node", F.col("level").cast("int").alias("level"))
 
 
 def component_levels(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -207,6 +237,20 @@ def topological_order(edges: DataFrame) -> DataFrame:
     return topological_levels(edges).orderBy("level", "node")
 
 
+def dependency_order(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """node, position: every node behind all that it depends on (dst before src), nodes of one cycle together.
+
+    The order is by the longest way down to a node that depends on nothing, then by component and node; it is given by
+    ranges, so no task and no group sees the whole graph. Of the valid orders it is not the depth-first one, which is
+    :func:`dependency_first` for graphs that fit into one task each.
+    """
+    from spindrift.operators.relational import numbered
+
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    levels = component_levels(turned, components).withColumnRenamed("node", "component")
+    return numbered(components.select("node", "component").join(levels, "component"), ["level", "component", "node"]).select("node", "position")
+
+
 def dependency_first(edges: DataFrame, group: str = "graph") -> DataFrame:
     """group, node, position: depth-first order with dependencies (dst) before dependents (src), for each group.
 

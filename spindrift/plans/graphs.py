@@ -80,14 +80,30 @@ def topological_levels(spark, d):
     return of.join(levels.withColumnRenamed("node", "component"), "component").select("node", "level")
 
 
-@R.add("grf_04_dependency_first_order")
+@R.add(
+    "grf_04_dependency_first_order",
+    f"""{v.ctes("calls")}, reach AS (SELECT src AS a, dst AS b FROM calls UNION SELECT r.a, e.dst FROM reach r JOIN calls e ON e.src = r.b),
+    nodes AS (SELECT src AS node FROM calls UNION SELECT dst FROM calls), back AS (SELECT x.a AS node, min(x.b) AS least FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY 1),
+    c AS (SELECT n.node, least(n.node, coalesce(b.least, n.node)) AS component FROM nodes n LEFT JOIN back b USING (node)),
+    e AS (SELECT DISTINCT y.component AS src, x.component AS dst FROM calls JOIN c x ON x.node = src JOIN c y ON y.node = dst WHERE x.component <> y.component),
+    walk AS (SELECT DISTINCT component AS node, 0 AS level FROM c WHERE component NOT IN (SELECT dst FROM e) UNION SELECT dst, level + 1 FROM walk JOIN e ON src = node),
+    l AS (SELECT node AS component, max(level) AS level FROM walk GROUP BY node)
+    SELECT node, row_number() OVER (ORDER BY level, component, node) AS position FROM c JOIN l USING (component)""",
+)
 def dependency_first_order(spark, d):
-    """All calls without their cycles; each component of the graph is one group, so groups are walked in parallel."""
+    """All calls: callees before their callers, cycles together."""
     edges = v.calls(spark, d)
-    of = graph.weak_components(edges)
-    nodes = of.select(F.col("node").alias("src"), F.col("node").alias("dst"))
-    acyclic = graph.break_cycles(edges, graph.strong_components(edges)).unionByName(nodes)
-    return graph.dependency_first(acyclic.join(of.select(F.col("node").alias("src"), F.col("component").alias("graph")), "src"))
+    return graph.dependency_order(edges, graph.strong_components(edges))
+
+
+@R.add("grf_04_depth_first_orders")
+def depth_first_orders(spark, d):
+    """The depth-first order of each repository: the calls between parts of one brand, without their cycles."""
+    s = v.symbols(spark, d).select("id", "file_path")
+    inner = v.calls(spark, d).join(s.select(F.col("id").alias("src"), F.col("file_path").alias("graph")), "src").join(s.select(F.col("id").alias("dst"), F.col("file_path").alias("_of")), "dst").where("graph = _of")
+    acyclic = graph.break_cycles(inner.select("src", "dst"), graph.strong_components(inner))
+    every = acyclic.join(s.select(F.col("id").alias("src"), F.col("file_path").alias("graph")), "src").select("src", "dst", "graph")
+    return graph.dependency_first(every.unionByName(s.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.col("file_path").alias("graph"))))
 
 
 def _reach_sql(depth: int, forward: bool) -> str:

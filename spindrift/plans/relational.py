@@ -8,6 +8,7 @@ from spindrift.functions import misc
 from spindrift.functions.paths import dirname
 from spindrift.functions.text import preview, tokens
 from spindrift.operators import conversations, learning, relational, store
+from spindrift.operators.substrings import unheld
 from spindrift.plans import views as v
 from spindrift.plans.registry import Registry
 from spindrift.streaming import jobs as job_states
@@ -228,8 +229,14 @@ def module_assignments(spark, d):
 @R.add("join_13_unknown_references", f"{v.ctes('symbols')}, r(ref) AS (VALUES ('ring'), ('widget'), ('unheard'), ('red widget'), ('nothing')) SELECT ref FROM r WHERE NOT EXISTS (SELECT 1 FROM symbols WHERE contains(name, ref)) AND length(ref) > 3")
 def unknown_references(spark, d):
     refs = spark.createDataFrame([("ring",), ("widget",), ("unheard",), ("red widget",), ("nothing",)], "ref string").where("length(ref) > 3")
-    names = v.symbols(spark, d).select("name").distinct()
-    return refs.join(names, F.col("name").contains(F.col("ref")), "left_anti")
+    return unheld(refs, v.symbols(spark, d))
+
+
+@R.add("join_13_unknown_words", f"{v.ctes('symbols')}, r AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS ref FROM documents) SELECT ref FROM r WHERE length(ref) > 3 AND NOT EXISTS (SELECT 1 FROM symbols WHERE contains(name, ref))")
+def unknown_words(spark, d):
+    """Every word of the documents that no symbol's name holds."""
+    words = v.table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("ref")).where("length(ref) > 3")
+    return unheld(words, v.symbols(spark, d))
 
 
 @R.add("join_14_progress_overlay", f"""{v.ctes("jobs")}, last AS (SELECT job_id, max_by(status, (ts, seq)) AS status, max_by(progress, (ts, seq)) AS progress FROM jobs GROUP BY job_id), run AS (SELECT * FROM last WHERE status IN ('queued', 'running'))

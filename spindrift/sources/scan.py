@@ -38,17 +38,20 @@ READMES = ("README.md", "README.rst", "README.txt", "README")
 
 def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, max_files: int | None = None) -> DataFrame:
     """path (relative), name, language, size, content of the files below root: a caller's include list replaces the
-    usual one, excludes are added to it. Bytes that are no UTF-8 become replacement characters. With max_files the
+    usual one, excludes are added to it. Files that are left out are not opened. Bytes that are no UTF-8 become replacement characters. With max_files the
     first ones in order of path. Below a root on a file system of this kind of links, what a symbolic link leads to is
     left out, whether within the root or beyond. A directory without files has no row."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    # Files are chosen by their names alone, before any is opened: a filter on the metadata leaves the others out of the plan.
+    base = root.rstrip("/") + "/"
+    named = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    p = F.regexp_replace(F.substring_index(named, base, -1), "^/+", "")
+    raw = raw.where(~excluded(p, [*EXCLUDE, *(exclude or [])]) & included(p, INCLUDE if include is None else include))
     if "://" not in root or root.startswith("file:"):
         raw = raw.where(_unlinked(F.col("path"), root))
-    base = root.rstrip("/") + "/"
     path = F.regexp_replace(F.substring_index("path", base, -1), "^/+", "")
     rows = raw.select(path.alias("path"), F.col("length").alias("size"), "content")
     p = F.col("path")
-    rows = rows.where(~excluded(p, [*EXCLUDE, *(exclude or [])]) & included(p, INCLUDE if include is None else include))
     out = rows.select("path", basename(p).alias("name"), language(p).alias("language"), "size", safe_text(F.col("content")).alias("content"))
     return out if max_files is None else out.orderBy("path").limit(max_files)
 
