@@ -12,6 +12,7 @@ from spindrift.operators.substrings import unheld
 from spindrift.plans import views as v
 from spindrift.plans.registry import Registry
 from spindrift.streaming import jobs as job_states
+from spindrift.streaming import tracker
 
 R = Registry()
 
@@ -386,6 +387,31 @@ def progress_throttle(spark, d):
 def usage_windows(spark, d):
     return job_states.usage_stream(v.usage(spark, d))
 
+def _tracked(spark, d):
+    """The job rows as a stream that comes in three parts."""
+    jobs = v.jobs(spark, d).select("job_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "status", "progress")
+    end = jobs.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("job_id"), F.lit(0).cast("long").alias("seq"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit("end").alias("status"), F.lit(0).alias("progress"))
+    return tracker.replayed(jobs, "ts", end, lambda s: tracker.track(s, 3600, "1 hour", 30 * 86_400)).where("job_id >= 0")
+
+
+@R.add("str_02_streamed_transitions", f"{v.ctes('jobs')} SELECT job_id, seq, previous, status FROM (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY ts, seq) AS previous FROM jobs) WHERE status IS DISTINCT FROM previous")
+def streamed_transitions(spark, d):
+    return _tracked(spark, d).where("is_transition").select("job_id", "seq", "previous", "status")
+
+
+@R.add("str_04_streamed_progress", f"{v.ctes('jobs')} SELECT job_id, seq FROM (SELECT *, lag(progress) OVER w AS p, lag(ts) OVER w AS t FROM jobs WINDOW w AS (PARTITION BY job_id ORDER BY ts, seq)) WHERE t IS NULL OR progress IS DISTINCT FROM p OR ts >= t + INTERVAL 3600 SECONDS")
+def streamed_progress(spark, d):
+    return _tracked(spark, d).where("is_progress").select("job_id", "seq")
+
+
+@R.add("str_06_streamed_windows", f"{v.ctes('usage')} SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS window_start, kind, sum(total_tokens)::BIGINT AS total_tokens, count(*) AS n FROM usage GROUP BY 1, 2")
+def streamed_windows(spark, d):
+    usage = v.usage(spark, d).select(F.col("created_at").cast("timestamp").alias("created_at"), "kind", "total_tokens")
+    end = usage.agg(F.max("created_at").alias("t")).select((F.col("t") + F.expr("INTERVAL 2 DAYS")).alias("created_at"), F.lit("end").alias("kind"), F.lit(0).cast(dict(usage.dtypes)["total_tokens"]).alias("total_tokens"))
+    found = tracker.replayed(usage, "created_at", end, job_states.usage_stream).where("kind <> 'end'")
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 
 @R.add("dat_01_05_iso_dates", f"{v.ctes('repos')} SELECT id, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(created_at, '%Y-%m-%d') AS day FROM repos")
 def iso_dates(spark, d):

@@ -124,3 +124,19 @@ def test_receivers_across_files(spark):
 
 def test_receivers_of_nothing(spark):
     assert _receivers(spark, {"a.java": "class A { void f() { g(); } }"}) == set()
+
+
+def test_parsers_in_sql(spark):
+    from spindrift.sources.parsers import functions
+
+    functions.register(spark)
+    files = [("a/A.java", "java", "class A { void f() { g(); } }"), ("b.py", "python", "import os\ndef f(): pass"), ("c.py", "python", "def ("), ("d.zz", "zz", "?"), ("e.py", "python", None)]
+    spark.createDataFrame([(p, lang, c, 1) for p, lang, c in files], "path string, language string, content string, id int").createOrReplaceTempView("some_files")
+    run = lambda record, how="": [tuple(r) for r in spark.sql(f"SELECT * FROM parse_code(TABLE(some_files){how}, '{record}') ORDER BY path, pos").collect()]
+    assert [(r[0], r[3], r[5]) for r in run("symbol", " PARTITION BY (language)")] == [("a/A.java", "a.A.A", "class"), ("a/A.java", "a.A.A.f", "method"), ("b.py", "b.f", "function")]
+    assert [(r[3], r[4], r[6]) for r in run("relationship")] == [("a.A.A.f", "g", "call")]
+    assert [(r[0], r[4]) for r in run("import", " WITH SINGLE PARTITION")] == [("b.py", "os")]
+    assert [r[0] for r in run("error")] == ["c.py"]
+    for bad in ("SELECT * FROM parse_code(TABLE(some_files), 'none')", "SELECT * FROM parse_code(TABLE(SELECT 1 AS path), 'symbol')"):
+        with pytest.raises(Exception, match="argument is one of|no column"):
+            spark.sql(bad).collect()
