@@ -27,7 +27,7 @@ a task's memory does not grow with it. Triggers with very many different phrases
 documents, and their entries are dealt by phrase and spelled out string by string; the sample only decides how rows are
 dealt and never what is found.
 
-Names are the only place where hashes decide: of 1e18 pairs of different phrases at one trigger, more than 100 TB of text
+Names of phrases in different documents are the only place where hashes decide: of 1e18 pairs of different phrases at one trigger, more than 100 TB of text
 hold, any two share the 80 bits with a probability of about 1e-6. Triggers that share their 48 bits only open each other.
 
 Defined cases: null text is empty; shorter texts lose nothing; a null id counts as the largest; rows with one id never
@@ -426,16 +426,36 @@ def _sorted_dictionary(spelled: DataFrame, buckets: int, doc_buckets: int) -> Da
 
 
 def _removed(text: bytes, whole: np.ndarray, strings: np.ndarray) -> np.ndarray:
-    """Edges of the removed runs: starts and ends in turn."""
+    """Edges of the removed runs: starts and ends in turn.
+
+    A mark is of one place; the other places of the text with the same phrase or string are found by hash and kept if their
+    bytes are those of a mark.
+    """
     step = np.zeros(len(text) + 1, np.int64)
     if len(whole):
         _, name, first, last, _ = phrases(text)
         mark = np.isin(name, name[whole])
+        more = mark.copy()
+        more[whole] = False
+        if more.any():
+            known = {text[a : b + MIN_BYTES] for a, b in zip(first[whole].tolist(), last[whole].tolist(), strict=True)}
+            for k in np.flatnonzero(more).tolist():
+                mark[k] = text[first[k] : last[k] + MIN_BYTES] in known
         np.add.at(step, first[mark], 1)
         np.add.at(step, last[mark] + MIN_BYTES, -1)
     if len(strings):
-        (hashes,) = rolling(np.frombuffer(text, np.uint8), (MIN_BYTES,))
-        at = np.flatnonzero(np.isin(hashes, hashes[strings]))
+        raw = np.frombuffer(text, np.uint8)
+        (hashes,) = rolling(raw, (MIN_BYTES,))
+        marked, where = np.unique(hashes[strings], return_index=True)
+        at = np.flatnonzero(np.isin(hashes, marked))
+        one = strings[where][np.searchsorted(marked, hashes[at])]  # a marked string with this hash
+        same = np.ones(len(at), bool)
+        for k in range(MIN_BYTES):
+            same &= raw[at + k] == raw[one + k]
+        if not same.all():  # another hash collides with that one
+            known = {text[s : s + MIN_BYTES] for s in strings.tolist()}
+            same[~same] = [text[p : p + MIN_BYTES] in known for p in at[~same].tolist()]
+        at = at[same]
         np.add.at(step, at, 1)
         np.add.at(step, at + MIN_BYTES, -1)
     covered = np.concatenate(([False], np.cumsum(step[:-1]) > 0, [False]))

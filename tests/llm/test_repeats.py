@@ -140,3 +140,34 @@ def test_empty(empty):
 def test_short(spark, n):
     rows = [(1, "q" * n), (2, "q" * n)]
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_equal_hashes_of_other_bytes_remove_nothing(monkeypatch):
+    """Strings and phrases whose hashes collide, within a text, go only where their bytes are those of a mark."""
+    import random
+
+    rng = random.Random(8)
+    text = "".join(rng.choice("ab ") for _ in range(3000)).encode()
+    text += text[700:900] + b"x" + text[700:760]
+    strings = np.array([705, 710, 1500])
+    real, names = repeats.rolling, repeats.phrases
+    want_strings = {text[s : s + 50] for s in strings.tolist()}
+    covered = np.zeros(len(text), bool)
+    for p in range(len(text) - 49):
+        if text[p : p + 50] in want_strings:
+            covered[p : p + 50] = True
+    _, name, first, last, _ = names(text)
+    whole = np.array([3, 60])
+    want_phrases = {text[first[k] : last[k] + 50] for k in whole.tolist()}
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        if text[a : b + 50] in want_phrases:
+            covered[a : b + 50] = True
+    want = np.flatnonzero(np.diff(np.concatenate(([0], covered.astype(np.int8), [0])))).tolist()
+
+    def coarse(raw, sizes):
+        return [h & np.uint64(7) if s == repeats.MIN_BYTES else h for h, s in zip(real(raw, sizes), sizes, strict=True)]
+
+    assert repeats._removed(text, whole, strings).tolist() == want
+    monkeypatch.setattr(repeats, "phrases", lambda t: (lambda x: (x[0], x[1] & np.uint64(3), *x[2:]))(names(t)))
+    monkeypatch.setattr(repeats, "rolling", coarse)
+    assert repeats._removed(text, whole, strings).tolist() == want
