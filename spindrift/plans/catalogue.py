@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from spindrift.plans import code, content, graphs, relational, reports, services
+from spindrift.plans import code, content, graphs, relational, reports, services, sources, texts
 from spindrift.plans.registry import Query
 
-_PARTS = (relational.R, graphs.R, content.R, reports.R, services.R, code.R)
+_PARTS = (relational.R, graphs.R, content.R, reports.R, services.R, code.R, sources.R, texts.R)
 
 
 def queries() -> dict[str, Query]:

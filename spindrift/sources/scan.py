@@ -157,9 +157,19 @@ def write_components(components: DataFrame, path: str) -> None:
     components.write.mode("overwrite").json(path)
 
 
-def write_index(vectors: DataFrame, path: str) -> None:
-    """A vector table, one folder for each repository."""
-    vectors.write.mode("overwrite").partitionBy("repo_id").parquet(path)
+def write_index(vectors: DataFrame, path: str, rows: DataFrame | None = None) -> None:
+    """A vector table, one folder for each repository; with rows (repo_id, id and what is known of each vector) these beside
+    it as JSON lines, for :func:`read_index`."""
+    vectors.write.mode("overwrite").partitionBy("repo_id").parquet(path if rows is None else f"{path}/vectors")
+    if rows is not None:
+        rows.write.mode("overwrite").partitionBy("repo_id").json(f"{path}/rows")
+
+
+def read_index(spark: SparkSession, path: str, repo_id, schema: str) -> DataFrame:
+    """The vectors of one repository with their rows; schema is that of the rows without repo_id. Vectors without a row, and
+    lines that are no JSON, are left out."""
+    rows = spark.read.schema(f"{schema}, repo_id string").option("mode", "DROPMALFORMED").json(f"{path}/rows")
+    return read_repo(spark, f"{path}/vectors", repo_id).drop("repo_id").join(rows.where(F.col("repo_id") == str(repo_id)).drop("repo_id"), "id")
 
 
 def read_repo(spark: SparkSession, path: str, repo_id) -> DataFrame:
