@@ -26,6 +26,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -51,9 +52,11 @@ _SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path in it. Paths are as Spark writes them: spaces and percent signs are signs."""
     scheme, mark, rest = path.partition("://")
-    path = f"{_SCHEMES.get(scheme, scheme)}{mark}{rest}"
-    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    if not mark or scheme == "file":
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith(("file:", "/")) else path
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{quote(rest)}")
 
 
 def _base32(digest: str) -> str:

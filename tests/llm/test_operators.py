@@ -418,3 +418,12 @@ def test_secret_candidates_touch_no_base_span():
     base = secrets.base_spans(text)
     want = [m.span() for m in secrets._RUN.finditer(text) if secrets.infer_encoding(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base)]
     assert [c[:2] for c in secrets.candidates(text, base)] == want and len(want) == 2
+
+
+@pytest.mark.parametrize("name", ["a b", "a%20b", "x+y", "ü"])
+def test_archives_lie_where_the_path_says(spark, tmp_path, name):
+    pages = spark.createDataFrame([(1, "http://a.fr/", "<p>x</p>"), (2, None, None)], "page_id long, url string, html string")
+    for root in (f"{tmp_path}/{name}/plain", f"file:{tmp_path}/{name}/short", f"file://{tmp_path}/{name}/long"):
+        warc.write_archives(pages, root).count()
+    for kind in ("plain", "short", "long"):
+        assert list((tmp_path / name / kind).glob("*.warc.gz")), kind
