@@ -68,26 +68,33 @@ def is_critical(name: Column, code: Column | None = None) -> Column:
     return out if code is None else out | F.coalesce(any_part(F.lower(code), EXPORTS), F.lit(False))
 
 
+# What the fallbacks look for in names and paths.
+FALLBACK_NAMES = ("main", "app", "server", "start", "index")
+FALLBACK_COMMON = ("main", "app", "index")
+FALLBACK_EXTENSIONS = (".py", ".js", ".go", ".rs")
+FALLBACK_DIRECTORIES = ("src/", "lib/", "app/", "pkg/", "core/")
+TEST_PARTS = ("test", "spec", "_test")
+
+
 def fallback_entry_points(files: DataFrame, k: int = 5) -> DataFrame:
     """path, rank of files that look like entry points or, if there are none, that lie at or just below the root; lowest
     score first, where each slash, a common name and a common extension lower it. files: path, name, pos."""
-    name, path = F.lower("name"), F.lower("path")
-    like = any_part(name, ("main", "app", "server", "start", "index")) | is_entry_path(F.col("path"))
+    name = F.lower("name")
+    like = any_part(name, FALLBACK_NAMES) | is_entry_path(F.col("path"))
     slashes = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
-    score = -slashes - F.when(any_part(name, ("main", "app", "index")), 10).otherwise(0) - F.when(any_part(name, (".py", ".js", ".go", ".rs")), 5).otherwise(0)
+    score = -slashes - F.when(any_part(name, FALLBACK_COMMON), 10).otherwise(0) - F.when(any_part(name, FALLBACK_EXTENSIONS), 5).otherwise(0)
     marked = files.select("path", "pos", like.alias("like"), (slashes <= 1).alias("near"), score.alias("score"))
     has = marked.agg(F.coalesce(F.max("like"), F.lit(False)).alias("has"))
     chosen = marked.crossJoin(F.broadcast(has)).where(F.when(F.col("has"), F.col("like")).otherwise(F.col("near")))  # one row
     order = ["score", "pos", "path"]
-    del path
     return chosen.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(W.orderBy(*order))).select("path", "rank")
 
 
 def fallback_connected(files: DataFrame, k: int = 10) -> DataFrame:
     """path, rank: files of source directories in order, then other source files that are no tests, up to k."""
     name, path = F.lower("name"), F.lower("path")
-    first = any_part(path, ("src/", "lib/", "app/", "pkg/", "core/"))
-    second = any_part(name, ENTRY_EXTENSIONS) & ~any_part(name, ("test", "spec", "_test"))
+    first = any_part(path, FALLBACK_DIRECTORIES)
+    second = any_part(name, ENTRY_EXTENSIONS) & ~any_part(name, TEST_PARTS)
     order = ["step", "pos", "path"]
     ranked = files.select("path", "pos", F.when(first, 0).when(second, 1).alias("step")).where(F.col("step").isNotNull())
     return ranked.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(W.orderBy(*order))).select("path", "rank")

@@ -92,9 +92,65 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(keep.withColumnRenamed("node", "src"), "src", "left_semi").join(keep.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
 
 
+def _single(rounds: Rounds, edges: DataFrame) -> DataFrame:
+    """Nodes with one edge in and one out; edges are distinct."""
+    ins, outs = edges.groupBy(F.col("dst").alias("node")).count(), edges.groupBy(F.col("src").alias("node")).count()
+    return rounds.keep(ins.where("count = 1").select("node").join(outs.where("count = 1").select("node"), "node"))
+
+
+def _run_ends(rounds: Rounds, edges: DataFrame, single: DataFrame, n: int, forward: bool) -> DataFrame:
+    """node, end, hops, least, more: for each single node the first node that is none on its only way, how far that is, and
+    the least single node up to it, in rounds whose hops double. On a ring of single nodes there is no end: more stays, and
+    least is that of the ring."""
+    here, there = ("src", "dst") if forward else ("dst", "src")
+    way = edges.join(single.withColumnRenamed("node", here), here, "left_semi").select(F.col(here).alias("node"), F.col(there).alias("end"))
+    ends = single.select(F.col("node").alias("end"), F.lit(True).alias("more"))
+    way = rounds.keep(way.join(ends, "end", "left").select("node", "end", F.lit(1).cast("long").alias("hops"), F.col("node").alias("least"), F.coalesce("more", F.lit(False)).alias("more")))
+    turn = 0
+    while some(way.where("more")) and 1 << turn <= 2 * n:
+        turn += 1
+        step = way.select(F.col("node").alias("end"), F.col("end").alias("_end"), F.col("hops").alias("_hops"), F.col("least").alias("_least"), F.col("more").alias("_more"))
+        jumped = way.join(step, "end", "left").select(
+            "node", F.coalesce("_end", "end").alias("end"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.least("least", "_least").alias("least"), F.coalesce("_more", F.lit(False)).alias("more")
+        )
+        way = rounds.keep(jumped, f"way{forward}")
+    return way
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node), for each node of an edge.
 
+    Runs of nodes with one edge in and one out are contracted first, by doubling: a run is in a component if both of its ends
+    are in it, and a ring of such nodes is one. The rest is coloured. So neither a long chain nor a long cycle without
+    branches takes more than a logarithmic number of rounds.
+    """
+    rounds = Rounds(edges.sparkSession)
+    every = rounds.keep(edges.select("src", "dst").distinct())
+    nodes = rounds.keep(every.select(F.col("src").alias("node")).unionByName(every.select(F.col("dst").alias("node"))).distinct())
+    proper = rounds.keep(every.where("src <> dst"))
+    single = _single(rounds, proper)
+    if not some(single):
+        return _coloured(every)
+    n = nodes.count()
+    back, on = (_run_ends(rounds, proper, single, n, forward) for forward in (False, True))
+    last = back.where("NOT more").select(F.col("node").alias("src"), F.col("end").alias("head"))
+    kept = proper.join(single.withColumnRenamed("node", "dst"), "dst", "left_anti").join(last, "src", "left")
+    core = kept.select(F.coalesce("head", "src").alias("src"), "dst").distinct()
+    found = rounds.keep(_coloured(core))
+    of = lambda end, name: found.select(F.col("node").alias(end), F.col("component").alias(name))
+    runs = back.where("NOT more").select("node", F.col("end").alias("head")).join(on.select("node", F.col("end").alias("tail")), "node")
+    runs = runs.join(of("head", "one"), "head", "left").join(of("tail", "two"), "tail", "left")
+    on_runs = runs.select("node", F.when(F.col("one") == F.col("two"), F.col("one")).otherwise(F.col("node")).alias("component"))
+    rings = back.where("more").select("node", F.col("least").alias("component"))
+    known = rounds.keep(found.select("node", "component").unionByName(on_runs).unionByName(rings))
+    names = known.groupBy("component").agg(F.min("node").alias("least"))
+    named = known.join(names, "component").select("node", F.col("least").alias("component"))
+    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """The components of a graph by colours.
+
     Forward and backward colouring: nodes that have no way in or out within their colour are components of their own
     and go first; then the smallest label flows forward, each colour's root takes the nodes from which it can be
     reached within the colour, and the rest is coloured anew.
@@ -190,19 +246,11 @@ def topological_levels(edges: DataFrame) -> DataFrame:
     nodes = rounds.keep(every.select(F.col("src").alias("node")).unionByName(every.select(F.col("dst").alias("node"))).distinct())
     if some(every.where("src = dst")):
         raise ValueError("the graph has a cycle")
-    ins, outs = every.groupBy(F.col("dst").alias("node")).count(), every.groupBy(F.col("src").alias("node")).count()
-    single = rounds.keep(ins.where("count = 1").select("node").join(outs.where("count = 1").select("node"), "node"))
-    # Each single node's way back: to a node that is none, by hops that double.
-    back = every.join(single.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("dst").alias("node"), F.col("src").alias("head"), F.lit(1).cast("long").alias("hops"))
-    back = rounds.keep(back.join(single.select(F.col("node").alias("head"), F.lit(True).alias("more")), "head", "left").select("node", "head", "hops", F.coalesce("more", F.lit(False)).alias("more")))
-    n, turn = nodes.count(), 0
-    while some(back.where("more")):
-        turn += 1
-        if 1 << turn > 2 * n:
-            raise ValueError("the graph has a cycle")
-        step = back.select(F.col("node").alias("head"), F.col("head").alias("further"), F.col("hops").alias("plus"), F.col("more").alias("on"))
-        jumped = back.join(step, "head", "left")
-        back = rounds.keep(jumped.select("node", F.coalesce("further", "head").alias("head"), (F.col("hops") + F.coalesce("plus", F.lit(0))).alias("hops"), F.coalesce("on", F.lit(False)).alias("more")), "back")
+    n = nodes.count()
+    single = _single(rounds, every)
+    back = _run_ends(rounds, every, single, n, forward=False).withColumnRenamed("end", "head")
+    if some(back.where("more")):
+        raise ValueError("the graph has a cycle")
     kept = every.join(single.withColumnRenamed("node", "dst"), "dst", "left_anti")
     lengths = kept.join(back.select(F.col("node").alias("src"), "head", "hops"), "src", "left")
     ways = rounds.keep(lengths.select(F.coalesce("head", "src").alias("src"), "dst", (F.coalesce("hops", F.lit(0)) + 1).alias("length")).groupBy("src", "dst").agg(F.max("length").alias("length")))

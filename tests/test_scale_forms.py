@@ -120,3 +120,36 @@ def _big(spark, tmp_path):
     (tmp_path / "big").mkdir()
     (tmp_path / "big" / "big.py").write_bytes(b"x" * 100)
     return scan.scan(spark, str(tmp_path / "big"))
+
+
+def _strong(edges):
+    nodes = {n for e in edges for n in e}
+    reach = {n: {n} for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            reach[a] |= reach[b]
+    return {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_strong_components_with_runs_and_rings(spark, seed):
+    rng = random.Random(seed)
+    edges = {(rng.randrange(14), rng.randrange(14)) for _ in range(rng.randrange(4, 22))}
+    fresh = 100
+    for a, b in sorted(edges)[::2]:  # runs of nodes with one edge in and one out, in place of some edges
+        edges.discard((a, b))
+        way = [a, *range(fresh, fresh + rng.randrange(1, 6)), b]
+        fresh += 10
+        edges |= set(zip(way, way[1:], strict=False))
+    edges |= {(500, 501), (501, 502), (502, 500), (600, 601), (601, 600), (700, 701), (701, 702)}
+    df = spark.createDataFrame(sorted(edges) * 2, "src long, dst long")
+    assert {r["node"]: r["component"] for r in graph.strong_components(df).collect()} == _strong(edges)
+
+
+@pytest.mark.parametrize("ring", [False, True])
+def test_strong_components_of_10000_in_a_row(spark, kept, ring):
+    n = 10_000
+    edges = spark.range(n if ring else n - 1).select(((F.col("id") * 7) % n).alias("src"), (((F.col("id") + 1) * 7) % n).alias("dst"))
+    found = graph.strong_components(edges)
+    assert found.count() == n and found.select("component").distinct().count() == (1 if ring else n)
+    assert kept[0] <= 60
