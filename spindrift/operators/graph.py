@@ -286,17 +286,17 @@ def topological_order(edges: DataFrame) -> DataFrame:
 
 
 def dependency_order(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """node, position: every node behind all that it depends on (dst before src), nodes of one cycle together.
+    """node, position: every node behind all that it depends on (dst before src), nodes of one cycle together, the largest of
+    them first.
 
-    The order is by the longest way down to a node that depends on nothing, then by component and node; it is given by
-    ranges, so no task and no group sees the whole graph. Of the valid orders it is not the depth-first one, which is
+    The order is by the longest way down to a node that depends on nothing, then by component; it is given by ranges, so no task and no group sees the whole graph. Of the valid orders it is not the depth-first one, which is
     :func:`dependency_first` for graphs that fit into one task each.
     """
     from spindrift.operators.relational import numbered
 
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     levels = component_levels(turned, components).withColumnRenamed("node", "component")
-    return numbered(components.select("node", "component").join(levels, "component"), ["level", "component", "node"]).select("node", "position")
+    return numbered(components.select("node", "component").join(levels, "component"), [F.col("level"), F.col("component"), F.desc("node")]).select("node", "position")
 
 
 def dependency_first(edges: DataFrame, group: str = "graph") -> DataFrame:

@@ -87,13 +87,16 @@ def topological_levels(spark, d):
     c AS (SELECT n.node, least(n.node, coalesce(b.least, n.node)) AS component FROM nodes n LEFT JOIN back b USING (node)),
     e AS (SELECT DISTINCT y.component AS src, x.component AS dst FROM calls JOIN c x ON x.node = src JOIN c y ON y.node = dst WHERE x.component <> y.component),
     walk AS (SELECT DISTINCT component AS node, 0 AS level FROM c WHERE component NOT IN (SELECT dst FROM e) UNION SELECT dst, level + 1 FROM walk JOIN e ON src = node),
-    l AS (SELECT node AS component, max(level) AS level FROM walk GROUP BY node)
-    SELECT node, row_number() OVER (ORDER BY level, component, node) AS position FROM c JOIN l USING (component)""",
+    l AS (SELECT node AS component, max(level) AS level FROM walk GROUP BY node),
+    either AS (SELECT src AS a, dst AS b FROM calls UNION SELECT dst, src FROM calls), around AS (SELECT a AS node, a AS least FROM either UNION SELECT e.b, r.least FROM around r JOIN either e ON e.a = r.node WHERE r.least < e.b),
+    g AS (SELECT node, min(least) AS graph FROM around GROUP BY node)
+    SELECT graph, node, row_number() OVER (ORDER BY level, component, node DESC) AS position FROM c JOIN l USING (component) JOIN g USING (node)""",
 )
 def dependency_first_order(spark, d):
-    """All calls: callees before their callers, cycles together."""
+    """All calls: callees before their callers, cycles together; graph is the weak component."""
     edges = v.calls(spark, d)
-    return graph.dependency_order(edges, graph.strong_components(edges))
+    order = graph.dependency_order(edges, graph.strong_components(edges))
+    return order.join(graph.weak_components(edges).withColumnRenamed("component", "graph"), "node").select("graph", "node", "position")
 
 
 @R.add("grf_04_depth_first_orders")
