@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.operators.substrings import unheld
+from spindrift.operators.substrings import shuffled, unheld
 
 CHUNK_CHARS = 1200
 #: What a line break is when lines are counted as an editor does.
@@ -156,7 +156,7 @@ def doc_issues(docs: DataFrame, key: str, text: str, names: DataFrame) -> DataFr
     parts = F.split("name", r"\.")
     known = names.select(F.explode(F.array("name", F.element_at(parts, -1), F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), F.lit(2)), "."))).alias("known")).distinct()
     missing = unheld(refs, known.withColumnRenamed("known", "name"))
-    out = refs.join(missing, "ref").select(key, F.format_string("[WARNING] Referenced '%s' not found in codebase (may be external)", "ref").alias("issue"))
+    out = refs.join(shuffled(missing), "ref").select(key, F.format_string("[WARNING] Referenced '%s' not found in codebase (may be external)", "ref").alias("issue"))
     for mark, message in (("# ", "Missing main heading"), ("## ", "Missing section headings")):
         out = out.unionByName(docs.where(~F.col(text).contains(mark)).select(key, F.lit(f"[WARNING] {message}").alias("issue")))
     return out
