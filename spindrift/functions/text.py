@@ -121,6 +121,9 @@ def link_targets(doc: Column) -> Column:
 
 def fenced_blocks(docs: DataFrame, key: str, text: str, kind: str = "mermaid") -> DataFrame:
     """key, start_line, content of fenced blocks of a kind that are not empty; start_line is that of the fence."""
+    from spindrift.sources.parsers.table import bounded_batches
+
+    bounded_batches(docs.sparkSession)  # whole texts: the default is 10,000 of them at a time
     schema = f"{key} {dict(docs.dtypes)[key]}, start_line int, content string"
 
     def run(batches):
