@@ -33,29 +33,29 @@ class JobTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ts_us long, seq long", "status string, progress int")
+        self.waiting = handle.getListState("waiting", "ts_us long, seq long, status string, progress int")
         self.last = handle.getValueState("last", "ts_us long, status string, progress int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = set()
-        for frame in rows:
-            for ts, seq, status, progress in zip(frame["ts_us"], frame["seq"], frame["status"], frame["progress"], strict=True):
-                self.waiting.updateValue((int(ts), int(seq)), (status, None if pd.isna(progress) else int(progress)))
-                times.add(-(-int(ts) // 1000))
-        for at in times:
-            self.handle.registerTimer(at)
+        came = [(int(ts), int(seq), status, None if pd.isna(progress) else int(progress)) for f in rows for ts, seq, status, progress in zip(f["ts_us"], f["seq"], f["status"], f["progress"], strict=True)]
+        if came:
+            self.waiting.appendList(came)
+            self.handle.registerTimer(-(-min(x[0] for x in came) // 1000))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """All that the watermark has passed; one timer for a job is enough, as the next is set for the first row that waits."""
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        ready = sorted((k, v) for k, v in self.waiting.iterator() if k[0] <= passed)
+        waiting = {(ts, seq): (status, progress) for ts, seq, status, progress in self.waiting.get()} if self.waiting.exists() else {}
+        ready = sorted(k for k in waiting if k[0] <= passed)
         last = tuple(self.last.get()) if self.last.exists() else None
         if not ready:
             if last and expiredTimerInfo.getExpiryTimeInMs() >= last[0] // 1000 + self.keep_ms:
                 self.last.clear()  # a row that waits is later than that, and so of a new job
             return
         out = []
-        for (ts, seq), (status, progress) in ready:
+        for ts, seq in ready:
+            status, progress = waiting.pop((ts, seq))
             if last and ts >= last[0] + self.keep_ms * 1000:
                 last = None
             changed = status != (last[1] if last else None)
@@ -63,7 +63,11 @@ class JobTracker(StatefulProcessor):
             if changed or told:
                 out.append((key[0], seq, ts, last[1] if last else None, status, progress, changed, told))
             last = (ts, status, progress)
-            self.waiting.removeKey((ts, seq))
+        if waiting:
+            self.waiting.put([(*k, *x) for k, x in waiting.items()])
+            self.handle.registerTimer(-(-min(waiting)[0] // 1000))
+        else:
+            self.waiting.clear()
         self.last.update(last)
         self.handle.registerTimer(last[0] // 1000 + self.keep_ms)
         if out:
