@@ -13,6 +13,8 @@ from spindrift.sources import scan
 from spindrift.sources.parsers import table as parsers
 
 R = Registry()
+#: Files that are written to one folder.
+FILES = 1000
 _SUFFIX = "CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.java' ELSE '.zzz' END"
 
 
@@ -23,12 +25,15 @@ def _suffixed(spark, d):
 
 @R.add("src_01_09_scan", "SELECT doc_id, octet_length(encode(text)) + 1 AS size, md5(text || chr(10)) AS content_md5 FROM documents")
 def scanned(spark, d):
-    """Every document as a file of its own, in a folder for its id, read back by a scan."""
+    """Every document as a file of its own, in folders of bounded size, read back by a scan."""
     root = Rounds(spark).path()
-    docs = v.table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
-    docs.write.partitionBy("doc_id").text(root)
+    # Rows are numbered before they move, so a task that runs again writes the same names.
+    docs = v.table(spark, d, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    docs = docs.withColumn("folder", F.floor(F.col("row") / FILES)).repartition("folder")
+    path = F.concat_ws("/", "folder", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("."), F.col("row").cast("string"), F.lit(".txt")))
+    scan.write_files(docs.select(path.alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("content")), root)
     found = scan.scan(spark, root)
-    return found.select(F.regexp_extract("path", r"doc_id=(-?\d+)/", 1).cast("long").alias("doc_id"), "size", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+    return found.select(F.regexp_extract("path", r"/(-?\d*)\.", 1).try_cast("long").alias("doc_id"), "size", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
 @R.add("src_04_05_08_code_files", f"{v.ctes('files')} SELECT path, language FROM (SELECT path || {_SUFFIX} AS path, CASE doc_id % 3 WHEN 0 THEN 'python' ELSE 'java' END AS language FROM files WHERE doc_id % 3 < 2) ORDER BY path LIMIT 25")

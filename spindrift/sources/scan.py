@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ INCLUDE = [
 #: Names that browsing leaves out (fixed values), beside those that start with a dot.
 HIDDEN = ("__pycache__", "node_modules", "*.pyc", "*.pyo", "*.class", "dist", "build", "__MACOSX", "venv", "env")
 READMES = ("README.md", "README.rst", "README.txt", "README")
+#: Names that Hadoop has for stores that pyarrow calls otherwise.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 
 
 def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, max_files: int | None = None) -> DataFrame:
@@ -56,6 +59,32 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
     return out if max_files is None else out.orderBy("path").limit(max_files)
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Each row a file of its own below root: path (relative, distinct), content (a text, null as empty). Tasks write the files where they
+    stay, through pyarrow's file systems: no folder for each, and nothing that the driver moves. A task that runs again writes
+    the same files again."""
+
+    def write(rows):
+        import pyarrow.fs as pafs
+
+        scheme, mark, rest = root.partition("://")
+        if not mark or scheme == "file":
+            store, base = pafs.LocalFileSystem(), re.sub("^/+", "/", root.removeprefix("file:"))
+        else:
+            store, base = pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{quote(rest)}")
+        made = set()
+        for path, content in rows:
+            whole = f"{base.rstrip('/')}/{path}"
+            folder = os.path.dirname(whole)
+            if folder not in made:
+                store.create_dir(folder, recursive=True)
+                made.add(folder)
+            with store.open_output_stream(whole, compression=None) as out:
+                out.write((content or "").encode())
+
+    files.select("path", "content").foreachPartition(write)
+
+
 def _unlinked(path: Column, root: str) -> Column:
     """Whether no part of a file's path below the root is a symbolic link: resolved, it is where it was found."""
     plain = re.compile("^file:/+")
