@@ -21,6 +21,8 @@ VALID, ADDED = (*OOP, "annotation"), ("function", "async_function")
 BAD_PARTS, EXEMPT_PART = ("error", "exception", "failed", "invalid"), "exception"
 ENTRY_NAMES = ("main", "__main__", "run", "start", "execute")
 LEAF_LIMIT = 400
+#: One in so many is rare: what rare nodes or edges would save does not pay for a pass over all edges, unless these are few.
+RARE, SMALL = 16, 1_000_000
 
 
 class Rounds:
@@ -117,26 +119,37 @@ def _run_ends(rounds: Rounds, edges: DataFrame, single: DataFrame, n: int, forwa
     return way
 
 
+def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """src, dst: distinct edges between different components, as their names."""
+    of = components.select("node", "component")
+    lifted = edges.join(of.select(F.col("node").alias("src"), F.col("component").alias("c1")), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst")
+    return lifted.where("c1 <> c2").select(F.col("c1").alias("src"), F.col("c2").alias("dst")).distinct()
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node), for each node of an edge.
 
-    Runs of nodes with one edge in and one out are contracted first, by doubling: a run is in a component if both of its ends
-    are in it, and a ring of such nodes is one. The rest is coloured. So neither a long chain nor a long cycle without
-    branches takes more than a logarithmic number of rounds.
+    Runs of nodes with one edge in and one out are contracted first, by doubling, where such nodes are not rare: a run is in a
+    component if both of its ends are in it, and a ring of such nodes is one. The rest is coloured. So neither a long chain nor a
+    long cycle without branches takes more than a logarithmic number of rounds.
     """
     rounds = Rounds(edges.sparkSession)
     every = rounds.keep(edges.select("src", "dst").distinct())
-    nodes = rounds.keep(every.select(F.col("src").alias("node")).unionByName(every.select(F.col("dst").alias("node"))).distinct())
-    proper = rounds.keep(every.where("src <> dst"))
-    single = _single(rounds, proper)
-    if not some(single):
-        return _coloured(every)
+    ends = lambda here: every.groupBy(F.col(here).alias("node")).agg(F.count_if(F.col("src") != F.col("dst")).alias("n"))
+    ins, outs = ends("dst").withColumnRenamed("n", "n_in"), ends("src").withColumnRenamed("n", "n_out")
+    counted = rounds.keep(ins.join(outs, "node", "full"))
+    nodes = counted.select("node")
+    single = rounds.keep(counted.where("n_in = 1 AND n_out = 1").select("node"))
+    proper = every.where("src <> dst")
     n = nodes.count()
+    if RARE * single.count() <= n:
+        return _coloured(proper, nodes)
     back, on = (_run_ends(rounds, proper, single, n, forward) for forward in (False, True))
     last = back.where("NOT more").select(F.col("node").alias("src"), F.col("end").alias("head"))
     kept = proper.join(single.withColumnRenamed("node", "dst"), "dst", "left_anti").join(last, "src", "left")
-    core = kept.select(F.coalesce("head", "src").alias("src"), "dst").distinct()
-    found = rounds.keep(_coloured(core))
+    core = rounds.keep(kept.select(F.coalesce("head", "src").alias("src"), "dst").distinct())
+    ends = core.select(F.col("src").alias("node")).unionByName(core.select(F.col("dst").alias("node"))).distinct()
+    found = rounds.keep(_coloured(core.where("src <> dst"), ends))
     of = lambda end, name: found.select(F.col("node").alias(end), F.col("component").alias(name))
     runs = back.where("NOT more").select("node", F.col("end").alias("head")).join(on.select("node", F.col("end").alias("tail")), "node")
     runs = runs.join(of("head", "one"), "head", "left").join(of("tail", "two"), "tail", "left")
@@ -148,28 +161,25 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _coloured(edges: DataFrame) -> DataFrame:
-    """The components of a graph by colours.
+def _coloured(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The components of a graph by colours. edges: distinct, between different nodes, written; nodes: all of the graph.
 
     Forward and backward colouring: nodes that have no way in or out within their colour are components of their own
-    and go first; then the smallest label flows forward, each colour's root takes the nodes from which it can be
-    reached within the colour, and the rest is coloured anew.
+    and go first, as long as many do; then the smallest label flows forward, each colour's root takes the nodes from which it
+    can be reached within the colour, and the rest is coloured anew.
     """
     rounds = Rounds(edges.sparkSession)
-    every = rounds.keep(edges.select("src", "dst").distinct())
-    nodes = rounds.keep(every.select(F.col("src").alias("node")).unionByName(every.select(F.col("dst").alias("node"))).distinct())
-    edges = rounds.keep(every.where("src <> dst"))
     done: list[DataFrame] = []
-    while some(edges):
+    left = edges.count()
+    while left:
         # Trim: a node without edges in or out is alone.
         while True:
-            inner = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            inner = rounds.keep(inner, "inner")
-            same = inner.count() == edges.count()
-            edges = inner
-            if same:
+            into, out_of = rounds.keep(edges.select(F.col("dst").alias("src")).distinct(), "into"), rounds.keep(edges.select(F.col("src").alias("dst")).distinct(), "out")
+            before, edges = left, rounds.keep(edges.join(into, "src", "left_semi").join(out_of, "dst", "left_semi").select("src", "dst"), "inner")
+            left = edges.count()
+            if left == before or (left > SMALL and RARE * (before - left) < before):
                 break
-        if not some(edges):
+        if not left:
             break
         live = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
         colour = rounds.keep(live.withColumn("colour", F.col("node")))
@@ -179,6 +189,10 @@ def _coloured(edges: DataFrame) -> DataFrame:
             colour = moved.select("node", "colour")
             if not some(moved.where("changed")):
                 break
+            # What reaches a colour's node reaches all of that colour: ways double, and only the colours in use are looked up.
+            used = colour.select(F.col("colour").alias("node")).distinct()
+            lower = colour.where("colour < node").join(used, "node", "left_semi").select(F.col("node").alias("colour"), F.col("colour").alias("lower"))
+            colour = rounds.keep(colour.join(lower, "colour", "left").select("node", F.coalesce("lower", "colour").alias("colour")), "lowered")
         back = edges.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2").select("src", "dst", F.col("c1").alias("colour"))
         back = rounds.keep(back)
         reached = rounds.keep(colour.where("node = colour"))
@@ -190,6 +204,7 @@ def _coloured(edges: DataFrame) -> DataFrame:
         done.append(reached.select("node", F.col("colour").alias("component")))
         gone = reached.select("node")
         edges = rounds.keep(edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        left = edges.count()
     if not done:
         return nodes.select("node", F.col("node").alias("component"))
     found = done[0]
@@ -273,11 +288,9 @@ def component_levels(edges: DataFrame, components: DataFrame) -> DataFrame:
     A component without edges to others has level 0.
     """
     rounds = Rounds(edges.sparkSession)
-    of = components.select("node", "component")
-    lifted = edges.join(of.select(F.col("node").alias("src"), F.col("component").alias("c1")), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst")
-    lifted = rounds.keep(lifted.where("c1 <> c2").select(F.col("c1").alias("src"), F.col("c2").alias("dst")).distinct())
+    lifted = rounds.keep(condensed(edges, components))
     levels = topological_levels(lifted)
-    return of.select(F.col("component").alias("node")).distinct().join(levels, "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"))
+    return components.select(F.col("component").alias("node")).distinct().join(levels, "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"))
 
 
 def topological_order(edges: DataFrame) -> DataFrame:

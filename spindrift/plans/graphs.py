@@ -56,10 +56,15 @@ def strong_components(spark, d):
     return graph.strong_components(v.calls(spark, d))
 
 
+def _kept_calls(spark, d):
+    """The calls as a written table, for queries that read them several times."""
+    return graph.Rounds(spark).keep(v.calls(spark, d))
+
+
 @R.add("grf_02_cycle_breaking", f"""{v.ctes("calls")}, reach AS (SELECT src AS a, dst AS b FROM calls UNION SELECT r.a, e.dst FROM reach r JOIN calls e ON e.src = r.b)
     SELECT src, dst FROM calls WHERE src < dst OR NOT EXISTS (SELECT 1 FROM reach WHERE a = dst AND b = src)""")
 def cycle_breaking(spark, d):
-    edges = v.calls(spark, d)
+    edges = _kept_calls(spark, d)
     return graph.break_cycles(edges, graph.strong_components(edges))
 
 
@@ -74,8 +79,8 @@ def cycle_breaking(spark, d):
 )
 def topological_levels(spark, d):
     """Of all calls: the level of each node's component in the graph of components, which has no cycle."""
-    edges = v.calls(spark, d)
-    of = graph.strong_components(edges)
+    edges = _kept_calls(spark, d)
+    of = graph.Rounds(spark).keep(graph.strong_components(edges))
     levels = graph.component_levels(edges, of)
     return of.join(levels.withColumnRenamed("node", "component"), "component").select("node", "level")
 
@@ -94,9 +99,15 @@ def topological_levels(spark, d):
 )
 def dependency_first_order(spark, d):
     """All calls: callees before their callers, cycles together; graph is the weak component."""
-    edges = v.calls(spark, d)
-    order = graph.dependency_order(edges, graph.strong_components(edges))
-    return order.join(graph.weak_components(edges).withColumnRenamed("component", "graph"), "node").select("graph", "node", "position")
+    edges = _kept_calls(spark, d)
+    rounds = graph.Rounds(spark)
+    of = rounds.keep(graph.strong_components(edges))
+    # What holds of components holds of their names, which are nodes: order and weak components need only the edges between them.
+    between = rounds.keep(graph.condensed(edges, of))
+    order = graph.dependency_order(between, of)
+    weak = graph.weak_components(between).select(F.col("node").alias("component"), F.col("component").alias("graph"))
+    graphs = of.join(weak, "component", "left").select("node", F.coalesce("graph", "component").alias("graph"))
+    return order.join(graphs, "node").select("graph", "node", "position")
 
 
 @R.add("grf_04_depth_first_orders")
@@ -104,7 +115,8 @@ def depth_first_orders(spark, d):
     """The depth-first order of each repository: the calls between parts of one brand, without their cycles."""
     s = v.symbols(spark, d).select("id", "file_path")
     inner = v.calls(spark, d).join(s.select(F.col("id").alias("src"), F.col("file_path").alias("graph")), "src").join(s.select(F.col("id").alias("dst"), F.col("file_path").alias("_of")), "dst").where("graph = _of")
-    acyclic = graph.break_cycles(inner.select("src", "dst"), graph.strong_components(inner))
+    inner = graph.Rounds(spark).keep(inner.select("src", "dst"))
+    acyclic = graph.break_cycles(inner, graph.strong_components(inner))
     every = acyclic.join(s.select(F.col("id").alias("src"), F.col("file_path").alias("graph")), "src").select("src", "dst", "graph")
     return graph.dependency_first(every.unionByName(s.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.col("file_path").alias("graph"))))
 
