@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from spindrift.operators.graph import Rounds, some
 
 _OBJECT = "map<string,string>"
+#: Rows of modules, components or symbols that one task takes: such rows shrink so much when they move that tasks of equal bytes would not do.
+ROWS = 100_000
+
+
+def _parts(*tables: DataFrame) -> int:
+    return max(1, -(-sum(t.count() for t in tables) // ROWS))
 
 
 def _entries(json: Column) -> Column:
@@ -23,7 +29,8 @@ def module_nodes(trees: DataFrame, key: str = "repo_id", tree: str = "tree") ->
     """key, module_id (its path, else its name), name, parent_id, depth (from 0), place, components of each module of
     nested trees. A tree that is null or no object has no module."""
     rounds = Rounds(trees.sparkSession)
-    level = trees.select(key, F.lit(None).cast("string").alias("parent_id"), F.array().cast("array<int>").alias("place"), F.col(tree).alias("children"))
+    trees = trees.select(key, F.col(tree).alias("tree")).repartition(_parts(trees), key)
+    level = trees.select(key, F.lit(None).cast("string").alias("parent_id"), F.array().cast("array<int>").alias("place"), F.col("tree").alias("children"))
     out, depth = None, 0
     while out is None or some(level):
         found = level.select(key, "parent_id", "place", F.posexplode(_entries(F.col("children"))).alias("at", "entry"))
@@ -46,13 +53,17 @@ def module_names(nodes: DataFrame, key: str = "repo_id") -> DataFrame:
 
 def subtree_files(nodes: DataFrame, symbols: DataFrame, key: str = "repo_id") -> DataFrame:
     """key, module_id, place, position, path: the files of a module's known components, sorted, then those of its children
-    in tree order. A file that several of them hold occurs as often."""
+    in tree order. A file that several of them hold occurs as often. No task takes more than a bounded number of components or
+    modules, however many there are."""
     listed = nodes.select(key, "place", F.explode("components").alias("id"))
-    own = listed.join(symbols.select(key, "id", F.col("file_path").alias("path")), [key, "id"]).where("path <> ''").select(key, "place", "path").distinct()
+    known = symbols.select(key, "id", F.col("file_path").alias("path"))
+    parts = _parts(listed, known)
+    own = listed.repartition(parts, key, "id").join(known.repartition(parts, key, "id"), [key, "id"]).where("path <> ''").select(key, "place", "path").repartition(parts, key, "place").distinct()
     at = F.explode(F.sequence(F.lit(1), F.size("place")))
     upward = own.select(key, "place", "path", at.alias("n")).select(key, F.slice("place", F.lit(1), F.col("n")).alias("above"), "place", "path")
-    lists = upward.groupBy(key, F.col("above").alias("place")).agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("below"), "path"))).alias("files"))
-    return nodes.select(key, "module_id", "place").join(lists, [key, "place"]).select(key, "module_id", "place", F.posexplode("files").alias("position", "x")).select(key, "module_id", "place", "position", "x.path")
+    lists = upward.select(key, F.col("above").alias("place"), F.struct(F.col("place").alias("below"), "path").alias("file")).repartition(parts, key, "place")
+    lists = lists.groupBy(key, "place").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    return nodes.select(key, "module_id", "place").repartition(parts, key, "place").join(lists, [key, "place"]).select(key, "module_id", "place", F.posexplode("files").alias("position", "x")).select(key, "module_id", "place", "position", F.col("x.path").alias("path"))
 
 
 def module_documents(nodes: DataFrame, files: DataFrame, key: str = "repo_id") -> DataFrame:

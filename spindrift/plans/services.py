@@ -142,7 +142,8 @@ def subtree_files(spark, d):
     c = v.table(spark, d, "customer").select(F.col("c_custkey").alias("repo_id"))
     symbols = c.select("repo_id", F.explode(F.array(F.col("repo_id").cast("string"), F.lit("s1"), F.lit("s2"))).alias("id")).withColumn("file_path", F.concat("id", F.lit(".py")))
     out = trees.subtree_files(trees.module_nodes(_trees(spark, d)), symbols)
-    return out.groupBy("repo_id", "module_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "path"))), lambda x: x["path"]), ",").alias("files"))
+    listed = out.groupBy("repo_id", "module_id", "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "path"))), lambda x: x["path"]), ",").alias("files"))
+    return listed.drop("place")
 
 
 @R.add("hlp_14_module_documents", "SELECT c_custkey AS repo_id, 'm/' || c_custkey || '/b' AS module_id, 'doc b' AS content FROM customer WHERE c_custkey % 2 = 0")
