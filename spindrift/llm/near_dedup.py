@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import Scratch, back_id, hinted, map_batches, one_of_each, row_texts, small_batches, texts, utf8, with_rows
-from spindrift.llm.components import connected_components
+from spindrift.llm.components import stars as components
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -383,17 +383,19 @@ def near_dedup(docs: DataFrame) -> DataFrame:
             return of.withColumn("component", F.col(name))
         return of.join(found.withColumnRenamed("node", name), name, "left").withColumn("component", F.coalesce("component", name))
 
-    found = links = tried = None
+    found = tried = None
+
+    def grown(links: DataFrame) -> DataFrame:
+        """The components with further links; the links before are in them as stars."""
+        return components(links if found is None else found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
     def link(pairs: DataFrame, name: str) -> None:
         """Confirm pairs that were not tried before, and renew the components."""
-        nonlocal found, links, tried
+        nonlocal found, tried
         new = scratch.keep(name, pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if new.limit(1).count():
             tried = new if tried is None else tried.unionByName(new)
-            more = _confirmed(rows, new, scratch, f"{name}_links")
-            links = more if links is None else links.unionByName(more)
-            found = scratch.keep(f"{name}_found", connected_components(links))
+            found = grown(_confirmed(rows, new, scratch, f"{name}_links"))
 
     for turn in range(STARS):
         tagged = labelled(members, "rep").select("key", "band", "rep", "n", "component")
@@ -406,7 +408,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     tagged = scratch.keep("tagged", labelled(members, "rep").select("key", "band", "rep", "n", "component"))
     more = _open_links(rows, _sized(tagged, "split", scratch), classes, scratch)
     if more.limit(1).count():
-        found = scratch.keep("found", connected_components(more if links is None else links.unionByName(more)))
+        found = grown(more)
     # A document that is alone in its class and linked with none is its own component; only others are looked up.
     of_class = labelled(classes.select("n", "s1", "s2", "copies", "rep"), "rep").where("copies > 1 OR component <> rep").select("n", "s1", "s2", "component")
     of_class = scratch.keep("of_class", of_class)
