@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.paths import BROWSE_EXTENSIONS, CODE_EXTENSIONS, PARSED, basename, dirname, excluded, extension, included, language
+from spindrift.operators.graph import Rounds, some
 from spindrift.operators.relational import prefixes
 
 # Names that a scan leaves out, beside what a caller adds.
@@ -35,6 +38,8 @@ INCLUDE = [
 #: Names that browsing leaves out (fixed values), beside those that start with a dot.
 HIDDEN = ("__pycache__", "node_modules", "*.pyc", "*.pyo", "*.class", "dist", "build", "__MACOSX", "venv", "env")
 READMES = ("README.md", "README.rst", "README.txt", "README")
+#: Files that are named at a time, and bytes of files that are given back at a time, or one file.
+FILES_AT_ONCE, BYTES_AT_ONCE = 1000, 8 << 20
 #: Names that Hadoop has for stores that pyarrow calls otherwise.
 _SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 
@@ -44,19 +49,93 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
     usual one, excludes are added to it. Files that are left out are not opened. Bytes that are no UTF-8 become replacement characters. With max_files the
     first ones in order of path. Below a root on a file system of this kind of links, what a symbolic link leads to is
     left out, whether within the root or beyond. A directory without files has no row."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    # Files are chosen by their names alone, before any is opened: a filter on the metadata leaves the others out of the plan.
-    base = root.rstrip("/") + "/"
-    named = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    p = F.regexp_replace(F.substring_index(named, base, -1), "^/+", "")
-    raw = raw.where(~excluded(p, [*EXCLUDE, *(exclude or [])]) & included(p, INCLUDE if include is None else include))
-    if "://" not in root or root.startswith("file:"):
-        raw = raw.where(_unlinked(F.col("path"), root))
-    path = F.regexp_replace(F.substring_index("path", base, -1), "^/+", "")
-    rows = raw.select(path.alias("path"), F.col("length").alias("size"), "content")
+    root = _absolute(root)
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    # Files are chosen by their names alone, before any is opened.
     p = F.col("path")
-    out = rows.select("path", basename(p).alias("name"), language(p).alias("language"), "size", safe_text(F.col("content")).alias("content"))
-    return out if max_files is None else out.orderBy("path").limit(max_files)
+    chosen = listed(spark, root).where(~excluded(p, [*EXCLUDE, *(exclude or [])]) & included(p, INCLUDE if include is None else include))
+    if max_files is not None:
+        chosen = chosen.orderBy("path").limit(max_files)
+
+    def read(batches):
+        store, base = _store(root)
+        for batch in batches:
+            rows, held = [], 0
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if size > most:
+                    raise ValueError(f"{path} has {size} bytes, more than the max length of {most} that spark.sql.sources.binaryFile.maxLength sets")
+                with store.open_input_stream(f"{base}/{path}", compression=None) as f:
+                    rows.append((path, size, f.read()))
+                held += size
+                if held >= BYTES_AT_ONCE:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows)
+
+    rows = chosen.select("path", "size").mapInArrow(read, "path string, size long, content binary")
+    return rows.select("path", basename(p).alias("name"), language(p).alias("language"), "size", safe_text(F.col("content")).alias("content"))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], ["path", "size", "content"])
+
+
+def _absolute(root: str) -> str:
+    """A local root as the driver sees it; others as they are."""
+    return os.path.abspath(re.sub("^/+", "/", root.removeprefix("file:"))) if "://" not in root or root.startswith("file:") else root
+
+
+def _store(root: str):
+    """pyarrow's file system of an absolute root, and the root's path in it."""
+    import pyarrow.fs as pafs
+
+    scheme, mark, rest = root.partition("://")
+    if not mark:
+        return pafs.LocalFileSystem(), root
+    store, base = pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{quote(rest)}")
+    return store, base.rstrip("/")
+
+
+def _inside(store, base: str, folder: str) -> Iterator[tuple[str, bool, int]]:
+    """name, whether it is a folder, and size of what a folder holds, without links and without names that Spark takes for hidden."""
+    import pyarrow.fs as pafs
+
+    if isinstance(store, pafs.LocalFileSystem):
+        with os.scandir(f"{base}/{folder}") as found:
+            every = [(e.name, e.is_dir(follow_symlinks=False), e.stat(follow_symlinks=False).st_size if e.is_file(follow_symlinks=False) else 0) for e in found if e.is_dir(follow_symlinks=False) or e.is_file(follow_symlinks=False)]
+    else:
+        every = [(e.base_name, e.type == pafs.FileType.Directory, e.size or 0) for e in store.get_file_info(pafs.FileSelector(f"{base}/{folder}".rstrip("/")))]
+    for name, is_folder, size in every:
+        if not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")):
+            yield name, is_folder, size
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative), size of the files below root, without empty ones. Folders are listed by tasks, a job for each level of them, and the list is
+    a table: the driver holds no row for a file, which Spark's file sources do."""
+    rounds, root = Rounds(spark), _absolute(root)
+
+    def look(batches):
+        store, base = _store(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows = [(f"{folder}/{name}" if folder else name, size, is_folder) for name, is_folder, size in _inside(store, base, folder)]
+                for k in range(0, len(rows), FILES_AT_ONCE):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + FILES_AT_ONCE], strict=True), (pa.string(), pa.int64(), pa.bool_()), strict=True)], ["path", "size", "is_folder"])
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    store, base = _store(root)
+    if store.get_file_info(base).type.value == 0:
+        raise FileNotFoundError(f"Path does not exist: {root}")
+    level, out = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        found = rounds.keep(level.mapInArrow(look, "path string, size long, is_folder boolean"))
+        files = found.where("NOT is_folder AND size > 0").select("path", "size")
+        out = files if out is None else out.unionByName(files)
+        level = found.where("is_folder").select("path").repartition(tasks, "path")
+        if not some(level):
+            return out.repartition(tasks, "path")
 
 
 def write_files(files: DataFrame, root: str) -> None:
@@ -64,17 +143,13 @@ def write_files(files: DataFrame, root: str) -> None:
     stay, through pyarrow's file systems: no folder for each, and nothing that the driver moves. A task that runs again writes
     the same files again."""
 
-    def write(rows):
-        import pyarrow.fs as pafs
+    root = _absolute(root)
 
-        scheme, mark, rest = root.partition("://")
-        if not mark or scheme == "file":
-            store, base = pafs.LocalFileSystem(), re.sub("^/+", "/", root.removeprefix("file:"))
-        else:
-            store, base = pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{quote(rest)}")
+    def write(rows):
+        store, base = _store(root)
         made = set()
         for path, content in rows:
-            whole = f"{base.rstrip('/')}/{path}"
+            whole = f"{base}/{path}"
             folder = os.path.dirname(whole)
             if folder not in made:
                 store.create_dir(folder, recursive=True)
@@ -85,20 +160,6 @@ def write_files(files: DataFrame, root: str) -> None:
     files.select("path", "content").foreachPartition(write)
 
 
-def _unlinked(path: Column, root: str) -> Column:
-    """Whether no part of a file's path below the root is a symbolic link: resolved, it is where it was found."""
-    plain = re.compile("^file:/+")
-    below = os.path.abspath(plain.sub("/", root))
-    top = os.path.realpath(below)
-
-    @F.pandas_udf("boolean")
-    def check(paths):
-        found = paths.map(lambda p: plain.sub("/", p))
-        return found.map(os.path.realpath) == top + found.str.slice(len(below))
-
-    return check(path)
-
-
 def discover(spark: SparkSession, root: str, languages: tuple[str, ...] | None = None, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """path, absolute_path, language of the code files of a scan, in order of path, optionally only of some languages."""
     found = code_files(scan(spark, root, include, exclude).drop("language"), languages)
